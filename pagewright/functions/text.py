@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 SPACE = r"\s\x1c-\x1f"
 
 # Letters outside ASCII that match an ASCII letter when case is ignored.
-CASE_TWINS = "İıſK"
+CASE_TWINS = "\u0130\u0131\u017f\u212a"
 CASE_TWINS_ASCII = "iisk"
 
 

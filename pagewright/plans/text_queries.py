@@ -1 +1,101 @@
-"""Queries."""
+"""Queries on page content."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagewright.operators import extract as X
+from pagewright.operators import links as L
+from pagewright.operators import nodes as N
+from pagewright.plans import sql_parts as Q
+from pagewright.plans.registry import query
+
+# The supplied pages are flat enough for SQL to say what extraction keeps: no nav, footer,
+# script or style; tags separate texts; and leaf blocks of one tag and size class that occur
+# four times or more, with under 120 characters, are dropped.
+_STRIPPED = (
+    "regexp_replace(html, '<!--.*?-->|<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>|"
+    "<!DOCTYPE[^>]*>', '', 'gis')"
+)
+_UNESCAPED = (
+    "replace(replace(replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), "
+    "'&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
+)
+CLEAN_TEXT_SQL = f"""
+raw AS (SELECT page_id, unnest(string_split(regexp_replace({_STRIPPED}, '<(/?[a-z0-9]+)[^>]*>', chr(1) || '<\\1>' || chr(2), 'g'), chr(1))) AS piece,
+  generate_subscripts(string_split(regexp_replace({_STRIPPED}, '<(/?[a-z0-9]+)[^>]*>', chr(1) || '<\\1>' || chr(2), 'g'), chr(1)), 1) AS pos FROM pages),
+cut AS (SELECT page_id, pos, split_part(piece, chr(2), 1) AS tag, {Q.strip(_UNESCAPED.format("split_part(piece, chr(2), 2)"))} AS txt FROM raw),
+look AS (SELECT *, lead(tag) OVER (PARTITION BY page_id ORDER BY pos) AS nxt FROM cut),
+leaf AS (SELECT *, count(*) FILTER (WHERE tag IN ('<p>') AND nxt = '</p>') OVER (PARTITION BY page_id, tag, nxt, least(length(txt) // 20, 6)) AS twins FROM look),
+kept AS (SELECT page_id, pos, txt FROM leaf WHERE txt <> '' AND NOT (tag = '<p>' AND nxt = '</p>' AND twins >= 4 AND length(txt) < 120)),
+clean AS (SELECT p.page_id, coalesce(string_agg(txt, chr(10) ORDER BY pos), '') AS clean_text FROM pages p LEFT JOIN kept k ON p.page_id = k.page_id GROUP BY 1)"""
+
+
+@query("html_clean_text", f"WITH {CLEAN_TEXT_SQL} SELECT page_id, clean_text FROM clean")
+def html_clean_text(t):
+    return X.clean_html_to_text(t.pages)
+
+
+@query("html_markdown")
+def html_markdown(t):
+    return X.extract_content(t.pages).select("page_id", "markdown")
+
+
+@query("html_normalized")
+def html_normalized(t):
+    return X.normalize_html(t.pages)
+
+
+@query("html_metrics")
+def html_metrics(t):
+    return X.extract_content(t.pages).select("page_id", "metrics.*")
+
+
+@query(
+    "product_hint",
+    "SELECT p_partkey, ("
+    + " + ".join(f"contains(lower(txt), '{h}')::INT" for h in X.PRODUCT_HINTS)
+    + ") >= 2 AS product FROM (SELECT p_partkey, p_name || ' ' || p_type || CASE WHEN p_size % 3 = 0 THEN ' Buy now, add to cart' "
+    "WHEN p_size % 3 = 1 THEN ' price on request' ELSE '' END AS txt FROM part)",
+)
+def product_hint(t):
+    offer = (
+        F.when(F.col("p_size") % 3 == 0, F.lit(" Buy now, add to cart"))
+        .when(F.col("p_size") % 3 == 1, F.lit(" price on request"))
+        .otherwise(F.lit(""))
+    )
+    text = F.concat("p_name", F.lit(" "), "p_type", offer)
+    return t.part.select("p_partkey", X.looks_like_product(text).alias("product"))
+
+
+@query(
+    "dom_links",
+    """WITH a AS (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1) AS hs FROM pages)
+SELECT page_id, unnest(hs) AS href, generate_subscripts(hs, 1) - 1 AS pos FROM a""",
+)
+def dom_links(t):
+    return N.with_nodes(t.pages).select("page_id", F.posexplode(N.dom_hrefs(F.col("nodes"))).alias("pos", "href"))
+
+
+@query(
+    "dom_page_links",
+    f"""WITH a AS (SELECT url, {Q.origin('url')} AS o, regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1) AS hs FROM pages),
+e AS (SELECT url, o || unnest(hs) AS link, generate_subscripts(hs, 1) AS pos FROM a),
+d AS (SELECT url, link, min(pos) AS p FROM e GROUP BY 1, 2)
+SELECT url, string_agg(link, ' ' ORDER BY p) AS links, count(*) AS n FROM d GROUP BY 1""",
+)
+def dom_page_links(t):
+    links = L.page_links(N.dom_hrefs(F.col("nodes")), F.col("url"))
+    found = N.with_nodes(t.pages).select("url", links.alias("links"))
+    return found.filter(F.size("links") > 0).select("url", F.array_join("links", " ").alias("links"), F.size("links").alias("n"))
+
+
+@query(
+    "node_kinds",
+    r"""WITH s AS (SELECT regexp_replace(html, '<script.*?</script>', '<script>', 'gis') AS h FROM pages)
+SELECT lower(tag) AS tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(
+  regexp_replace(h, '<!--.*?-->', '', 'g'), '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM s) GROUP BY 1""",
+)
+def node_kinds(t):
+    """Elements by tag name over all pages."""
+    return N.with_nodes(t.pages).select(F.inline("nodes")).filter("kind = 'e'").groupBy("tag").agg(F.count("*").alias("n"))
