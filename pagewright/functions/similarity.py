@@ -1,0 +1,36 @@
+"""Text similarity by longest matching blocks."""
+
+from __future__ import annotations
+
+import difflib
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from pagewright.functions import signals as S
+from pagewright.functions.text import nvl, strip
+
+
+def _ratios(left: pd.Series, right: pd.Series) -> pd.Series:
+    def ratio(a: str, b: str) -> float | None:
+        if a is None or b is None:
+            return None
+        return 1.0 if a == b else round(difflib.SequenceMatcher(a=a, b=b).ratio(), 4)
+
+    return pd.Series([ratio(a, b) for a, b in zip(left, right)], dtype="float64")
+
+
+def text_similarity(left: Column, right: Column) -> Column:
+    """Ratio in [0, 1] to four digits, NULL where either text is blank.
+
+    The measure ignores frequent characters of long texts, which no built-in distance does,
+    so it runs in a pandas UDF. The comparison length is the measure's own definition.
+    """
+    compare = F.pandas_udf(_ratios, "double")
+
+    def head(text: Column) -> Column:
+        return F.nullif(F.substr(strip(nvl(text)), F.lit(1), F.lit(S.SIMILARITY_TEXT_CHARS)), F.lit(""))
+
+    score = compare(head(left), head(right))
+    return F.when(F.isnan(score), F.lit(None)).otherwise(score)

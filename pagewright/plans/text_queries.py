@@ -17,10 +17,9 @@ _STRIPPED = (
     "regexp_replace(html, '<!--.*?-->|<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>|"
     "<!DOCTYPE[^>]*>', '', 'gis')"
 )
-_UNESCAPED = (
-    "replace(replace(replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), "
-    "'&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
-)
+_UNESCAPED = "{0}"
+for _name, _char in (("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("amp", "&")):
+    _UNESCAPED = f"regexp_replace({_UNESCAPED}, '&{_name};?', '{_char}', 'g')"
 CLEAN_TEXT_SQL = f"""
 raw AS (SELECT page_id, unnest(string_split(regexp_replace({_STRIPPED}, '<(/?[a-z0-9]+)[^>]*>', chr(1) || '<\\1>' || chr(2), 'g'), chr(1))) AS piece,
   generate_subscripts(string_split(regexp_replace({_STRIPPED}, '<(/?[a-z0-9]+)[^>]*>', chr(1) || '<\\1>' || chr(2), 'g'), chr(1)), 1) AS pos FROM pages),
