@@ -550,3 +550,101 @@ def stop_rule(
     )
     kept = flags.withColumn("__ended", F.coalesce(ended, F.lit(0))).filter((F.col("__ended") == 0) & ~F.col("__gap"))
     return kept.select(key, index, "hash", reason.alias("outcome"))
+
+
+def url_sequence(first_url: Column, paging: Column, max_pages: Column) -> Column:
+    """URLs of a URL-driven run, in order: they follow from the first URL alone.
+
+    The sequence ends where there is no next URL or it repeats an earlier one.
+    """
+
+    def extend(urls: Column, _: Column) -> Column:
+        return let(
+            P.next_page_url(F.element_at(urls, -1), paging),
+            lambda u: F.when(u.isNull() | F.array_contains(urls, u), urls).otherwise(F.array_append(urls, u)),
+        )
+
+    steps = F.when(max_pages > 1, F.sequence(F.lit(2), max_pages)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, F.array(first_url), extend)
+
+
+def plan_pagination(first_pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
+    """What a pagination run would fetch: seed, urls (first page included), rule.
+
+    `first_pages`: seed, html, clean_text, success of each start URL; html is NULL where the
+    snapshot has no such page. rule is 'chain' (runs until a stop condition, from the first
+    page), 'tail' (the same, but the first page is kept anyway) or 'list' (all URLs).
+    """
+    seed, limit = F.col("seed"), F.lit(max_pages)
+    pages = with_page_pagination(first_pages, url="seed")
+    pages = pages.withColumn("__by_url", P.infer_from_url(seed))
+    pages = pages.withColumn(
+        "__config", config_from_page(F.col("paging"), F.col("numbered_links"), F.col("clean_text"), max_pages)
+    )
+    config, by_url, ok = F.col("__config"), F.col("__by_url"), F.coalesce(F.col("success"), F.lit(False))
+    second = F.coalesce(F.nullif(config["next_url"], F.lit("")), P.next_page_url(seed, config))
+    tail = F.filter(url_sequence(second, config, limit - 1), lambda u: u.isNotNull() & (u != seed))
+    urls = (
+        F.when(by_url.isNotNull(), url_sequence(seed, by_url, limit))
+        .when(~ok, F.array(seed))
+        .when(
+            config["type"] == "url_list",
+            F.concat(F.array(seed), listed_page_urls(seed, config["page_urls"], max_pages)),
+        )
+        .when(
+            config["type"] == "numbered_links",
+            F.concat(F.array(seed), numbered_page_urls(seed, F.col("numbered_links"), max_pages)),
+        )
+        .when(
+            (config["type"] == "url_param") & (limit > 1) & second.isNotNull(), F.concat(F.array(seed), tail)
+        )
+        .otherwise(F.array(seed))
+    )
+    rule = (
+        F.when(by_url.isNotNull(), F.lit("chain")).when(ok & (config["type"] == "url_param"), F.lit("tail")).otherwise(F.lit("list"))
+    )
+    return pages.select("seed", urls.alias("urls"), rule.alias("rule"))
+
+
+def run_pagination(seeds: DataFrame, pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
+    """Pages that a pagination run from each seed returns: seed, pos, url, depth, success.
+
+    `pages`: url, html, clean_text, success. All URLs of a run are known beforehand, so one join
+    replaces the fetch loop; stop rules are then applied to hashes of the joined pages.
+    """
+    first = seeds.select("seed").distinct().join(pages.withColumnRenamed("url", "seed"), "seed", "left")
+    plan = plan_pagination(first, max_pages)
+    wanted = plan.select("seed", "rule", F.posexplode("urls").alias("pos", "url"))
+    content = F.coalesce(F.nullif(F.col("clean_text"), F.lit("")), F.col("html"))
+    facts = pages.select(
+        "url", "success", U.content_hash(content).alias("__hash"), P.is_effectively_empty(F.col("clean_text")).alias("__thin")
+    )
+    run = wanted.join(facts, "url", "left").withColumn("success", F.coalesce("success", F.lit(False)))
+    order = W.partitionBy("seed").orderBy("pos")
+    same = F.coalesce(F.lag("__hash").over(order) == F.col("__hash"), F.lit(False))
+    run = run.withColumn("__same", same)
+    thin = F.col("__thin") & ((F.col("rule") == "chain") | (F.col("pos") > 0))
+    stop = (F.col("rule") != "list") & (~F.col("success") | F.coalesce(thin, F.lit(False)) | F.col("__same"))
+    ended = F.max(stop.cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    kept = run.withColumn("__ended", F.coalesce(ended, F.lit(0))).filter("__ended = 0")
+    return kept.select("seed", "pos", "url", F.col("pos").alias("depth"), "success")
+
+
+def crawl_with_pagination(
+    seeds: DataFrame,
+    pages: DataFrame,
+    edges: DataFrame,
+    max_pages: int = 200,
+    max_depth: int = 3,
+    pagination_pages: int = DEFAULT_MAX_PAGES,
+) -> DataFrame:
+    """Pagination pages of each seed followed by a crawl that starts from their links."""
+    from pagewright.operators.crawl import crawl
+    from pagewright.session import materialize
+
+    paged = materialize(run_pagination(seeds, pages, min(pagination_pages, max_pages)), "paged")
+    rest = crawl(seeds, edges, pages.select("url", "success"), max_pages, max_depth, initial=paged)
+    return (
+        paged.select("seed", "url", "depth", F.lit("pagination").alias("stage"), F.col("pos").alias("position"))
+        .unionByName(rest.select("seed", "url", "depth", F.lit("crawl").alias("stage"), "position"))
+    )

@@ -1 +1,103 @@
-"""Queries."""
+"""Queries on crawl order and set operations over visited pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagewright.functions import urls as U
+from pagewright.operators import crawl as C
+from pagewright.operators import links as L
+from pagewright.operators import pagination as G
+from pagewright.plans.registry import query
+from pagewright.plans.detection_queries import _marked
+
+# Link graph of all line items: a supplier's page lists its parts in part order, a part's page its
+# suppliers. Seeds: the first supplier of every nation.
+_HOST = "https://shop.example"
+_GRAPH_SQL = f"""p AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem),
+edges AS (SELECT '{_HOST}/s/' || s AS src, '{_HOST}/p/' || p AS dst, row_number() OVER (PARTITION BY s ORDER BY p) - 1 AS pos FROM p
+  UNION ALL SELECT '{_HOST}/p/' || p, '{_HOST}/s/' || s, row_number() OVER (PARTITION BY p ORDER BY s) - 1 FROM p),
+seeds AS (SELECT '{_HOST}/s/' || min(s_suppkey) AS seed FROM supplier GROUP BY s_nationkey)"""
+
+
+def _graph(t):
+    pairs = t.lineitem.select("l_suppkey", "l_partkey").distinct()
+    s, p = F.concat(F.lit(_HOST + "/s/"), "l_suppkey"), F.concat(F.lit(_HOST + "/p/"), "l_partkey")
+    # The target number itself serves as place on the page: it has the order of the SQL row number.
+    down = pairs.select(s.alias("src"), p.alias("dst"), F.col("l_partkey").alias("pos"))
+    return down.unionByName(pairs.select(p.alias("src"), s.alias("dst"), F.col("l_suppkey").alias("pos")))
+
+
+def _seeds(t):
+    firsts = t.supplier.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("k"))
+    return firsts.select(F.concat(F.lit(_HOST + "/s/"), "k").alias("seed"))
+
+
+def _all_pages(t):
+    return _graph(t).select(F.col("src").alias("url")).distinct().withColumn("success", F.lit(True))
+
+
+@query(
+    "bfs_depth_histogram",
+    f"""WITH {_GRAPH_SQL}, l0 AS (SELECT seed, seed AS url, 0 AS depth FROM seeds),
+l1 AS (SELECT DISTINCT seed, dst AS url FROM l0 JOIN edges ON url = src EXCEPT SELECT seed, url FROM l0),
+l2 AS (SELECT DISTINCT seed, dst AS url FROM l1 JOIN edges ON url = src EXCEPT (SELECT seed, url FROM l0 UNION ALL SELECT seed, url FROM l1)),
+l3 AS (SELECT DISTINCT seed, dst AS url FROM l2 JOIN edges ON url = src
+  EXCEPT (SELECT seed, url FROM l0 UNION ALL SELECT seed, url FROM l1 UNION ALL SELECT seed, url FROM l2))
+SELECT seed, depth, count(*) AS n FROM (SELECT seed, 0 AS depth FROM l0 UNION ALL SELECT seed, 1 FROM l1
+  UNION ALL SELECT seed, 2 FROM l2 UNION ALL SELECT seed, 3 FROM l3) GROUP BY 1, 2""",
+)
+def bfs_depth_histogram(t):
+    return C.reach(_seeds(t), _graph(t)).groupBy("seed", "depth").agg(F.count("*").alias("n"))
+
+
+# All pages succeed here, so the budget admits the first 100 distinct URLs in queue order.
+@query(
+    "bfs_crawl_order",
+    f"""WITH {_GRAPH_SQL}, c1 AS (SELECT seed, dst AS url, min(pos) AS k FROM seeds JOIN edges ON seed = src WHERE dst <> seed GROUP BY 1, 2),
+l1 AS (SELECT seed, url, row_number() OVER (PARTITION BY seed ORDER BY k) AS ord FROM c1 QUALIFY ord <= 99),
+n1 AS (SELECT seed, count(*) AS n FROM l1 GROUP BY 1),
+c2 AS (SELECT l1.seed, dst AS url, min((ord, pos)) AS k FROM l1 JOIN edges ON url = src WHERE dst <> l1.seed
+  AND NOT EXISTS (SELECT 1 FROM l1 v WHERE v.seed = l1.seed AND v.url = dst) GROUP BY 1, 2),
+l2 AS (SELECT c2.seed, url, row_number() OVER (PARTITION BY c2.seed ORDER BY k) AS ord, n FROM c2 JOIN n1 ON c2.seed = n1.seed QUALIFY ord <= 99 - n),
+n2 AS (SELECT seed, n + count(*) AS n FROM l2 GROUP BY seed, n),
+c3 AS (SELECT l2.seed, dst AS url, min((ord, pos)) AS k FROM l2 JOIN edges ON url = src WHERE dst <> l2.seed
+  AND NOT EXISTS (SELECT 1 FROM l1 v WHERE v.seed = l2.seed AND v.url = dst) AND NOT EXISTS (SELECT 1 FROM l2 v WHERE v.seed = l2.seed AND v.url = dst) GROUP BY 1, 2),
+l3 AS (SELECT c3.seed, url, row_number() OVER (PARTITION BY c3.seed ORDER BY k) AS ord, n FROM c3 JOIN n2 ON c3.seed = n2.seed QUALIFY ord <= 99 - n)
+SELECT seed, seed AS url, 0 AS depth, 0 AS position FROM seeds UNION ALL SELECT seed, url, 1, ord FROM l1
+UNION ALL SELECT seed, url, 2, n + ord FROM l2 UNION ALL SELECT seed, url, 3, n + ord FROM l3""",
+)
+def bfs_crawl_order(t):
+    return C.crawl(_seeds(t), _graph(t), _all_pages(t), max_pages=100, max_depth=3)
+
+
+@query("bfs_crawl_with_failures")
+def bfs_crawl_with_failures(t):
+    """As above, but every third part page fails and gives its place in the budget back."""
+    pages = _all_pages(t).withColumn("success", ~F.col("url").rlike("/p/[0-9]*[369]$"))
+    return C.crawl(_seeds(t), _graph(t), pages, max_pages=100, max_depth=3)
+
+
+@query("crawl_with_pagination")
+def crawl_with_pagination(t):
+    """Every page is a seed; what it paginates to and links to is looked up in the same snapshot."""
+    marked = _marked(t)
+    pages = marked.select(
+        "url", "html", F.regexp_replace("html", "<[^>]+>", " ").alias("clean_text"), (~F.col("detection.is_blocked")).alias("success")
+    )
+    edges = L.link_edges(L.extract_links(marked))
+    return G.crawl_with_pagination(pages.select(F.col("url").alias("seed")), pages, edges)
+
+
+
+@query(
+    "pages_union_minus_visited",
+    "SELECT url, count(*) AS n FROM (SELECT regexp_replace(url, '[?#].*$', '') AS url FROM pages UNION ALL "
+    "SELECT 'https://shop.example/p/' || p_partkey FROM part) WHERE url NOT IN (SELECT regexp_replace(url, '[?#].*$', '') "
+    "FROM pages WHERE regexp_matches(url, '/en/')) GROUP BY 1",
+)
+def pages_union_minus_visited(t):
+    bare = t.pages.select(U.drop_fragment(F.col("url")).alias("u"), F.regexp_replace("url", "[?#].*$", "").alias("url"))
+    every = bare.select("url").unionByName(t.part.select(F.concat(F.lit("https://shop.example/p/"), "p_partkey").alias("url")))
+    visited = bare.filter(F.contains("u", F.lit("/en/"))).select("url").distinct()
+    return C.unvisited(every, visited).groupBy("url").agg(F.count("*").alias("n"))
