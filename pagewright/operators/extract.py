@@ -175,6 +175,8 @@ def prune(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     rows = rows.select("*", *[(F.sum(c).over(post) - F.col(f"{c}_before")).alias(f"{c}_below") for c in sums])
     text_len = F.col("__len_below") + F.greatest(F.col("__one_below") - 1, F.lit(0))
 
+    # Outer generators from here on: the plain ones make the optimizer infer a non-empty filter,
+    # which would compute these arrays a second time.
     # The first four child tags: children are copied into their parent's group, in front of it.
     payload = ["base", "last", "kind", "attrs", "text", "title"]
     self_row = F.struct(
@@ -188,7 +190,7 @@ def prune(nodes: DataFrame, key: str = "page_id") -> DataFrame:
         F.lit(None).cast("bigint").alias("text_len"),
     )
     roles = F.when(element & (n["parent"] >= 0), F.array(self_row, child_row)).otherwise(F.array(self_row))
-    rows = rows.withColumn("__roles", roles).select(key, F.inline("__roles"))
+    rows = rows.withColumn("__roles", roles).select(key, F.inline_outer("__roles"))
     family = W.partitionBy(key, "group").orderBy(F.asc_nulls_last("child"))
     for i in range(1, 5):
         rows = rows.withColumn(f"__child{i}", F.nth_value("child_tag", i).over(family))
@@ -292,7 +294,7 @@ def _token_rows(rows: DataFrame, key: str) -> DataFrame:
         md_close.alias("md"),
     )
     tokens = F.when(element, F.array(open_token, close_token)).otherwise(F.array(open_token))
-    return rows.withColumn("__tokens", tokens).select(key, F.explode("__tokens").alias("token"))
+    return rows.withColumn("__tokens", tokens).select(key, F.explode_outer("__tokens").alias("token"))
 
 
 def _clean_text(stream: Column) -> Column:

@@ -57,7 +57,9 @@ def extract_links(
 
 def link_edges(pages_with_links: DataFrame, url: str = "url", links: str = "links") -> DataFrame:
     """One row per link: src, pos (0-based order on the page), dst."""
-    return pages_with_links.select(F.col(url).alias("src"), F.posexplode(links).alias("pos", "dst"))
+    # The outer form keeps the optimizer from computing the array once more for an inferred filter.
+    edges = pages_with_links.select(F.col(url).alias("src"), F.posexplode_outer(links).alias("pos", "dst"))
+    return edges.filter(F.col("dst").isNotNull())
 
 
 def subdomain_pairs(hosts: DataFrame, host: str = "host", key: str = "n") -> DataFrame:
@@ -68,5 +70,5 @@ def subdomain_pairs(hosts: DataFrame, host: str = "host", key: str = "n") -> Dat
     """
     bases = hosts.select(F.col(host).alias("base_host"))
     listed = hosts.select(F.col(host).alias("host"), F.col(key), U.host_suffixes(F.col(host)).alias("suffixes"))
-    expanded = listed.select("host", key, F.explode("suffixes").alias("base_host"))
+    expanded = listed.select("host", key, F.explode_outer("suffixes").alias("base_host"))
     return expanded.join(bases, "base_host")

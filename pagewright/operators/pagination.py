@@ -614,7 +614,7 @@ def run_pagination(seeds: DataFrame, pages: DataFrame, max_pages: int = DEFAULT_
     """
     first = seeds.select("seed").distinct().join(pages.withColumnRenamed("url", "seed"), "seed", "left")
     plan = plan_pagination(first, max_pages)
-    wanted = plan.select("seed", "rule", F.posexplode("urls").alias("pos", "url"))
+    wanted = plan.select("seed", "rule", F.posexplode_outer("urls").alias("pos", "url"))
     content = F.coalesce(F.nullif(F.col("clean_text"), F.lit("")), F.col("html"))
     facts = pages.select(
         "url", "success", U.content_hash(content).alias("__hash"), P.is_effectively_empty(F.col("clean_text")).alias("__thin")
