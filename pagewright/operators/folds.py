@@ -91,9 +91,17 @@ def _stretch_reducer(key: str, order: list[str], bounds: list[tuple[str, int, in
 
 
 def fold_walks(
-    events: DataFrame, key: str, order: list[str], walks: dict[str, Walk], partitions: int | None = None
+    events: DataFrame,
+    key: str,
+    order: list[str],
+    walks: dict[str, Walk],
+    partitions: int | None = None,
+    previous: DataFrame | None = None,
 ) -> DataFrame:
-    """Final value of each walk per key: one row (key, *walks)."""
+    """Final value of each walk per key: one row (key, *walks).
+
+    `previous` holds values of an earlier fold (key, *walks) to go on from; its keys are kept.
+    """
     rows = events.select(key, *order, *[w.step.cast("bigint").alias(n) for n, w in walks.items()])
     placed = rows.repartitionByRange(partitions, key, *order) if partitions else rows.repartitionByRange(key, *order)
     schema = T.StructType([rows.schema[c] for c in (key, *order)])
@@ -107,11 +115,21 @@ def fold_walks(
     )
 
 
+    if previous is not None:
+        renamed = previous.select(key, *[F.col(n).alias(f"__from_{n}") for n in walks])
+        listed = listed.join(renamed, key, "full").withColumn(
+            "parts", F.coalesce("parts", F.array().cast(listed.schema["parts"].dataType))
+        )
+
     def final(name: str, walk: Walk) -> Column:
+        start = F.lit(walk.start).cast("bigint")
+        if previous is not None:
+            start = F.coalesce(F.col(f"__from_{name}"), start)
+
         def apply(v: Column, p: Column) -> Column:
             return F.least(F.greatest(v + p[f"{name}_d"], p[f"{name}_lo"]), p[f"{name}_hi"])
 
-        return F.aggregate("parts", F.lit(walk.start).cast("bigint"), apply).alias(name)
+        return F.aggregate("parts", start, apply).alias(name)
 
     return listed.select(key, *[final(n, w) for n, w in walks.items()])
 

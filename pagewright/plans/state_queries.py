@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagewright.functions import policy as P
@@ -10,6 +12,8 @@ from pagewright.operators import ensemble as V
 from pagewright.operators import folds as D
 from pagewright.plans.derived import ATTEMPTS_SQL, attempts
 from pagewright.plans.registry import query
+from pagewright.session import checkpoint_root
+from pagewright.streaming.folds import first_visits, fold_stream, latest_state
 
 _ORDER = ["ts", "attempt_id"]
 _BY_USER = "PARTITION BY user_id ORDER BY ts, attempt_id"
@@ -211,3 +215,42 @@ def ensemble_and_vote(t):
     )
     found = t.labels.select("doc_id", V.consensus(votes).alias("v"))
     return found.select("doc_id", "v.page_type", "v.is_blocked", F.round("v.confidence", 3).alias("confidence"))
+
+
+def _stream(t, table: str):
+    """A table of the data folder as a file stream."""
+    schema = getattr(t, table).schema
+    # A bracket makes the single file a pattern, which a file stream accepts.
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{t.folder}/{table[:-1]}[{table[-1]}].parquet")
+
+
+_TRUST_SQL = f"""WITH RECURSIVE a AS ({ATTEMPTS_SQL}), n AS (SELECT user_id, blocked, row_number() OVER ({_BY_USER}) AS rn FROM a),
+r AS (SELECT user_id, 0 AS rn, 500 AS v FROM (SELECT DISTINCT user_id FROM n)
+  UNION ALL SELECT r.user_id, n.rn, CASE WHEN n.blocked THEN greatest(0, v - 150) ELSE least(1000, v + 100) END
+  FROM r JOIN n ON n.user_id = r.user_id AND n.rn = r.rn + 1)
+SELECT user_id, arg_max(v, rn) AS trust FROM r GROUP BY 1"""
+
+
+@query("stream_trust_fold", _TRUST_SQL)
+def stream_trust_fold(t):
+    folder = f"{checkpoint_root(t.spark)}/streams/{uuid.uuid4().hex}"
+    walks = lambda batch: {"trust": D.trust_walk(F.col("blocked"))}
+    running = fold_stream(attempts(_stream(t, "events")), "user_id", _ORDER, walks, f"{folder}/state", f"{folder}/checkpoint")
+    running.awaitTermination()
+    return latest_state(running, f"{folder}/state", t.spark)
+
+
+@query("stream_dedup_urls", "SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url FROM pages")
+def stream_dedup_urls(t):
+    folder = f"{checkpoint_root(t.spark)}/streams/{uuid.uuid4().hex}"
+    urls = _stream(t, "pages").select(F.regexp_replace("url", "[?#].*$", "").alias("url"))
+    running = (
+        first_visits(urls)
+        .writeStream.format("parquet")
+        .option("path", f"{folder}/urls")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    return t.spark.read.schema("url string").parquet(f"{folder}/urls")

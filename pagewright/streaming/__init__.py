@@ -1,0 +1 @@
+"""Structured Streaming counterparts of the state, crawl and job operators."""
