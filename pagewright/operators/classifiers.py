@@ -110,7 +110,7 @@ def _regression(n_rows: float, c: float = 1.0, max_iter: int = 1000) -> Logistic
     # Balanced weights sum to the number of rows; Spark divides the loss by that sum.
     return LogisticRegression(
         featuresCol="features", labelCol="label_index", weightCol="weight", maxIter=max_iter,
-        regParam=1.0 / (c * max(n_rows, 1.0)), elasticNetParam=0.0, standardization=False, family="multinomial",
+        regParam=1.0 / (c * max(n_rows, 1.0)), elasticNetParam=0.0, standardization=False, family="multinomial", tol=1e-4,
     )
 
 

@@ -8,8 +8,6 @@ bound, whatever the size of the graph.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,42 +18,39 @@ from pagewright.session import materialize
 
 MAX_PAGES, MAX_DEPTH = 200, 3
 
-_STEP_SCHEMA = "seed string, url string, depth int, ord int, outcome string, capacity int, results int"
+_STEP_SCHEMA = "seed string, url string, depth int, ord int, outcome string, capacity int, max_depth int, results int"
 
 
-def _dequeue(max_depth: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _dequeue(queue: pd.DataFrame) -> pd.DataFrame:
     """Work off one seed's queue of one generation and build the next one."""
-
-    def work(queue: pd.DataFrame) -> pd.DataFrame:
-        queue = queue.sort_values("ord")
-        seed, capacity = queue["seed"].iloc[0], int(queue["capacity"].iloc[0])
-        results = int(queue["results"].iloc[0])
-        waiting = int((~queue["initial"]).sum())
-        done, queued, seen = [], [], set()
-        for row in queue.itertuples():
-            if not row.initial:
-                if results >= capacity:
-                    break
-                waiting -= 1
-                if row.depth > max_depth:
-                    continue
-                done.append((seed, row.url, row.depth, row.ord, "page" if row.success else "failed"))
-                if not row.success:
-                    continue
-                results += 1
-            for link in row.links if row.links is not None else ():
-                if link in seen:
-                    continue
-                if results + waiting + len(queued) >= capacity:
-                    break
-                seen.add(link)
-                queued.append((seed, link, row.depth + 1, len(queued), "queued"))
-        if queue["initial"].any() and queue["seed_is_new"].iloc[0] and seed not in seen:
-            queued.append((seed, seed, 0, len(queued), "queued"))
-        out = pd.DataFrame(done + queued, columns=["seed", "url", "depth", "ord", "outcome"])
-        return out.assign(capacity=capacity, results=results)
-
-    return work
+    queue = queue.sort_values("ord")
+    first = queue.iloc[0]
+    seed, capacity, max_depth = first["seed"], int(first["capacity"]), int(first["max_depth"])
+    results = int(first["results"])
+    waiting = int((~queue["initial"]).sum())
+    done, queued, seen = [], [], set()
+    for row in queue.itertuples():
+        if not row.initial:
+            if results >= capacity:
+                break
+            waiting -= 1
+            if row.depth > max_depth:
+                continue
+            done.append((seed, row.url, row.depth, row.ord, "page" if row.success else "failed"))
+            if not row.success:
+                continue
+            results += 1
+        for link in row.links if row.links is not None else ():
+            if link in seen:
+                continue
+            if results + waiting + len(queued) >= capacity:
+                break
+            seen.add(link)
+            queued.append((seed, link, row.depth + 1, len(queued), "queued"))
+    if first["initial"] and first["seed_is_new"] and seed not in seen:
+        queued.append((seed, seed, 0, len(queued), "queued"))
+    out = pd.DataFrame(done + queued, columns=["seed", "url", "depth", "ord", "outcome"])
+    return out.assign(capacity=capacity, max_depth=max_depth, results=results)
 
 
 def _expand(queue: DataFrame, edges: DataFrame, visited: DataFrame) -> DataFrame:
@@ -82,7 +77,7 @@ def crawl(
 ) -> DataFrame:
     """Pages a crawl of each seed returns: seed, url, depth, position (0-based crawl order).
 
-    seeds    one column `seed`
+    seeds    `seed`, and optionally its own `max_pages` and `max_depth`
     edges    src, pos, dst: what each page links to (see `links.link_edges`)
     pages    url, success: the snapshot; a URL that is not in it counts as failed
     initial  seed, url, depth, pos, success: pages fetched before (by pagination); they are not
@@ -94,11 +89,15 @@ def crawl(
         known = queue.join(status, "url", "left")
         return known.withColumn("success", F.coalesce("__ok", F.lit(False))).drop("__ok")
 
-    start = seeds.select("seed").distinct()
+    def limit(name: str, default: int):
+        own = F.col(name) if name in seeds.columns else F.lit(None)
+        return F.coalesce(own, F.lit(default)).cast("int").alias(name)
+
+    start = seeds.select("seed", limit("max_pages", max_pages), limit("max_depth", max_depth)).dropDuplicates(["seed"])
     if initial is None:
         queue = start.select(
             "seed", F.col("seed").alias("url"), F.lit(0).alias("depth"), F.lit(0).alias("ord"),
-            F.lit(max_pages).alias("capacity"), F.lit(0).alias("results"),
+            F.col("max_pages").alias("capacity"), "max_depth", F.lit(0).alias("results"),
         )
         visited = materialize(queue.select("seed", "url"), "visited")
         queue = with_status(queue).withColumn("initial", F.lit(False)).withColumn("seed_is_new", F.lit(False))
@@ -111,7 +110,8 @@ def crawl(
             "left",
         ).select(
             "seed",
-            F.greatest(F.lit(max_pages) - F.coalesce("used", F.lit(0)), F.lit(0)).cast("int").alias("capacity"),
+            F.greatest(F.col("max_pages") - F.coalesce("used", F.lit(0)), F.lit(0)).cast("int").alias("capacity"),
+            "max_depth",
             (~F.coalesce("has_seed", F.lit(False))).alias("seed_is_new"),
         )
         visited = materialize(initial.select("seed", "url").distinct(), "visited")
@@ -121,20 +121,21 @@ def crawl(
             .join(initial, "seed", "left")
             .select(
                 "seed", "url", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("pos", F.lit(0)).alias("ord"),
-                "capacity", F.lit(0).alias("results"), F.coalesce("success", F.lit(False)).alias("success"),
+                "capacity", "max_depth", F.lit(0).alias("results"), F.coalesce("success", F.lit(False)).alias("success"),
                 F.lit(True).alias("initial"), "seed_is_new",
             )
         )
 
     fetched: DataFrame | None = None
-    # Depth grows by one per generation, so the loop is bounded by max_depth.
-    for generation in range(max_depth + 2):
-        step = _expand(queue, edges, visited).groupBy("seed").applyInPandas(_dequeue(max_depth), _STEP_SCHEMA)
+    # Depth grows by one per generation, so the loop is bounded by the largest max_depth.
+    generations = start.agg(F.max("max_depth")).first()[0]
+    for generation in range((generations or 0) + 2):
+        step = _expand(queue, edges, visited).groupBy("seed").applyInPandas(_dequeue, _STEP_SCHEMA)
         step = materialize(step, f"generation{generation}")
         found = step.filter("outcome = 'page'").select("seed", "url", "depth", F.lit(generation).alias("gen"), "ord")
         fetched = found if fetched is None else fetched.unionByName(found)
         queued = step.filter("outcome = 'queued'")
-        if queued.filter(F.col("depth") <= max_depth).isEmpty():
+        if queued.filter(F.col("depth") <= F.col("max_depth")).isEmpty():
             break
         visited = visited.unionByName(queued.select("seed", "url"))
         queue = (

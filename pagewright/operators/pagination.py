@@ -571,15 +571,16 @@ def url_sequence(first_url: Column, paging: Column, max_pages: Column) -> Column
 def plan_pagination(first_pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
     """What a pagination run would fetch: seed, urls (first page included), rule.
 
-    `first_pages`: seed, html, clean_text, success of each start URL; html is NULL where the
-    snapshot has no such page. rule is 'chain' (runs until a stop condition, from the first
+    `first_pages`: seed, html, clean_text, success of each start URL and optionally its own
+    max_pages; html is NULL where the snapshot has no such page. rule is 'chain' (runs until a stop condition, from the first
     page), 'tail' (the same, but the first page is kept anyway) or 'list' (all URLs).
     """
-    seed, limit = F.col("seed"), F.lit(max_pages)
+    own = F.col("max_pages") if "max_pages" in first_pages.columns else F.lit(None)
+    seed, limit = F.col("seed"), F.coalesce(own, F.lit(max_pages)).cast("int")
     pages = with_page_pagination(first_pages, url="seed")
     pages = pages.withColumn("__by_url", P.infer_from_url(seed))
     pages = pages.withColumn(
-        "__config", config_from_page(F.col("paging"), F.col("numbered_links"), F.col("clean_text"), max_pages)
+        "__config", config_from_page(F.col("paging"), F.col("numbered_links"), F.col("clean_text"), limit)
     )
     config, by_url, ok = F.col("__config"), F.col("__by_url"), F.coalesce(F.col("success"), F.lit(False))
     second = F.coalesce(F.nullif(config["next_url"], F.lit("")), P.next_page_url(seed, config))
@@ -589,11 +590,11 @@ def plan_pagination(first_pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES)
         .when(~ok, F.array(seed))
         .when(
             config["type"] == "url_list",
-            F.concat(F.array(seed), listed_page_urls(seed, config["page_urls"], max_pages)),
+            F.concat(F.array(seed), listed_page_urls(seed, config["page_urls"], limit)),
         )
         .when(
             config["type"] == "numbered_links",
-            F.concat(F.array(seed), numbered_page_urls(seed, F.col("numbered_links"), max_pages)),
+            F.concat(F.array(seed), numbered_page_urls(seed, F.col("numbered_links"), limit)),
         )
         .when(
             (config["type"] == "url_param") & (limit > 1) & second.isNotNull(), F.concat(F.array(seed), tail)
@@ -612,7 +613,8 @@ def run_pagination(seeds: DataFrame, pages: DataFrame, max_pages: int = DEFAULT_
     `pages`: url, html, clean_text, success. All URLs of a run are known beforehand, so one join
     replaces the fetch loop; stop rules are then applied to hashes of the joined pages.
     """
-    first = seeds.select("seed").distinct().join(pages.withColumnRenamed("url", "seed"), "seed", "left")
+    limits = ["max_pages"] if "max_pages" in seeds.columns else []
+    first = seeds.select("seed", *limits).dropDuplicates(["seed"]).join(pages.withColumnRenamed("url", "seed"), "seed", "left")
     plan = plan_pagination(first, max_pages)
     wanted = plan.select("seed", "rule", F.posexplode_outer("urls").alias("pos", "url"))
     content = F.coalesce(F.nullif(F.col("clean_text"), F.lit("")), F.col("html"))
@@ -642,7 +644,8 @@ def crawl_with_pagination(
     from pagewright.operators.crawl import crawl
     from pagewright.session import materialize
 
-    paged = materialize(run_pagination(seeds, pages, min(pagination_pages, max_pages)), "paged")
+    own = F.col("pagination_pages") if "pagination_pages" in seeds.columns else F.lit(min(pagination_pages, max_pages))
+    paged = materialize(run_pagination(seeds.select("seed", own.alias("max_pages")), pages), "paged")
     rest = crawl(seeds, edges, pages.select("url", "success"), max_pages, max_depth, initial=paged)
     return (
         paged.select("seed", "url", "depth", F.lit("pagination").alias("stage"), F.col("pos").alias("position"))
