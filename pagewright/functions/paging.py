@@ -125,18 +125,22 @@ def _bumped(path: Column, pattern: str) -> Column:
     )
 
 
+def _next_path(path: Column, pattern: Column) -> Column:
+    return F.coalesce(
+        _bumped(path, r"(?s)^(.*/page/)(\d+)(/?)$"),
+        _bumped(path, r"(?s)^(.*/p)(\d+)(/?)$"),
+        _bumped(path, r"(?s)^(.*-)(\d+)(/?)$"),
+        F.when(F.contains(nvl(pattern), F.lit("{page}")), _bumped(path, r"(?s)^(.*?)(\d+)(\D*)$")),
+    )
+
+
 def increment_path(url: Column, pattern: Column) -> Column:
     """Next page of a URL that carries its page number in the path; NULL if it carries none."""
 
     def advance(u: Column) -> Column:
-        path = u["path"]
-        new_path = F.coalesce(
-            _bumped(path, r"(?s)^(.*/page/)(\d+)(/?)$"),
-            _bumped(path, r"(?s)^(.*/p)(\d+)(/?)$"),
-            _bumped(path, r"(?s)^(.*-)(\d+)(/?)$"),
-            F.when(F.contains(nvl(pattern), F.lit("{page}")), _bumped(path, r"(?s)^(.*?)(\d+)(\D*)$")),
+        return let(
+            _next_path(u["path"], pattern), lambda p: F.when(p.isNotNull(), let(_replace_part(u, "path", p), U.unsplit))
         )
-        return let(new_path, lambda p: F.when(p.isNotNull(), let(_replace_part(u, "path", p), U.unsplit)))
 
     return let(U.split_url(url), advance)
 
@@ -190,29 +194,34 @@ def infer_from_url(url: Column) -> Column:
 
 def next_page_url(url: Column, paging: Column) -> Column:
     """URL of the following page under a pagination configuration, or NULL."""
+    return let(paging, lambda p: _next_url(url, p))
+
+
+def _next_url(url: Column, paging: Column) -> Column:
     kind = F.lower(F.trim(paging["type"]))
-    step = F.coalesce(F.nullif(paging["limit_value"], F.lit(0)), F.nullif(paging["step"], F.lit(0)), F.lit(1))
+    limit_step = F.coalesce(F.nullif(paging["limit_value"], F.lit(0)), F.nullif(paging["step"], F.lit(0)), F.lit(1))
+    paired = kind == "offset_limit"
+    # Both query kinds add a step to one parameter, so they share one expression.
+    param = F.when(paired, paging["offset_param"]).when(kind == "url_param", paging["param"])
+    step = F.when(paired, limit_step).otherwise(paging["step"])
 
-    def by_offset(u: Column) -> Column:
+    def by_query(u: Column) -> Column:
         return let(
-            _update_in(u, paging["offset_param"], step),
+            _update_in(u, param, step),
             lambda a: F.when(
-                (nvl(paging["limit_param"]) != "") & paging["limit_value"].isNotNull(),
+                paired & (nvl(paging["limit_param"]) != "") & paging["limit_value"].isNotNull(),
                 _set_in(a, paging["limit_param"], paging["limit_value"].cast("string")),
             ).otherwise(a),
         )
 
-    return (
-        F.when(
-            (kind == "url_param") & (nvl(paging["param"]) != ""),
-            update_query_param(url, paging["param"], paging["step"]),
-        )
-        .when(
-            (kind == "offset_limit") & (nvl(paging["offset_param"]) != ""),
-            let(U.split_url(url), lambda u: let(by_offset(u), U.unsplit)),
-        )
-        .when(kind == "url_path", increment_path(url, paging["pattern"]))
-    )
+    def by_path(u: Column) -> Column:
+        return let(_next_path(u["path"], paging["pattern"]), lambda p: F.when(p.isNotNull(), _replace_part(u, "path", p)))
+
+    def advance(u: Column) -> Column:
+        moved = F.when(nvl(param) != "", by_query(u)).when(kind == "url_path", by_path(u))
+        return let(moved, lambda m: F.when(m.isNotNull(), U.unsplit(m)))
+
+    return let(U.split_url(url), advance)
 
 
 def is_effectively_empty(clean_text: Column) -> Column:

@@ -78,7 +78,8 @@ def crawl(
     """Pages a crawl of each seed returns: seed, url, depth, position (0-based crawl order).
 
     seeds    `seed`, and optionally its own `max_pages` and `max_depth`
-    edges    src, pos, dst: what each page links to (see `links.link_edges`)
+    edges    src, pos, dst: what each page links to (see `links.link_edges`); a stored table, since
+             every generation reads it
     pages    url, success: the snapshot; a URL that is not in it counts as failed
     initial  seed, url, depth, pos, success: pages fetched before (by pagination); they are not
              returned again, their links start the queue, and they reduce the page budget

@@ -310,8 +310,11 @@ def with_page_pagination(pages: DataFrame, url: str = "url", html: str = "html",
     """Add `out`: how the page continues, found by a fixed chain of tests of falling confidence."""
     page_url = nvl(F.col(url))
     step = N.with_nodes(pages, html, "__nodes")
-    step = step.withColumn("__els", F.filter("__nodes", lambda n: n["kind"] == N.ELEMENT)).withColumn(
-        "__texts", F.filter("__nodes", lambda n: n["kind"].isin(N.TEXT, N.HIDDEN))
+    step = step.withColumns(
+        {
+            "__els": F.filter("__nodes", lambda n: n["kind"] == N.ELEMENT),
+            "__texts": F.filter("__nodes", lambda n: n["kind"].isin(N.TEXT, N.HIDDEN)),
+        }
     )
     els, texts = F.col("__els"), F.col("__texts")
     rel_next = _first(
@@ -327,32 +330,42 @@ def with_page_pagination(pages: DataFrame, url: str = "url", html: str = "html",
         " ",
     )
     material = F.exists(els, _any(_tag("mat-paginator"), _class("mat-paginator"))) & page_text.rlike(MATERIAL_RANGE)
-    step = (
-        step.withColumn("__offset", _offset_links(els, page_url))
-        .withColumn("__rel", F.nullif(N.attr(rel_next, "href"), F.lit("")))
-        .withColumn("__numbered", _numbered_links(els, texts, page_url))
+    step = step.withColumns(
+        {
+            "__offset": _offset_links(els, page_url),
+            "__rel": F.nullif(N.attr(rel_next, "href"), F.lit("")),
+            "__numbered": _numbered_links(els, texts, page_url),
+        }
     )
     # Each later test runs only where the earlier ones found nothing.
     open_question = (F.size("__offset") < 2) & F.col("__rel").isNull()
-    step = (
-        step.withColumn("__rel_url", F.when(F.col("__rel").isNotNull(), U.resolve(F.col("__rel"), page_url)))
-        .withColumn("__rel_config", P.infer_from_url(F.col("__rel_url")))
-        .withColumn("__material", F.when(open_question, material))
-        .withColumn("__selector", F.when(open_question, _next_selector(els)))
-        .withColumn("__label", F.when(open_question & F.col("__selector").isNull(), _next_label(els)))
-        .withColumn("__url_type", P.infer_from_url(page_url)["type"])
-        .withColumn("__buttons", _page_buttons(els))
-        .withColumn("__more", F.when(open_question, _load_more(els, texts)))
-        .withColumn(
-            "__prev_off",
-            F.exists(els, lambda n: F.contains(F.lower(N.attr_or_empty(n, "aria-label")), F.lit("prev")) & N.is_disabled(n)),
-        )
-        .withColumn(
-            "__shell",
-            F.exists(
+    step = step.withColumns(
+        {
+            "__rel_url": F.when(F.col("__rel").isNotNull(), U.resolve(F.col("__rel"), page_url)),
+            "__material": F.when(open_question, material),
+            "__selector": F.when(open_question, _next_selector(els)),
+            "__buttons": _page_buttons(els),
+            "__more": F.when(open_question, _load_more(els, texts)),
+            "__prev_off": F.exists(
+                els, lambda n: F.contains(F.lower(N.attr_or_empty(n, "aria-label")), F.lit("prev")) & N.is_disabled(n)
+            ),
+            "__shell": F.exists(
                 F.array(*[F.lit(m) for m in SHELL_MARKERS]), lambda m: F.contains(F.lower(nvl(F.col(html))), m)
             ),
-        )
+        }
+    )
+    # The page's own URL and the one it names go through the same inference.
+    inferred = F.transform(F.array(page_url, F.col("__rel_url")), P.infer_from_url)
+    step = step.withColumns(
+        {
+            "__inferred": inferred,
+            "__label": F.when(open_question & F.col("__selector").isNull(), _next_label(els)),
+        }
+    ).withColumns(
+        {
+            "__url_type": F.element_at("__inferred", 1)["type"],
+            "__rel_config": F.when(F.col("__rel_url").isNotNull(), F.element_at("__inferred", 2)),
+        }
     )
     n_numbered, buttons = F.size("__numbered"), F.col("__buttons")
     offset, selector, label, more = (F.col(c) for c in ("__offset", "__selector", "__label", "__more"))
@@ -583,10 +596,22 @@ def plan_pagination(first_pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES)
         "__config", config_from_page(F.col("paging"), F.col("numbered_links"), F.col("clean_text"), limit)
     )
     config, by_url, ok = F.col("__config"), F.col("__by_url"), F.coalesce(F.col("success"), F.lit(False))
-    second = F.coalesce(F.nullif(config["next_url"], F.lit("")), P.next_page_url(seed, config))
-    tail = F.filter(url_sequence(second, config, limit - 1), lambda u: u.isNotNull() & (u != seed))
+    # One sequence expression serves both rules: URL-driven runs start at the first page, others
+    # at the next URL the page names (or at the one that follows from the parameter).
+    named = F.nullif(config["next_url"], F.lit(""))
+    pages = pages.withColumns(
+        {
+            "__driver": F.coalesce(by_url, config),
+            "__start": F.when(by_url.isNotNull() | named.isNull(), seed).otherwise(named),
+        }
+    )
+    steps = limit - F.when(F.col("__start") == seed, 0).otherwise(1)
+    pages = pages.withColumn("__sequence", F.when(
+        by_url.isNotNull() | (ok & (config["type"] == "url_param")), url_sequence(F.col("__start"), F.col("__driver"), steps)
+    ))
+    tail = F.filter("__sequence", lambda u: u != seed)
     urls = (
-        F.when(by_url.isNotNull(), url_sequence(seed, by_url, limit))
+        F.when(by_url.isNotNull(), F.col("__sequence"))
         .when(~ok, F.array(seed))
         .when(
             config["type"] == "url_list",
@@ -597,7 +622,7 @@ def plan_pagination(first_pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES)
             F.concat(F.array(seed), numbered_page_urls(seed, F.col("numbered_links"), limit)),
         )
         .when(
-            (config["type"] == "url_param") & (limit > 1) & second.isNotNull(), F.concat(F.array(seed), tail)
+            (config["type"] == "url_param") & (limit > 1), F.concat(F.array(seed), tail)
         )
         .otherwise(F.array(seed))
     )

@@ -9,7 +9,9 @@ from pagewright.operators import crawl as C
 from pagewright.operators import links as L
 from pagewright.operators import pagination as G
 from pagewright.plans.registry import query
+from pagewright.plans.derived import marked_pages
 from pagewright.plans.detection_queries import _marked
+from pagewright.session import materialize
 
 # Link graph of all line items: a supplier's page lists its parts in part order, a part's page its
 # suppliers. Seeds: the first supplier of every nation.
@@ -25,7 +27,8 @@ def _graph(t):
     s, p = F.concat(F.lit(_HOST + "/s/"), "l_suppkey"), F.concat(F.lit(_HOST + "/p/"), "l_partkey")
     # The target number itself serves as place on the page: it has the order of the SQL row number.
     down = pairs.select(s.alias("src"), p.alias("dst"), F.col("l_partkey").alias("pos"))
-    return down.unionByName(pairs.select(p.alias("src"), s.alias("dst"), F.col("l_suppkey").alias("pos")))
+    # Every generation reads the graph, so it is written once.
+    return materialize(down.unionByName(pairs.select(p.alias("src"), s.alias("dst"), F.col("l_suppkey").alias("pos"))), "edges")
 
 
 def _seeds(t):
@@ -33,8 +36,8 @@ def _seeds(t):
     return firsts.select(F.concat(F.lit(_HOST + "/s/"), "k").alias("seed"))
 
 
-def _all_pages(t):
-    return _graph(t).select(F.col("src").alias("url")).distinct().withColumn("success", F.lit(True))
+def _all_pages(graph):
+    return graph.select(F.col("src").alias("url")).distinct().withColumn("success", F.lit(True))
 
 
 @query(
@@ -68,14 +71,16 @@ SELECT seed, seed AS url, 0 AS depth, 0 AS position FROM seeds UNION ALL SELECT
 UNION ALL SELECT seed, url, 2, n + ord FROM l2 UNION ALL SELECT seed, url, 3, n + ord FROM l3""",
 )
 def bfs_crawl_order(t):
-    return C.crawl(_seeds(t), _graph(t), _all_pages(t), max_pages=100, max_depth=3)
+    graph = _graph(t)
+    return C.crawl(_seeds(t), graph, _all_pages(graph), max_pages=100, max_depth=3)
 
 
 @query("bfs_crawl_with_failures")
 def bfs_crawl_with_failures(t):
     """As above, but every third part page fails and gives its place in the budget back."""
-    pages = _all_pages(t).withColumn("success", ~F.col("url").rlike("/p/[0-9]*[369]$"))
-    return C.crawl(_seeds(t), _graph(t), pages, max_pages=100, max_depth=3)
+    graph = _graph(t)
+    pages = _all_pages(graph).withColumn("success", ~F.col("url").rlike("/p/[0-9]*[369]$"))
+    return C.crawl(_seeds(t), graph, pages, max_pages=100, max_depth=3)
 
 
 @query("crawl_with_pagination")
@@ -85,7 +90,8 @@ def crawl_with_pagination(t):
     pages = marked.select(
         "url", "html", F.regexp_replace("html", "<[^>]+>", " ").alias("clean_text"), (~F.col("detection.is_blocked")).alias("success")
     )
-    edges = L.link_edges(L.extract_links(marked))
+    pages = materialize(pages, "pages")
+    edges = materialize(L.link_edges(L.extract_links(marked_pages(t.pages))), "edges")
     return G.crawl_with_pagination(pages.select(F.col("url").alias("seed")), pages, edges)
 
 
