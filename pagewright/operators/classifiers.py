@@ -2,8 +2,8 @@
 
 Training follows the usual public definitions: TF-IDF with word 1-2-grams, sublinear term
 frequency, smoothed inverse document frequency and unit length; hashed word 1-2-grams; and
-given sentence embeddings. Each feeds a multinomial logistic regression with balanced class
-weights. Vectors are built by Spark expressions; there is no Python in the row path.
+given sentence embeddings. Each feeds a logistic regression (binomial for two classes, else
+multinomial) with balanced class weights. Vectors are built by Spark expressions; there is no Python in the row path.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def _regression(n_rows: float, c: float = 1.0, max_iter: int = 1000) -> Logistic
     # Balanced weights sum to the number of rows; Spark divides the loss by that sum.
     return LogisticRegression(
         featuresCol="features", labelCol="label_index", weightCol="weight", maxIter=max_iter,
-        regParam=1.0 / (c * max(n_rows, 1.0)), elasticNetParam=0.0, standardization=False, family="multinomial", tol=1e-4,
+        regParam=1.0 / (c * max(n_rows, 1.0)), elasticNetParam=0.0, standardization=False, tol=1e-4,
     )
 
 
@@ -142,6 +142,8 @@ class TfidfClassifier:
         vectors = sparse_vectors(tfidf_weights(counts, vocab, key), key, vocab.count())
         classes = _classes(labelled, "label")
         rows = label_index(balanced(labelled.drop("__text").join(vectors, key)), classes)
+        # Fitting reads its input more than once.
+        rows = materialize(rows.select("features", "label_index", "weight"), "training")
         return cls(vocab, _regression(n_docs).fit(rows), classes)
 
     def predict(self, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -192,7 +194,7 @@ class PipelineClassifier:
 def _fit(name: str, labelled: DataFrame, column: str, stages: list, max_iter: int) -> PipelineClassifier:
     rows = labelled.select(F.col(column).alias("input"), F.col("label").cast("string").alias("label"))
     classes = _classes(rows, "label")
-    rows = label_index(balanced(rows), classes)
+    rows = materialize(label_index(balanced(rows), classes), "training")
     pipeline = Pipeline(stages=[*stages, _regression(rows.count(), max_iter=max_iter)])
     return PipelineClassifier(pipeline.fit(rows), classes, name)
 

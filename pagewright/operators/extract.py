@@ -224,8 +224,12 @@ def prune(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
-def _token_rows(rows: DataFrame, key: str) -> DataFrame:
-    """Two tokens per element (before and after its content), one per other node, in three notations."""
+def _token_rows(rows: DataFrame, key: str, notations: tuple[str, ...]) -> DataFrame:
+    """Two tokens per element (before and after its content), one per other node.
+
+    Notations: html, text (with run marks) and md. Unused ones are not computed, nor are the
+    windows that only they need.
+    """
     by_id = W.partitionBy(key).orderBy("id")
     before = by_id.rowsBetween(W.unboundedPreceding, -1)
     n = {c: F.col(c) for c in ("id", "parent", "last", "kind", "tag", "attrs", "text", "title", "link")}
@@ -277,21 +281,32 @@ def _token_rows(rows: DataFrame, key: str) -> DataFrame:
         .otherwise(_mark(n["tag"], 1))
     )
     mark = F.when(F.col("__in_link"), F.lit(LINK_RUN)).otherwise(F.lit(RUN))
-    open_token = F.struct(
-        n["id"].alias("at"), F.lit(0).alias("phase"), F.lit(0).alias("tie"),
-        F.when(element, F.concat(_open_tag(n["tag"], n["attrs"], n["link"]), _escape(title)))
-        .when(is_text, _escape(n["text"])).otherwise(n["text"]).alias("html"),
-        F.when(element, F.concat(F.when(F.col("__outer"), F.lit(RUN)).otherwise(empty),
-                                 F.when(title != "", F.concat(F.when(F.col("__outer"), empty).otherwise(mark), title)).otherwise(empty)))
+    outer = F.col("__outer")
+    opened = {
+        "html": F.when(element, F.concat(_open_tag(n["tag"], n["attrs"], n["link"]), _escape(title)))
+        .when(is_text, _escape(n["text"]))
+        .otherwise(n["text"]),
+        "text": F.when(
+            element,
+            F.concat(
+                F.when(outer, F.lit(RUN)).otherwise(empty),
+                F.when((title != "") & ~outer, F.concat(mark, title)).otherwise(title),
+            ),
+        )
         .when(is_text, F.concat(F.when(F.col("__new_run"), mark).otherwise(empty), n["text"]))
-        .otherwise(empty).alias("text"),
-        F.when(element, md_open).when(is_text, flowing).otherwise(empty).alias("md"),
+        .otherwise(empty),
+        "md": F.when(element, md_open).when(is_text, flowing).otherwise(empty),
+    }
+    closed = {
+        "html": F.when(n["tag"].isin(sorted(N.VOID_TAGS)), empty).otherwise(F.concat(F.lit("</"), n["tag"], F.lit(">"))),
+        "text": F.when(outer, F.concat(F.lit(LINK_END), n["link"], F.lit(RUN))).otherwise(empty),
+        "md": md_close,
+    }
+    open_token = F.struct(
+        n["id"].alias("at"), F.lit(0).alias("phase"), F.lit(0).alias("tie"), *[opened[f].alias(f) for f in notations]
     )
     close_token = F.struct(
-        n["last"].alias("at"), F.lit(1).alias("phase"), (-n["id"]).alias("tie"),
-        F.when(n["tag"].isin(sorted(N.VOID_TAGS)), empty).otherwise(F.concat(F.lit("</"), n["tag"], F.lit(">"))).alias("html"),
-        F.when(F.col("__outer"), F.concat(F.lit(LINK_END), n["link"], F.lit(RUN))).otherwise(empty).alias("text"),
-        md_close.alias("md"),
+        n["last"].alias("at"), F.lit(1).alias("phase"), (-n["id"]).alias("tie"), *[closed[f].alias(f) for f in notations]
     )
     tokens = F.when(element, F.array(open_token, close_token)).otherwise(F.array(open_token))
     return rows.withColumn("__tokens", tokens).select(key, F.explode_outer("__tokens").alias("token"))
@@ -314,6 +329,19 @@ def _markdown(stream: Column) -> Column:
     return strip(F.regexp_replace(tidy, "\n{3,}", "\n\n"))
 
 
+def _streams(
+    pages: DataFrame, key: str, url: str, html: str, partitions: int | None, notations: tuple[str, ...]
+) -> DataFrame:
+    """One row per page with the token stream of each wanted notation."""
+    tokens = _token_rows(prune(node_table(pages, key, url, html, partitions), key), key, notations)
+    ordered = tokens.groupBy(key).agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+
+    def joined(field: str) -> Column:
+        return F.array_join(F.transform("tokens", lambda t: t[field]), "").alias(field)
+
+    return ordered.select(key, *[joined(f) for f in notations])
+
+
 def extract_content(
     pages: DataFrame,
     key: str = "page_id",
@@ -323,17 +351,12 @@ def extract_content(
     partitions: int | None = None,
 ) -> DataFrame:
     """One row per page with non-empty HTML: key, normalized_html, clean_text, markdown, metrics."""
-    tokens = _token_rows(prune(node_table(pages, key, url, html, partitions), key), key)
-    ordered = tokens.groupBy(key).agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-
-    def stream(field: str) -> Column:
-        return F.array_join(F.transform("tokens", lambda t: t[field]), "")
-
-    bundle = ordered.select(
+    streams = _streams(pages, key, url, html, partitions, ("html", "text", "md"))
+    bundle = streams.select(
         key,
-        stream("html").alias("normalized_html"),
-        _clean_text(stream("text")).alias("clean_text"),
-        _markdown(stream("md")).alias("markdown"),
+        F.col("html").alias("normalized_html"),
+        _clean_text(F.col("text")).alias("clean_text"),
+        _markdown(F.col("md")).alias("markdown"),
     )
     return bundle.withColumn(
         "metrics",
@@ -346,9 +369,17 @@ def extract_content(
     )
 
 
-def clean_html_to_text(pages: DataFrame, key: str = "page_id", **columns: str) -> DataFrame:
-    return extract_content(pages, key, **columns).select(key, "clean_text")
+def clean_html_to_text(
+    pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", partitions: int | None = None
+) -> DataFrame:
+    """Clean text only; the tokens of the other notations are not built."""
+    streams = _streams(pages, key, url, html, partitions, ("text",))
+    return streams.select(key, _clean_text(F.col("text")).alias("clean_text"))
 
 
-def normalize_html(pages: DataFrame, key: str = "page_id", **columns: str) -> DataFrame:
-    return extract_content(pages, key, **columns).select(key, "normalized_html")
+def normalize_html(
+    pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", partitions: int | None = None
+) -> DataFrame:
+    """Normalized HTML only."""
+    streams = _streams(pages, key, url, html, partitions, ("html",))
+    return streams.select(key, F.col("html").alias("normalized_html"))

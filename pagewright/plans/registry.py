@@ -8,6 +8,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagewright.session import spread
+
+# Tables whose rows are costly to process.
+TEXT_TABLES = ("pages", "documents", "conversations")
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 MODULES = [
@@ -30,7 +35,8 @@ class Tables:
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table) if name in TEXT_TABLES else table
 
 
 @dataclass(frozen=True)

@@ -187,7 +187,10 @@ def text_similarity_pairs(t):
     """Each turn of a conversation against the turn before it: one partner per row."""
     turns = t.conversations
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
-    pairs = turns.join(before, ["conv_id", "turn"])
+    # Placed by the join keys, so that a sorted or hashed join adds no shuffle for this side and a
+    # broadcast one still leaves the comparisons spread out.
+    width = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = turns.repartition(width, "conv_id", "turn").join(before, ["conv_id", "turn"])
     return pairs.select("conv_id", "turn", text_similarity(F.col("text"), F.col("reference")).alias("similarity"))
 
 
