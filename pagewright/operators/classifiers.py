@@ -24,6 +24,7 @@ from pagewright.operators.ensemble import classifier_vote
 from pagewright.session import materialize
 
 MAX_FEATURES, MIN_DOCS = 20_000, 2
+MAX_CLASSES = 1000
 HASH_FEATURES = 1 << 18
 _VECTOR = T.StructType([T.StructField("v", VectorUDT())])
 
@@ -91,19 +92,24 @@ def sparse_vectors(weights: DataFrame, key: str, size: int) -> DataFrame:
     return cells.select(key, F.from_json(F.to_json(parts), _VECTOR)["v"].alias("features"))
 
 
-def balanced(labelled: DataFrame, label: str = "label") -> DataFrame:
-    """Add `weight` = rows / (classes x rows of the class). Classes are few: the table is broadcast by size."""
-    per_class = labelled.groupBy(label).agg(F.count("*").alias("__n"))
-    # One row per class goes through these windows.
-    everything = W.partitionBy()
-    per_class = per_class.select(
-        "*", F.sum("__n").over(everything).alias("__all"), F.count("*").over(everything).alias("__classes")
-    )
-    return (
-        labelled.join(per_class, label)
-        .withColumn("weight", F.col("__all") / (F.col("__classes") * F.col("__n")))
-        .drop("__n", "__all", "__classes")
-    )
+def class_sizes(labelled: DataFrame, label: str = "label") -> dict[str, int]:
+    """Rows per class in label order. The driver receives one row per class, and only few classes."""
+    counts = labelled.groupBy(F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n"))
+    rows = counts.orderBy("label").limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes: is {label!r} a label?")
+    return {r["label"]: r["n"] for r in rows}
+
+
+def prepared(labelled: DataFrame, sizes: dict[str, int], label: str = "label") -> DataFrame:
+    """Add `label_index` and the balanced `weight` = rows / (classes x rows of the class).
+
+    Both come from literal maps: a join on the label would send each class to one task.
+    """
+    total = sum(sizes.values())
+    index = F.create_map(*[F.lit(x) for i, c in enumerate(sizes) for x in (c, float(i))])
+    weight = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, total / (len(sizes) * n))])
+    return labelled.withColumns({"label_index": F.element_at(index, F.col(label)), "weight": F.element_at(weight, F.col(label))})
 
 
 def _regression(n_rows: float, c: float = 1.0, max_iter: int = 1000) -> LogisticRegression:
@@ -114,16 +120,6 @@ def _regression(n_rows: float, c: float = 1.0, max_iter: int = 1000) -> Logistic
     )
 
 
-def label_index(df: DataFrame, classes: list[str], label: str = "label") -> DataFrame:
-    """Number labels by their place in the (sorted) class list."""
-    return df.withColumn("label_index", (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1).cast("double"))
-
-
-def _classes(labelled: DataFrame, label: str) -> list[str]:
-    # One row per class.
-    return [r[0] for r in labelled.select(F.col(label).cast("string")).distinct().orderBy(label).collect()]
-
-
 @dataclass
 class TfidfClassifier:
     """TF-IDF and logistic regression."""
@@ -136,15 +132,15 @@ class TfidfClassifier:
     @classmethod
     def train(cls, labelled: DataFrame, key: str, text: str, label: str = "label") -> TfidfClassifier:
         labelled = labelled.select(key, F.col(text).alias("__text"), F.col(label).cast("string").alias("label"))
-        n_docs = labelled.count()
+        sizes = class_sizes(labelled)
+        n_docs = sum(sizes.values())
         counts = materialize(term_counts(labelled, key, "__text"), "terms")
         vocab = materialize(vocabulary(counts, n_docs), "vocabulary")
         vectors = sparse_vectors(tfidf_weights(counts, vocab, key), key, vocab.count())
-        classes = _classes(labelled, "label")
-        rows = label_index(balanced(labelled.drop("__text").join(vectors, key)), classes)
+        rows = prepared(labelled.drop("__text").join(vectors, key), sizes)
         # Fitting reads its input more than once.
         rows = materialize(rows.select("features", "label_index", "weight"), "training")
-        return cls(vocab, _regression(n_docs).fit(rows), classes)
+        return cls(vocab, _regression(n_docs).fit(rows), list(sizes))
 
     def predict(self, docs: DataFrame, key: str, text: str) -> DataFrame:
         """(key, page_type, probability). Documents without a known term get the intercept's class."""
@@ -193,10 +189,10 @@ class PipelineClassifier:
 
 def _fit(name: str, labelled: DataFrame, column: str, stages: list, max_iter: int) -> PipelineClassifier:
     rows = labelled.select(F.col(column).alias("input"), F.col("label").cast("string").alias("label"))
-    classes = _classes(rows, "label")
-    rows = materialize(label_index(balanced(rows), classes), "training")
-    pipeline = Pipeline(stages=[*stages, _regression(rows.count(), max_iter=max_iter)])
-    return PipelineClassifier(pipeline.fit(rows), classes, name)
+    sizes = class_sizes(rows)
+    rows = materialize(prepared(rows, sizes), "training")
+    pipeline = Pipeline(stages=[*stages, _regression(sum(sizes.values()), max_iter=max_iter)])
+    return PipelineClassifier(pipeline.fit(rows), list(sizes), name)
 
 
 def train_word_vectors(labelled: DataFrame, text: str, n_features: int = HASH_FEATURES) -> PipelineClassifier:
