@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, SQLTransformer
@@ -163,6 +164,17 @@ class TfidfClassifier:
         return cls(spark.read.parquet(f"{path}/vocabulary"), LogisticRegressionModel.load(f"{path}/model"), classes)
 
 
+    @classmethod
+    def load_or_train(cls, spark: SparkSession, path: str, labelled: DataFrame, key: str, text: str) -> TfidfClassifier:
+        """The stored model, or a new one that is then stored."""
+        try:
+            return cls.load(spark, path)
+        except AnalysisException:
+            model = cls.train(labelled, key, text)
+            model.save(path)
+            return model
+
+
 @dataclass
 class PipelineClassifier:
     """A Spark ML pipeline that ends in a logistic regression."""

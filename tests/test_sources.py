@@ -128,7 +128,8 @@ def test_classifier_survives_saving(spark, tmp_path):
     df = spark.createDataFrame(rows, "id int, text string, label string")
     model = C.TfidfClassifier.train(df, "id", "text")
     model.save(str(tmp_path / "m"))
-    loaded = C.TfidfClassifier.load(spark, str(tmp_path / "m"))
+    loaded = C.TfidfClassifier.load_or_train(spark, str(tmp_path / "m"), df, "id", "text")
+    assert C.TfidfClassifier.load_or_train(spark, str(tmp_path / "new"), df, "id", "text").classes == model.classes
     fresh = spark.createDataFrame([(1, "robot verify challenge"), (2, "buy product cart"), (3, "zzz")], "id int, text string")
     before, after = ({r.id: (r.page_type, round(r.probability, 9)) for r in m.predict(fresh, "id", "text").collect()} for m in (model, loaded))
     assert before == after and before[1][0] == "BLOCKED" and before[2][0] == "NORMAL" and 3 in before
