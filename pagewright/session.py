@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_FOLDERS: dict[str, SparkSession] = {}
+_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def build_session(app_name: str = "pagewright", master: str | None = None, **conf: str) -> SparkSession:
     """Return a session with the settings the operators assume.
 
@@ -45,18 +50,38 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: `spark.checkpoint.dir` of the session.
+    """Shared folder for intermediate tables.
 
-    A throw-away folder is made only for local masters where the setting is absent.
+    `spark.checkpoint.dir` of the session; where it is unset, a folder beside the managed
+    tables in `spark.sql.warehouse.dir`, which a cluster shares as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="pagewright-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate").rstrip("/")
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """Path of a fresh folder below `checkpoint_root`; it is removed when the driver ends."""
+    path = f"{checkpoint_root(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    if not _FOLDERS:
+        atexit.register(_remove_all)
+    _FOLDERS[path] = spark
+    return path
+
+
+def remove_folder(path: str) -> None:
+    """Delete a folder made by `new_folder`, on whatever file system it lies."""
+    spark = _FOLDERS.pop(path, None)
+    if spark is not None:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _remove_all() -> None:
+    for path in list(_FOLDERS):
+        try:
+            remove_folder(path)
+        except Exception:  # the JVM may have ended before
+            return
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -64,9 +89,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     This cuts lineage durably (the files survive lost executors) and gives Catalyst
     true byte sizes, so that a later join is broadcast only if it is below
-    `spark.sql.autoBroadcastJoinThreshold`.
+    `spark.sql.autoBroadcastJoinThreshold`. `release` removes the table earlier than the
+    end of the driver.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _STORED[stored] = path
+    return stored
+
+
+def release(df: DataFrame) -> None:
+    """Remove what `materialize` wrote for `df`; nothing may read it afterwards."""
+    path = _STORED.pop(df, None)
+    if path:
+        remove_folder(path)
