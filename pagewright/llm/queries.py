@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm.decontamination import contamination
+from pagewright.llm.pii import personal_data_digest
 from pagewright.llm.simhash import simhash_components
 
 
@@ -19,6 +20,11 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(_table(spark, folder, "documents"))
 
 
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    return personal_data_digest(_table(spark, folder, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words and items of the benchmark in every document."""
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -26,6 +32,7 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op5_pii": op5_pii,
     "op9_decontamination": op9_decontamination,
 }
 
@@ -46,6 +53,54 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit ON d.rid = hit.rid LEFT JOIN ids ON d.rid = ids.rid"""
 
+def _spans_sql(kind: str, pattern: str, check: str) -> str:
+    """(start, end, match) of the confirmed matches of a kind; `m` in `check` is one of them."""
+    pairs = f"""list_transform(range(1, len(found) + 1), lambda i: {{
+      's': list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0),
+      'm': found[i]}})"""
+    return f"""{kind} AS (SELECT rid, list_filter(list_transform({pairs}, lambda x: {{
+      's': CAST(x.s AS BIGINT), 'e': CAST(x.s + length(x.m) AS BIGINT), 'm': x.m,
+      'before': CASE WHEN x.s > 0 THEN substring(text, CAST(x.s AS BIGINT), 1) ELSE '' END,
+      'after': substring(text, CAST(x.s + length(x.m) + 1 AS BIGINT), 1),
+      'context': lower(substring(text, CAST(greatest(x.s - 39, 1) AS BIGINT), CAST(least(x.s, 40) AS BIGINT)))}}), lambda x: {check}) AS spans
+      FROM (SELECT rid, text, regexp_extract_all(text, '{pattern}') AS found, string_split_regex(text, '{pattern}') AS pieces FROM d))"""
+
+
+_DIGITS5 = "regexp_replace(x.m, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS5}) + 1), lambda i: CASE
+  WHEN (length({_DIGITS5}) - i) % 2 = 0 THEN CAST({_DIGITS5}[i] AS INT)
+  WHEN CAST({_DIGITS5}[i] AS INT) > 4 THEN 2 * CAST({_DIGITS5}[i] AS INT) - 9 ELSE 2 * CAST({_DIGITS5}[i] AS INT) END)) % 10 = 0"""
+_ACCOUNT = "replace(x.m, ' ', '')"
+_MOD97 = f"""list_reduce(list_prepend(0, list_transform(string_split({_ACCOUNT}[5:] || {_ACCOUNT}[1:4], ''),
+  lambda c: CASE WHEN c <= '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)),
+  lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1"""
+_ALONE = "NOT regexp_matches(x.before, '[A-Za-z0-9]') AND NOT regexp_matches(x.after, '[A-Za-z0-9]')"
+_IBAN = "[A-Z]{2}[0-9]{2}([A-Z0-9]{11,30}|( [A-Z0-9]{4}){2,7}( [A-Z0-9]{1,3})?)"
+_OCTET5 = "0*(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+_KINDS5 = [
+    _spans_sql("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    _spans_sql("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", rf"regexp_full_match(x.m, '{_OCTET5}\.{_OCTET5}\.{_OCTET5}\.{_OCTET5}')"),
+    _spans_sql("card", "[0-9]([ -]?[0-9])+", f"CASE WHEN length({_DIGITS5}) BETWEEN 16 AND 19 THEN {_LUHN} ELSE false END"),
+    _spans_sql("phone", r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS5}) BETWEEN 8 AND 15"),
+    _spans_sql("iban", _IBAN, f"CASE WHEN {_ALONE} THEN {_MOD97} ELSE false END"),
+    _spans_sql("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", f"""{_ALONE} AND NOT regexp_matches(x.m, '^(000|666|9)|-00-|0000$')
+      AND regexp_matches(x.context, '\\bssn\\b|social security')"""),
+]
+_NAMES5 = ["email", "ip", "card", "phone", "iban", "ssn"]
+
+
+def _joined5(names: list[str]) -> str:
+    parts = ", ".join(f"list_transform({k}.spans, lambda x: '{k}:' || x.s || ':' || x.e)" for k in names)
+    return f"array_to_string(list_concat({parts}), ',')"
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents), {", ".join(_KINDS5)}
+SELECT doc_id, {", ".join(f"CAST(len({k}.spans) AS BIGINT) AS n_{k}" for k in _NAMES5[:4])},
+  sha256({_joined5(_NAMES5[:4])}) AS base_sha256, {_joined5(_NAMES5)} AS spans
+FROM d {" ".join(f"JOIN {k} USING (rid)" for k in _NAMES5)}"""
+
 LLM_ORACLE_SQL: dict[str, str] = {
+    "op5_pii": OP5_SQL,
     "op9_decontamination": OP9_SQL,
 }
