@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm.decontamination import contamination
+from pagewright.llm.mixing import mixed
 from pagewright.llm.pii import personal_data_digest
 from pagewright.llm.simhash import simhash_components
 
@@ -20,6 +21,11 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(_table(spark, folder, "documents"))
 
 
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixed(_table(spark, folder, "documents"))
+
+
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document."""
     return personal_data_digest(_table(spark, folder, "documents"))
@@ -32,6 +38,7 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
     "op9_decontamination": op9_decontamination,
 }
