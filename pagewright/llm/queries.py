@@ -10,6 +10,8 @@ from pagewright.llm.decontamination import contamination
 from pagewright.llm.mixing import mixed
 from pagewright.llm.pii import personal_data_digest
 from pagewright.llm.simhash import simhash_components
+from pagewright.llm.token_files import token_files
+from pagewright.llm.warc import archived
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +33,17 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data_digest(_table(spark, folder, "documents"))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """The record of every page, read back from normalised archives."""
+    found = archived(_table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Place, number and checksum of every document's ids, read back from the files."""
+    return token_files(_table(spark, folder, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words and items of the benchmark in every document."""
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -40,6 +53,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
+    "op6_warc": op6_warc,
+    "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
 }
 
