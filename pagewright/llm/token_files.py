@@ -16,9 +16,11 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ MAGIC = b"PFORIDS1"
 HEAD, HEAD_BYTES = "<IBHH", struct.calcsize("<IBHH")
 FOOT, FOOT_BYTES = "<QQQQ8s", struct.calcsize("<QQQQ8s")
 END_ID = 2
+# Bytes of text that are encoded together.
+BATCH_BYTES = 32 << 20
 
 
 def _lengths(values: np.ndarray) -> np.ndarray:
@@ -193,117 +197,142 @@ class TokenFile:
         return sums
 
 
+# White space of any kind; a piece without it but for a leading line feed can be encoded alone.
+_SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+PLAIN_PIECE = rf"^\n?[^{_SPACES}]+$"
+
+
+# Fixed value: the published pre-token pattern of byte-level pair encodings.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _spread(sizes: np.ndarray, flat: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of `flat` for a sequence of `codes`, entry i having `sizes[i]` of them; and their numbers."""
+    counts = sizes[codes]
+    ends = np.cumsum(counts)
+    begins = np.cumsum(sizes) - sizes
+    return counts, flat[np.repeat(begins[codes] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
-    """Ids of texts, each distinct piece encoded by the tokenizer once.
+    """Ids of texts, each distinct piece of a batch encoded by the tokenizer once.
 
-    A single space or line feed between two other characters always ends a pre-token of a byte-level
-    tokenizer, so what stands between such places can be encoded alone. Distinct pieces are far fewer
-    than pieces. The table of pieces is emptied between batches when it exceeds `MAX_PIECES`.
+    A single space or line feed between two other characters always begins a pre-token of a byte-level
+    tokenizer, so what stands between such places can be encoded alone, and distinct pieces are far
+    fewer than pieces. Texts with any other white space are encoded whole.
     """
 
-    MAX_PIECES = 400_000
-
     def __init__(self, tokenizer: str):
+        import json
         import os
-        import re
+
+        import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        class Codes(dict):
-            """Piece -> number; new pieces are noted, odd ones apart. `lead` is put before the piece's text."""
-
-            def __init__(self, lead: str, pieces: list[str], odd: set[int]):
-                self.lead, self.pieces, self.odd = lead, pieces, odd
-
-            def __missing__(self, piece: str) -> int:
-                self[piece] = number = len(self.pieces)
-                self.pieces.append(self.lead + piece)
-                if piece.split() != [piece]:
-                    self.odd.add(number)
-                return number
-
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.codes_of = Codes
-        self.safe = re.compile(r"(?<=\S)(?= \S)")
-        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.reset()
-
-    def reset(self) -> None:
-        self.pieces: list[str] = []
-        self.odd: set[int] = set()
-        self.first, self.spaced = self.codes_of("", self.pieces, self.odd), self.codes_of(" ", self.pieces, self.odd)
-        self.feed = self.first["\n"]
-        self.odd.discard(self.feed)
-        self.encoded = 0
-        self.flat = np.zeros(0, np.uint32)
-        self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _encode_new(self) -> None:
-        new = self.pieces[self.encoded :]
-        alone = [i for i in range(len(new)) if i + self.encoded in self.odd or new[i] == "\n"]
-        plain = [i for i in range(len(new)) if i + self.encoded not in self.odd and new[i] != "\n"]
-        if len(self.line_feed) != 1:
-            plain, alone = [], list(range(len(new)))
-        sizes = np.zeros(len(new), np.int64)
-        order: list[int] = []
-        found: list[np.ndarray] = []
-        for begin in range(0, len(plain), 2000):
-            part = plain[begin : begin + 2000]
-            joined = "\n".join([new[i] for i in part]) + "\n"
-            got = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.nonzero(got == self.line_feed[0])[0]
-            if len(cuts) != len(part):
-                alone.extend(part)
-                continue
-            sizes[part] = np.diff(cuts, prepend=-1) - 1
-            order.extend(part)
-            found.append(got[got != self.line_feed[0]])
-        for i, got in zip(alone, self.tokenizer.encode_batch_fast([new[i] for i in alone], add_special_tokens=False)):
-            sizes[i] = len(got.ids)
-            order.append(i)
-            found.append(np.array(got.ids, np.uint32))
-        begins = np.zeros(len(new), np.int64)
-        begins[order] = np.cumsum(sizes[order]) - sizes[order] + len(self.flat)
-        self.begins = np.concatenate([self.begins, begins])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, *found])
-        self.encoded = len(self.pieces)
-
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each text, and all ids; `end` follows each text."""
-        if len(self.pieces) > self.MAX_PIECES:
-            self.reset()
-        first, spaced, feed = self.first, self.spaced, self.feed
-        codes: list[int] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            own: list[int] = []
-            for n, line in enumerate(text.split("\n") if text else ()):
-                if n:
-                    own.append(feed)
-                words = line.split(" ")
-                own.append(first[words[0]])
-                own.extend(map(spaced.__getitem__, words[1:]))
-            if not self.odd.isdisjoint(own):
-                # White space of another kind, or more than one character of it at a place.
-                own = list(map(first.__getitem__, self.safe.split(text)))
-            own.append(-1)
-            counts[k] = len(own)
-            codes.extend(own)
-        if len(self.pieces) > self.encoded:
-            self._encode_new()
-        numbers = np.array(codes, np.int64)
-        last = numbers < 0
-        numbers[last] = 0
-        sizes = self.sizes[numbers]
-        sizes[last] = 1
-        ends = np.cumsum(sizes)
-        where = np.repeat(self.begins[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        ids = self.flat[np.minimum(where, len(self.flat) - 1)] if len(self.flat) else np.zeros(len(where), np.uint32)
-        ids[ends[last] - 1] = end
-        totals = np.add.reduceat(sizes, np.cumsum(counts) - counts) if len(texts) else counts
-        return totals, ids
+        config = json.loads(self.tokenizer.to_str())
+        cutter = config["pre_tokenizer"] or {}
+        self.added = [x["content"] for x in config["added_tokens"]]
+        # Only byte-level pairs without a normaliser allow pieces; other tokenizers get whole texts.
+        self.by_piece = (
+            config["normalizer"] is None and config["model"]["type"] == "BPE" and cutter.get("type") == "ByteLevel"
+            and cutter.get("use_regex", True) and not cutter["add_prefix_space"] and not any(c.split() != [c] for c in self.added)
+        )
+        self.cut = regex.compile(PRE_TOKEN).findall
+        # Bytes that are no visible character are spelled with the letters from 256 on, in order.
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 255 and b != 173)]
+        self.letters = {chr(b): chr(256 + n) for n, b in enumerate(hidden)}
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, `lead` before it, and all ids.
+
+        The pieces are cut into pre-tokens, lines keep them apart; the tokenizer's model gets each distinct
+        pre-token once, in the letters that stand for its bytes.
+        """
+        if not len(pieces):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        coded = pa.array(self.cut(lead + f"\n{lead}".join(pieces.to_pylist()))).dictionary_encode()
+        codes, tokens = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        line = tokens.index("\n") if "\n" in tokens else -1
+        sizes, flat = np.zeros(len(tokens), np.int64), []
+        tokenize = self.tokenizer.model.tokenize
+        spelled = "\n".join(t for t in tokens if t != "\n").encode().decode("latin-1")
+        for byte, letter in self.letters.items():
+            spelled = spelled.replace(byte, letter)
+        spelled = spelled.split(self.letters["\n"])
+        ends, number = [], attrgetter("id")
+        for token in spelled:
+            flat.extend(map(number, tokenize(token)))
+            ends.append(len(flat))
+        sizes[np.arange(len(tokens)) != line] = np.diff(ends[: len(tokens) - (line >= 0)], prepend=0)
+        breaks = np.nonzero(codes == line)[0]
+        counts, ids = _spread(sizes, np.array(flat, np.uint32), codes)
+        starts = np.concatenate([[0], breaks]) if len(breaks) else np.zeros(1, np.int64)
+        return np.add.reduceat(counts, starts), ids
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all ids; null is empty, `end` follows each text."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        codes, pieces = coded.indices.to_numpy(), coded.dictionary
+        plain = pc.match_substring_regex(pieces, PLAIN_PIECE).to_numpy(zero_copy_only=False) & self.by_piece
+        for content in self.added:
+            plain &= ~pc.match_substring(pieces, content).to_numpy(zero_copy_only=False)
+        odd = np.maximum.reduceat(~plain[codes], offsets[:-1]) if len(texts) else np.zeros(0, bool)
+
+        # Three kinds of pieces: first of a text, after a line feed, after a space.
+        fed = pc.starts_with(pieces, "\n").to_numpy(zero_copy_only=False)
+        spaced = np.nonzero(plain & ~fed)[0]
+        lines = np.nonzero(plain & fed)[0]
+        first = pc.take(pieces, pa.array(codes[offsets[:-1]][~odd])).dictionary_encode()
+        whole = self._ids(texts.filter(pa.array(odd)).to_pylist())
+        feed = self._ids(["\n"])[0]
+        parts = [
+            self._pieces(pieces.take(pa.array(spaced)), " "),
+            self._pieces(pc.utf8_slice_codeunits(pieces.take(pa.array(lines)), 1), ""),
+            self._pieces(first.dictionary, ""),
+            (np.array([len(x) for x in whole], np.int64), np.concatenate([np.zeros(0, np.uint32), *(np.array(x, np.uint32) for x in whole)])),
+            (np.array([1]), np.array([end], np.uint32)),
+            (np.array([len(feed)]), np.array(feed, np.uint32)),
+        ]
+        sizes = np.concatenate([p[0] for p in parts])
+        flat = np.concatenate([p[1] for p in parts])
+        base = np.cumsum([0] + [len(p[0]) for p in parts])
+
+        # What each text is made of, as places in `sizes`: its pieces, line feeds before some, its end.
+        place = np.zeros(len(pieces), np.int64)
+        place[spaced] = np.arange(len(spaced))
+        place[lines] = base[1] + np.arange(len(lines))
+        own = place[codes]
+        own[offsets[:-1][~odd]] = base[2] + first.indices.to_numpy()
+        text_of = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        use = ~odd[text_of]
+        feeds = fed[codes] & use
+        feeds[offsets[:-1]] = False
+        width = np.where(use, 1 + feeds, 0)
+        odd_places = offsets[:-1][odd]
+        width[odd_places] = 1
+        own[odd_places] = base[3] + np.arange(len(odd_places))
+        last = offsets[1:] - 1
+        width[last] += 1
+        to = np.cumsum(width)
+        made = np.full(to[-1] if len(to) else 0, base[5], np.int64)
+        keep = use.copy()
+        keep[odd_places] = True
+        ending = np.zeros(len(codes), np.int64)
+        ending[last] = 1
+        made[(to - 1 - ending)[keep]] = own[keep]
+        made[to[last] - 1] = base[4]
+
+        counts, ids = _spread(sizes, flat, made)
+        return np.diff(np.cumsum(counts)[to[last] - 1], prepend=0), ids
 
 
 def _default_tokenizer() -> str:
@@ -325,15 +354,18 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encoder, writer, name, documents = TaskContext.get().partitionId(), None, None, None, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
-                if writer is None:
-                    encoder = Encoder(tokenizer or _default_tokenizer())
-                    name = new_file(folder, part, ".ids")
-                    writer = TokenFileWriter(name)
-                counts, ids = encoder.encode(rows.column(1).to_pylist(), end)
+            if writer is None:
+                encoder = Encoder(tokenizer or _default_tokenizer())
+                name = new_file(folder, part, ".ids")
+                writer = TokenFileWriter(name)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            # Long texts make large batches: cut them where their sum passes a bound.
+            cuts = np.unique(np.searchsorted(sizes, np.arange(0, sizes[-1] if len(sizes) else 0, BATCH_BYTES), side="right"))
+            for at, to in zip(cuts, [*cuts[1:], batch.num_rows] if len(cuts) else []):
+                rows = batch.slice(at, to - at)
+                counts, ids = encoder.encode(rows.column(1), end)
                 writer.add(rows.column(0).to_pylist(), counts, ids)
-                documents += rows.num_rows
+            documents += batch.num_rows
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({
