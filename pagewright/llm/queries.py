@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm.decontamination import contamination
+from pagewright.llm.language import language_id
 from pagewright.llm.mixing import mixed
 from pagewright.llm.pii import personal_data_digest
 from pagewright.llm.simhash import simhash_components
@@ -39,6 +40,11 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language_id(_table(spark, folder, "documents"))
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Place, number and checksum of every document's ids, read back from the files."""
     return token_files(_table(spark, folder, "documents"))
@@ -54,6 +60,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
     "op6_warc": op6_warc,
+    "op7_language_id": op7_language_id,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
 }
