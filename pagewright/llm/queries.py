@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagewright.llm.decontamination import contamination
 from pagewright.llm.language import language_id
 from pagewright.llm.mixing import mixed
+from pagewright.llm.neighbours import nearest
 from pagewright.llm.pii import personal_data_digest
 from pagewright.llm.simhash import simhash_components
 from pagewright.llm.token_files import token_files
@@ -55,6 +57,12 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all others."""
+    rows = _table(spark, folder, "embeddings")
+    return nearest(rows, rows.where(F.col("vec_id") % 20 == 0).select("vec_id"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_mixing": op4_mixing,
@@ -63,6 +71,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
+    "op10_neighbours": op10_neighbours,
 }
 
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
