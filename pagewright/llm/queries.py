@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.decontamination import contamination
 from pagewright.llm.language import language_id
+from pagewright.llm.main_text import main_text
 from pagewright.llm.mixing import mixed
 from pagewright.llm.neighbours import nearest
 from pagewright.llm.pii import personal_data_digest
@@ -26,6 +27,11 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(_table(spark, folder, "documents"))
 
 
+def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(_table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixed(_table(spark, folder, "documents"))
@@ -65,6 +71,7 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_main_text": op3_main_text,
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
     "op6_warc": op6_warc,
