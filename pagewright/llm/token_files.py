@@ -37,7 +37,7 @@ HEAD, HEAD_BYTES = "<IBHH", struct.calcsize("<IBHH")
 FOOT, FOOT_BYTES = "<QQQQ8s", struct.calcsize("<QQQQ8s")
 END_ID = 2
 # Bytes of text that are encoded together.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 12 << 20
 
 
 def _lengths(values: np.ndarray) -> np.ndarray:
@@ -211,7 +211,9 @@ def _spread(sizes: np.ndarray, flat: np.ndarray, codes: np.ndarray) -> tuple[np.
     counts = sizes[codes]
     ends = np.cumsum(counts)
     begins = np.cumsum(sizes) - sizes
-    return counts, flat[np.repeat(begins[codes] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+    where = np.repeat((begins[codes] - (ends - counts)).astype(np.int32), counts)
+    where += np.arange(len(where), dtype=np.int32)
+    return counts, flat[where]
 
 
 class Encoder:
