@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm.context_mixing import scored
 from pagewright.llm.decontamination import contamination
 from pagewright.llm.language import language_id
 from pagewright.llm.main_text import main_text
@@ -27,6 +28,11 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(_table(spark, folder, "documents"))
 
 
+def op2_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document."""
+    return scored(_table(spark, folder, "documents"))
+
+
 def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return main_text(_table(spark, folder, "pages").select("page_id", "url", "html"))
@@ -71,6 +77,7 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_context_mixing": op2_context_mixing,
     "op3_main_text": op3_main_text,
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
