@@ -221,7 +221,15 @@ def mixed(
     )
 
 
-def kept(docs: DataFrame, key: str = "doc_id", **names: str) -> DataFrame:
-    """`docs` that the mix takes at least once; documents without words are not taken."""
-    gone = mixed(docs, key, **names).groupBy(key).agg(F.max("taken").alias("most")).where("most = 0").select(F.col(key).alias("gone_key"))
-    return docs.join(materialize(gone, "not-taken"), docs[key].eqNullSafe(F.col("gone_key")), "left_anti")
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
+    """`docs` as the mix takes them: each row as many times as it is taken, those not taken left out.
+
+    Rows that share a key are taken alike, as often as the first of them.
+    """
+    taken = mixed(docs, key, text, source, seed=seed).groupBy(key).agg(
+        F.max(F.expr("CASE WHEN size > 0 THEN taken DIV size ELSE 0 END")).cast("int").alias("__times")
+    )
+    taken = materialize(taken.where("__times > 0").withColumnRenamed(key, "__key"), "taken")
+    joined = docs.join(taken, docs[key].eqNullSafe(taken["__key"]))
+    copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return copies.select(*[docs[c] for c in docs.columns])
