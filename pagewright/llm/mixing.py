@@ -24,9 +24,10 @@ SEED = 42
 # The seeded order is cut twice into this many bins, so that only documents of one bin in a million
 # are ever put in order one by one.
 BIN_BITS = 10
-# A mix further than this share of its amount from it gets more documents, one at a time per pattern.
+# A mix further than this share of its amount from it is filled again, a few times.
 GAP = 0.002
-GAP_FILLS = 8
+# Each filling takes documents up to so many times more than all of their pattern are taken.
+FILLINGS = (1, 1, 1, 2, 2, 3)
 
 
 def word_count(text: Column) -> Column:
@@ -124,68 +125,74 @@ def routed(patterns: DataFrame, quotas: DataFrame, repeats: int = MAX_REPEATS) -
     )
 
 
-def _cut(rows: DataFrame, bins: list[str], rest: str) -> DataFrame:
-    """Per pattern the bin in which the running size passes `rest`; adds what is left there."""
-    sums = rows.groupBy("pattern", *bins, rest).agg(F.sum("size").alias("size"))
-    before = F.coalesce(
-        F.sum("size").over(Window.partitionBy("pattern").orderBy(bins[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+def _cut(rows: DataFrame, part: str, rest: str) -> DataFrame:
+    """`(pattern, cut_<part>, rest_<part>)`: the bin in which the running size passes `rest`, and what is left there.
+
+    No row for a pattern whose rows all fit.
+    """
+    sums = rows.groupBy("pattern", part, rest).agg(F.sum("size").alias("size"))
+    order = Window.partitionBy("pattern").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    passed = (F.col("before") <= F.col(rest)) & (F.col(rest) < F.col("before") + F.col("size"))
+    return sums.where(passed).select(
+        "pattern", F.col(part).alias(f"cut_{part}"), (F.col(rest) - F.col("before")).alias(f"rest_{part}")
     )
-    return sums.withColumn("before", before).where(
-        (F.col("before") < F.col(rest)) & (F.col(rest) <= F.col("before") + F.col("size"))
-    ).select("pattern", F.col(bins[-1]).alias(f"cut_{bins[-1]}"), (F.col(rest) - F.col("before")).alias(f"{rest}_{bins[-1]}"))
 
 
-def selected(rows: DataFrame, amounts: DataFrame, seed: int = SEED) -> DataFrame:
+def _filled(dealt: DataFrame, plan: DataFrame, fits: Column, n: int) -> tuple[DataFrame, Column]:
+    """Plan and condition for one more filling: the first of the rows that `fits`, in order, up to what is open.
+
+    The running size is taken over bins first and over single documents in one bin of the second kind only.
+    """
+    names = {c: f"{c}{n}" for c in ("cut_bin", "rest_bin", "cut_sub", "rest_sub", "last")}
+    rows = dealt.join(plan.where("open > 0"), "pattern").where(fits & (F.col("size") <= F.col("open")))
+    first = materialize(_cut(rows, "bin", "open").withColumnsRenamed(names), "bins")
+    inside = rows.join(first, "pattern").where(F.col("bin") == F.col(names["cut_bin"]))
+    second = materialize(_cut(inside, "sub", names["rest_bin"]).withColumnsRenamed(names), "bins")
+    inside = inside.join(second, "pattern").where(F.col("sub") == F.col(names["cut_sub"]))
+    place = F.struct("order", "key", "size")
+    before = F.sum("size").over(Window.partitionBy("pattern").orderBy(place))
+    last = inside.withColumn("upto", before).where(F.col("upto") <= F.col(names["rest_sub"]))
+    last = last.groupBy("pattern").agg(F.max(place).alias(names["last"]))
+    plan = materialize(plan.join(first, "pattern", "left").join(second, "pattern", "left").join(last, "pattern", "left"), "plan")
+    cut, sub = F.col(names["cut_bin"]), F.col(names["cut_sub"])
+    in_last = (F.col("sub") < sub) | ((F.col("sub") == sub) & F.coalesce(place <= F.col(names["last"]), F.lit(False)))
+    ahead = F.when(cut.isNull(), True).otherwise((F.col("bin") < cut) | ((F.col("bin") == cut) & in_last))
+    # What is open changes below: the condition keeps to what was open here.
+    kept = f"open{n}"
+    plan = plan.withColumn(kept, F.col("open"))
+    chosen = fits & (F.col("size") <= F.col(kept)) & ahead
+    used = dealt.join(plan, "pattern").where(chosen).groupBy("pattern").agg(F.sum("size").alias("used"))
+    plan = plan.join(used, "pattern", "left").withColumn("open", F.col("open") - F.coalesce("used", F.lit(0))).drop("used")
+    return materialize(plan, "plan"), chosen
+
+
+def selected(rows: DataFrame, amounts: DataFrame, seed: int = SEED, repeats: int = MAX_REPEATS) -> DataFrame:
     """`rows(key, pattern, size)` and `amounts(pattern, total, amount)` -> rows with `taken`.
 
-    Every document is taken `amount div total` times; the rest of the amount goes to one more
-    repetition of the first documents in the order of a hash of seed and key, and to a few whose sizes
-    fill the gap that is left. Same rows, same choice; rows that repeat key and size are chosen together.
+    Every document is taken `amount div total` times. The rest of the amount goes to one more repetition of the
+    first documents in the order of a hash of seed and key. A document that does not fit ends a filling; further
+    fillings take the first of those that still fit, at last once more than all others, but never more than `repeats`
+    times. Same rows, same choice; rows that repeat key and size are chosen together.
     """
-    amounts = amounts.select(
+    plan = materialize(amounts.select(
         "pattern", "amount", F.expr("CASE WHEN total > 0 THEN amount DIV total ELSE 0 END").alias("whole"),
-        F.expr("CASE WHEN total > 0 THEN amount % total ELSE 0 END").alias("rest"),
-    )
-    amounts = materialize(amounts, "amounts")
+        F.expr("CASE WHEN total > 0 THEN amount % total ELSE 0 END").alias("open"),
+    ), "amounts")
     order = F.xxhash64(F.lit(seed), F.col("key"))
-    low = (1 << BIN_BITS) - 1
     dealt = rows.withColumns({
         "order": order, "bin": F.shiftrightunsigned(order, 64 - BIN_BITS),
-        "sub": F.shiftrightunsigned(order, 64 - 2 * BIN_BITS).bitwiseAND(F.lit(low)),
+        "sub": F.shiftrightunsigned(order, 64 - 2 * BIN_BITS).bitwiseAND(F.lit((1 << BIN_BITS) - 1)),
     })
-    first = materialize(_cut(dealt.join(amounts.where("rest > 0"), "pattern"), ["bin"], "rest"), "bins")
-    inside = dealt.join(first, (dealt["pattern"] == first["pattern"]) & (F.col("bin") == F.col("cut_bin"))).drop(first["pattern"])
-    second = materialize(_cut(inside, ["sub"], "rest_bin"), "bins")
-    plan = materialize(amounts.join(first, "pattern", "left").join(second, "pattern", "left"), "plan")
-    inside = dealt.join(
-        plan.select(F.col("pattern").alias("p"), "cut_bin", "cut_sub", "rest_bin_sub"),
-        (F.col("pattern") == F.col("p")) & (F.col("bin") == F.col("cut_bin")) & (F.col("sub") == F.col("cut_sub")),
-    )
-    place = F.struct("order", "key", "size")
-    before = F.coalesce(
-        F.sum("size").over(Window.partitionBy("pattern").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    last = inside.withColumn("before", before).where(F.col("before") + F.col("size") <= F.col("rest_bin_sub"))
-    last = last.groupBy("pattern").agg(F.max(place).alias("last"), F.max(F.col("before") + F.col("size")).alias("done"))
-    plan = plan.join(last, "pattern", "left")
-    open_ = F.coalesce("rest_bin_sub", "rest_bin", "rest") - F.coalesce("done", F.lit(0))
-    plan = materialize(plan.withColumn("open", open_), "plan")
-    ahead = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (
-        (F.col("sub") < F.col("cut_sub")) | ((F.col("sub") == F.col("cut_sub")) & (place <= F.col("last")))
-    ))
-    more = F.coalesce(ahead, F.lit(False))
-    # The first document in order that does not fit leaves a gap; the best fits among the others close it.
-    for fill in range(GAP_FILLS):
+    more = F.lit(0)
+    for n, level in enumerate(FILLINGS):
         if plan.where(F.col("open") > F.col("amount") * GAP).isEmpty():
             break
-        name, chosen = f"fill{fill}", F.struct("size", "order", "key")
-        fits = dealt.join(plan.where("open > 0"), "pattern").where(~more & (F.col("size") > 0) & (F.col("size") <= F.col("open")))
-        best = fits.groupBy("pattern").agg(F.max(chosen).alias(name))
-        plan = plan.join(best, "pattern", "left")
-        plan = materialize(plan.withColumn("open", F.col("open") - F.coalesce(F.col(name)["size"], F.lit(0))), "plan")
-        more = more | F.coalesce(chosen == F.col(name), F.lit(False))
+        again = (more < level) & (F.col("whole") + more < repeats) & (F.col("size") > 0)
+        plan, chosen = _filled(dealt, plan, again, n)
+        more = more + F.when(chosen, 1).otherwise(0)
     joined = dealt.join(plan, "pattern")
-    taken = F.col("size") * (F.col("whole") + F.when(more, 1).otherwise(0))
+    taken = F.col("size") * (F.col("whole") + more)
     return joined.select(*rows.columns, taken.cast("long").alias("taken"))
 
 

@@ -48,8 +48,8 @@ def test_mix(spark):
             assert r.target == pytest.approx(want[source])
     for r in got:
         assert 0 <= r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
-        taken[r.target] = taken.get(r.target, 0) + r.taken
-    assert all(abs(t - target) <= max(10, 0.03 * target) for target, t in taken.items())
+        taken[r.source_size, r.target] = taken.get((r.source_size, r.target), 0) + r.taken
+    assert all(abs(t - target) <= max(10, 0.03 * target) for (_, target), t in taken.items())
     assert sorted(map(str, M.mixed(docs).collect())) == sorted(map(str, got))
 
 
