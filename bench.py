@@ -38,7 +38,6 @@ HEADLINE = [
     "domain_profile_state",
     "session_trust_fold",
     "route_decision",
-    "text_similarity_pairs",
     "bfs_crawl_order",
     "jobs_latest_status",
 ]
@@ -51,7 +50,7 @@ def main() -> None:
         "bench", f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-            "spark.driver.memory": "16g",
+            "spark.driver.memory": "16g", "spark.pagewright.partitions": cpus,
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.detection import is_success, with_detection
 from pagewright.functions.policy import with_protection
+from pagewright.functions.text import nvl
 from pagewright.operators import links as L
 from pagewright.operators.crawl import crawl
 from pagewright.operators.extract import extract_content
@@ -27,10 +28,11 @@ def prepare_snapshot(pages: DataFrame, key: str = "page_id", mode: str = "balanc
 
 
 def run_requests(requests: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Pages that each request returns: seed, url, depth, position.
+    """Pages that each request returns: seed, url, depth, position, success, detection, clean_text, error.
 
     `requests`: one column `payload` (JSON). Requests are split by the kind of run they ask
-    for; each kind is one set-oriented plan, however many requests there are.
+    for; each kind is one set-oriented plan, however many requests there are. A payload without a URL gives one
+    row with an error, and so does a page that the snapshot does not have.
     """
     typed = requests.select(scrape_request(F.col("payload")).alias("r")).withColumn("flow", flow(F.col("r")))
     typed = materialize(
@@ -41,21 +43,29 @@ def run_requests(requests: DataFrame, snapshot: DataFrame) -> DataFrame:
         "requests",
     )
     facts = snapshot.select("url", "html", "clean_text", "success")
-    edges = L.link_edges(snapshot)
+    edges = materialize(L.link_edges(snapshot), "edges")
+    malformed = typed.filter(nvl(F.col("seed")) == "").select(
+        "seed", F.lit(None).cast("string").alias("url"), F.lit(0).alias("depth"), F.lit(0).alias("position")
+    )
+    typed = typed.filter(nvl(F.col("seed")) != "")
 
     def of(kind: str) -> DataFrame:
         return typed.filter(F.col("flow") == kind)
 
     single = of("single").select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth"), F.lit(0).alias("position"))
     paged = run_pagination(of("pagination").select("seed", F.col("pagination_pages").alias("max_pages")), facts)
-    results = single.unionByName(paged.select("seed", "url", "depth", F.col("pos").alias("position")))
+    results = malformed.unionByName(single).unionByName(paged.select("seed", "url", "depth", F.col("pos").alias("position")))
     budgets = F.col("page_budget").alias("max_pages")
     if not of("crawl").isEmpty():
         results = results.unionByName(crawl(of("crawl").select("seed", budgets, "max_depth"), edges, facts.select("url", "success")))
     if not of("crawl_with_pagination").isEmpty():
         both = of("crawl_with_pagination").select("seed", budgets, "max_depth", "pagination_pages")
         results = results.unionByName(crawl_with_pagination(both, facts, edges).drop("stage"))
-    return results
+    found = snapshot.select("url", "success", "detection", "clean_text", F.lit(True).alias("__stored"))
+    error = F.when(F.col("url").isNull(), F.lit("malformed request")).when(F.col("__stored").isNull(), F.lit("page not in the snapshot"))
+    return results.join(found, "url", "left").select(
+        "seed", "url", "depth", "position", "success", "detection", "clean_text", error.alias("error")
+    )
 
 
 def search_and_scrape(results: DataFrame, snapshot: DataFrame, mode: str = "text", top_k: int = 20) -> DataFrame:

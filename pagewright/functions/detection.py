@@ -26,27 +26,15 @@ def _is_literal(pattern: str) -> bool:
     return re.sub(r"\\([^\w])", "", pattern) == re.sub(r"[\\\[\]^*?]", "", re.sub(r"\\([^\w])", "", pattern))
 
 
-def _signal_table(rows: list[tuple[str, str, int, str]]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(_needle(p)).alias("needle"),
-                F.lit("" if _is_literal(p) else "(?U)" + p.lower()).alias("pattern"),
-                F.lit(t).alias("type"),
-                F.lit(w).alias("weight"),
-                F.lit(label).alias("label"),
-            )
-            for p, t, w, label in rows
-        ]
-    )
-
-
 def _hits(folded: Column, rows: list[tuple[str, str, int, str]]) -> Column:
-    found = F.filter(
-        _signal_table(rows),
-        lambda s: F.contains(folded, s["needle"]) & ((s["pattern"] == "") | F.rlike(folded, s["pattern"])),
-    )
-    return F.transform(found, lambda s: F.struct(s["type"], s["weight"], s["label"]))
+    """Entries of the signals that occur, in table order; each pattern is a constant of the plan."""
+    found = []
+    for pattern, kind, weight, label in rows:
+        hit = F.contains(folded, F.lit(_needle(pattern)))
+        if not _is_literal(pattern):
+            hit = hit & F.rlike(folded, F.lit("(?U)" + pattern.lower()))
+        found.append(F.when(hit, F.struct(F.lit(kind).alias("type"), F.lit(weight).alias("weight"), F.lit(label).alias("label"))))
+    return F.array_compact(F.array(*found))
 
 
 def _total(entries: Column) -> Column:

@@ -45,8 +45,8 @@ def visible(html: Column) -> Column:
     return collapse_spaces(visible_text(html, " "))
 
 
-def _head(text: Column, n: int) -> Column:
-    return F.substr(text, F.lit(1), F.lit(n))
+def _head(text: Column, n: int | None) -> Column:
+    return text if n is None else F.substr(text, F.lit(1), F.lit(n))
 
 
 def size_token(html: Column) -> Column:
@@ -54,18 +54,18 @@ def size_token(html: Column) -> Column:
     return F.when(size < 5000, F.lit("SIZE_TINY")).when(size < 20000, F.lit("SIZE_SMALL")).otherwise(F.lit("SIZE_LARGE"))
 
 
-def tfidf_text(html: Column) -> Column:
-    """Feature string of the TF-IDF classifier."""
+def tfidf_text(html: Column, title_chars: int | None = None, visible_chars: int | None = None) -> Column:
+    """Feature string of the TF-IDF classifier, of the whole page unless limits are given."""
     page = nvl(html)
     folded = fold_case(page)
-    seen = _head(visible(page), 1000)
+    seen = _head(visible(page), visible_chars)
     flags = [
         F.when(F.contains(folded, F.lit(t.lower())), F.lit("HAS_" + re.sub(r"[^a-zA-Z0-9]", "_", t).upper()))
         for t in STRUCTURAL_TOKENS
     ]
     return F.concat_ws(
         " ",
-        F.when(has_title(page), F.concat(F.lit("TITLE_"), _head(title(page), 80))),
+        F.when(has_title(page), F.concat(F.lit("TITLE_"), _head(title(page), title_chars))),
         seen,
         *flags,
         size_token(page),
@@ -74,22 +74,22 @@ def tfidf_text(html: Column) -> Column:
     )
 
 
-def word_vector_text(html: Column) -> Column:
-    """Feature string of the word-vector classifier (lower case)."""
+def word_vector_text(html: Column, title_chars: int | None = None, visible_chars: int | None = None) -> Column:
+    """Feature string of the word-vector classifier (lower case), of the whole page unless limits are given."""
     page = nvl(html)
     return F.lower(
         F.concat_ws(
             " ",
-            F.when(has_title(page), _head(title(page), 80)),
-            _head(visible(page), 800),
+            F.when(has_title(page), _head(title(page), title_chars)),
+            _head(visible(page), visible_chars),
             F.regexp_extract_all(page, F.lit("(?iU)" + RAW_TOKENS), F.lit(1)),
             size_token(page),
         )
     )
 
 
-def sentence_text(html: Column) -> Column:
-    """Input of the sentence encoder: the title twice, then visible text, cut to 512 characters."""
+def sentence_text(html: Column, chars: int | None = None) -> Column:
+    """Input of the sentence encoder: the title twice, then visible text; `chars` is for encoders that read no more."""
     page = nvl(html)
     head = title(page)
-    return _head(F.concat_ws(" ", head, head, visible(page)), 512)
+    return _head(F.concat_ws(" ", head, head, visible(page)), chars)

@@ -41,7 +41,7 @@ def with_protection(
         df.withColumn("__type", F.upper(F.coalesce(F.nullif(d["page_type"], F.lit("")), F.lit("NORMAL"))))
         .withColumn("__why", F.lower(F.array_join(reasons, " ")))
         .withColumn(
-            "__hint", F.concat_ws(" ", F.lower(F.col("__type")), F.col("__why"), F.lower(F.substr(page, F.lit(1), F.lit(500))))
+            "__hint", F.concat_ws(" ", F.lower(F.col("__type")), F.col("__why"), F.lower(page))
         )
     )
     blocked = F.coalesce(d["is_blocked"], F.lit(False))

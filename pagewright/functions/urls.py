@@ -27,8 +27,6 @@ RELATIVE_SCHEMES = [
 ]
 HOST_SCHEMES = [s for s in RELATIVE_SCHEMES if s]
 
-MAX_HREF_CHARS = 2048
-
 _TAIL = ["host", "path", "query", "fragment"]
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -108,7 +106,6 @@ def is_valid_href(href: Column) -> Column:
     return (
         href.isNotNull()
         & (F.char_length(href) > 0)
-        & (F.char_length(href) <= MAX_HREF_CHARS)
         & ~F.lower(F.split_part(href, F.lit(":"), F.lit(1))).isin(SKIP_SCHEMES)
         & ~F.startswith(href, F.lit("#"))
     )

@@ -25,7 +25,6 @@ from pagewright.operators.ensemble import classifier_vote
 from pagewright.session import materialize
 
 MAX_FEATURES, MIN_DOCS = 20_000, 2
-MAX_CLASSES = 1000
 HASH_FEATURES = 1 << 18
 _VECTOR = T.StructType([T.StructField("v", VectorUDT())])
 
@@ -55,14 +54,17 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def vocabulary(counts: DataFrame, n_docs: int, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS) -> DataFrame:
+def vocabulary(counts: DataFrame, n_docs: int, max_features: int | None = MAX_FEATURES, min_docs: int = MIN_DOCS) -> DataFrame:
     """The `max_features` most frequent terms in at least `min_docs` documents: index, term, df, idf.
 
-    Its size is bounded by `max_features`, a setting of the model.
+    A classifier bounds its vocabulary by `max_features`. Without it all terms are kept and have no index.
     """
     stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    kept = stats.filter(F.col("df") >= min_docs).orderBy(F.desc("total"), "term").limit(max_features)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1
+    kept = stats.filter(F.col("df") >= min_docs)
+    if max_features is None:
+        return kept.select(F.lit(None).cast("int").alias("index"), "term", "df", idf.alias("idf"))
+    kept = kept.orderBy(F.desc("total"), "term").limit(max_features)
     # At most max_features rows reach this single-partition window.
     index = F.row_number().over(W.orderBy("term")) - 1
     return kept.select(index.alias("index"), "term", "df", idf.alias("idf"))
@@ -94,12 +96,9 @@ def sparse_vectors(weights: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def class_sizes(labelled: DataFrame, label: str = "label") -> dict[str, int]:
-    """Rows per class in label order. The driver receives one row per class, and only few classes."""
+    """Rows per class in label order. The driver receives one row per class."""
     counts = labelled.groupBy(F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n"))
-    rows = counts.orderBy("label").limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes: is {label!r} a label?")
-    return {r["label"]: r["n"] for r in rows}
+    return {r["label"]: r["n"] for r in counts.orderBy("label").collect()}
 
 
 def prepared(labelled: DataFrame, sizes: dict[str, int], label: str = "label") -> DataFrame:

@@ -27,6 +27,9 @@ PRESERVE_ATTRS = [
 PRESERVE_DATA_IDS = ["job-link", "jobdescription-text", "apply-link", "pagination-page-number-link"]
 LIST_ATTRS = ["class", "rel", "rev", "headers", "accesskey", "dropzone"]
 
+# Kind of the node that stands for the page itself and keeps its row.
+PAGE = "p"
+
 REPEATED_BLOCKS, SHORT_BLOCK_CHARS = 4, 120
 
 # Unicode noncharacters as stream marks: end of a text run, of a run inside a link, of link text.
@@ -130,7 +133,11 @@ def node_table(
     row and comes before the explode, so the windows that follow need no other.
     """
     parsed = N.with_nodes(pages.select(F.col(key), nvl(F.col(url)).alias("base"), F.col(html)), html)
-    parsed = parsed.select(key, "base", "nodes")
+    page_row = F.struct(
+        F.lit(-1).alias("id"), F.lit(-1).alias("parent"), F.lit(-1).alias("last"), F.lit(PAGE).alias("kind"), F.lit(None).cast("string").alias("tag"),
+        F.create_map().cast("map<string,string>").alias("attrs"), F.lit("").alias("text"),
+    )
+    parsed = parsed.select(key, "base", F.concat(F.array(page_row).cast(N.NODE_TYPE), "nodes").alias("nodes"))
     placed = parsed.repartition(partitions, F.col(key)) if partitions else parsed.repartition(F.col(key))
     return placed.select(key, "base", F.inline("nodes"))
 
@@ -332,14 +339,16 @@ def _markdown(stream: Column) -> Column:
 def _streams(
     pages: DataFrame, key: str, url: str, html: str, partitions: int | None, notations: tuple[str, ...]
 ) -> DataFrame:
-    """One row per page with the token stream of each wanted notation."""
-    tokens = _token_rows(prune(node_table(pages, key, url, html, partitions), key), key, notations)
-    ordered = tokens.groupBy(key).agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    """One row per row of `pages` with the token stream of each wanted notation; empty without nodes."""
+    # Every row of `pages` is a page of its own, whatever its key.
+    own = pages.select(F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row")).alias("page"), url, html)
+    tokens = _token_rows(prune(node_table(own, "page", url, html, partitions), "page"), "page", notations)
+    ordered = tokens.groupBy("page").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
 
     def joined(field: str) -> Column:
         return F.array_join(F.transform("tokens", lambda t: t[field]), "").alias(field)
 
-    return ordered.select(key, *[joined(f) for f in notations])
+    return ordered.select(F.col("page.key").alias(key), *[joined(f) for f in notations])
 
 
 def extract_content(
@@ -350,7 +359,7 @@ def extract_content(
     mode: str = "balanced",
     partitions: int | None = None,
 ) -> DataFrame:
-    """One row per page with non-empty HTML: key, normalized_html, clean_text, markdown, metrics."""
+    """One row per row of `pages`: key, normalized_html, clean_text, markdown, metrics."""
     streams = _streams(pages, key, url, html, partitions, ("html", "text", "md"))
     bundle = streams.select(
         key,

@@ -228,9 +228,8 @@ def domain_profiles(events: DataFrame, key: str = "domain", order: tuple[str, ..
         F.max(F.when(by_browser & (nvl(F.col("reference_text")) != ""), F.struct(*order))).alias("__text_at"),
         F.max(order[0]).alias("last_updated_at"),
     )
-    texts = events.select(
-        key, F.struct(*order).alias("__text_at"),
-        F.substr("reference_text", F.lit(1), F.lit(S.REFERENCE_TEXT_CHARS)).alias("browser_reference_text"),
+    texts = events.filter(by_browser & (nvl(F.col("reference_text")) != "")).select(
+        key, F.struct(*order).alias("__text_at"), F.col("reference_text").alias("browser_reference_text")
     )
     failures = fold_walks(events, key, order, {"failure_count": failure_walk(~success)})
     hints = first_seen(events, key, order, "vendor").withColumnRenamed("vendor", "vendor_hints")

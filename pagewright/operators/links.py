@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import urls as U
 from pagewright.functions.text import let, nvl, strip
+from pagewright.operators import nodes as N
 
 # Fixed value: attribute scan used where no parsed tree is wanted.
 HREF_PATTERN = r"""(?i)href=["']([^"'#\s][^"']*)["']"""
 
-MAX_LINKS = 500
-
 
 def hrefs_by_pattern(html: Column) -> Column:
     """href values of any tag, in document order, found without parsing."""
@@ -20,11 +19,11 @@ def hrefs_by_pattern(html: Column) -> Column:
 
 
 def page_links(
-    hrefs: Column, base_url: Column, same_domain_only: bool = True, max_links: int | None = MAX_LINKS
+    hrefs: Column, base_url: Column, same_domain_only: bool = True, max_links: int | None = None
 ) -> Column:
     """Crawlable absolute URLs of one page: valid, resolved, distinct in first-seen order.
 
-    `max_links` is the extractor's own per-page limit; pass None for all links.
+    `max_links` is a limit per page; without it all links are kept.
     """
     usable = F.transform(F.filter(hrefs, U.is_valid_href), strip)
 
@@ -47,12 +46,14 @@ def extract_links(
     html: str = "html",
     out: str = "links",
     same_domain_only: bool = True,
-    max_links: int | None = MAX_LINKS,
+    max_links: int | None = None,
+    by_pattern: bool = False,
 ) -> DataFrame:
-    """Add an array of links found by the attribute scan, entirely inside the JVM."""
-    return pages.withColumn(
-        out, page_links(hrefs_by_pattern(F.col(html)), F.col(url), same_domain_only, max_links)
-    )
+    """Add an array of links: those of the anchors in the parsed page, or of any href found by the attribute scan."""
+    if by_pattern:
+        return pages.withColumn(out, page_links(hrefs_by_pattern(F.col(html)), F.col(url), same_domain_only, max_links))
+    found = N.with_nodes(pages, html, "__nodes")
+    return found.withColumn(out, page_links(N.dom_hrefs(F.col("__nodes")), F.col(url), same_domain_only, max_links)).drop("__nodes")
 
 
 def link_edges(pages_with_links: DataFrame, url: str = "url", links: str = "links") -> DataFrame:

@@ -519,8 +519,10 @@ def requested_pages(configured: Column, engine_max_pages: Column | int) -> Colum
     return F.when(configured.isNotNull(), configured["max_pages"]).otherwise(F.least(engine, F.lit(DEFAULT_MAX_PAGES)))
 
 
-def listed_page_urls(first_url: Column, page_urls: Column, max_pages: Column | int) -> Column:
-    """URLs fetched after the first page of a URL list: the first max_pages - 1, repeats skipped."""
+def listed_page_urls(first_url: Column, page_urls: Column, max_pages: Column | int | None = None) -> Column:
+    """URLs fetched after the first page of a URL list: all, or the first max_pages - 1; repeats skipped."""
+    if max_pages is None:
+        return F.filter(F.array_distinct(page_urls), lambda u: u != first_url)
     limit = F.lit(max_pages) if isinstance(max_pages, int) else max_pages
     cut = F.slice(page_urls, F.lit(1), F.greatest(limit - 1, F.lit(0)))
     return F.filter(F.array_distinct(cut), lambda u: u != first_url)
@@ -537,13 +539,13 @@ def stop_rule(
     index: str,
     text: Column,
     success: Column | None = None,
-    max_pages: int | None = DEFAULT_MAX_PAGES,
+    max_pages: int | None = None,
 ) -> DataFrame:
     """Pages of each stored sequence that a URL pagination run would return.
 
     `index` is the page's 0-based place. A run ends with (and includes) a failed page, a page
-    with under 200 characters of text, or one that repeats the page before it. The page limit
-    is applied before the shuffle, and only hashes and flags are shuffled, not text.
+    with under 200 characters of text, or one that repeats the page before it. A page limit,
+    if there is one, is applied before the shuffle, and only hashes and flags are shuffled, not text.
     """
     ok = F.coalesce(success, F.lit(True)) if success is not None else F.lit(True)
     flags = sequence if max_pages is None else sequence.filter(F.col(index) < max(1, max_pages))

@@ -157,9 +157,9 @@ _HAS_TITLE = "regexp_matches(html, '<title[^>]*>(.*?)</title>', 'is')"
 
 @query(
     "tfidf_feature_string",
-    f"""SELECT page_id, concat_ws(' ', CASE WHEN {_HAS_TITLE} THEN 'TITLE_' || substr({Q.strip(_TITLE)}, 1, 80) END,
-  substr({_SEEN}, 1, 1000), {_HAS}, {_SIZE}, CASE WHEN {_TAGS} < 20 THEN 'DOM_SPARSE' END,
-  CASE WHEN {_SCRIPTS} > 5 AND length(substr({_SEEN}, 1, 1000)) < 200 THEN 'SCRIPT_HEAVY_LOW_TEXT' END) AS features
+    f"""SELECT page_id, concat_ws(' ', CASE WHEN {_HAS_TITLE} THEN 'TITLE_' || {Q.strip(_TITLE)} END,
+  {_SEEN}, {_HAS}, {_SIZE}, CASE WHEN {_TAGS} < 20 THEN 'DOM_SPARSE' END,
+  CASE WHEN {_SCRIPTS} > 5 AND length({_SEEN}) < 200 THEN 'SCRIPT_HEAVY_LOW_TEXT' END) AS features
 FROM ({MARKED_PAGES_SQL})""",
 )
 def tfidf_feature_string(t):
@@ -168,8 +168,8 @@ def tfidf_feature_string(t):
 
 @query(
     "fasttext_feature_string",
-    f"""SELECT page_id, lower(concat_ws(' ', CASE WHEN {_HAS_TITLE} THEN substr({Q.strip(_TITLE)}, 1, 80) END,
-  substr({_SEEN}, 1, 800), CASE WHEN len(m) > 0 THEN array_to_string(m, ' ') END, {_SIZE})) AS features
+    f"""SELECT page_id, lower(concat_ws(' ', CASE WHEN {_HAS_TITLE} THEN {Q.strip(_TITLE)} END,
+  {_SEEN}, CASE WHEN len(m) > 0 THEN array_to_string(m, ' ') END, {_SIZE})) AS features
 FROM (SELECT *, regexp_extract_all(html, {Q.quote(X.RAW_TOKENS)}, 1, 'i') AS m FROM ({MARKED_PAGES_SQL}))""",
 )
 def fasttext_feature_string(t):
@@ -178,7 +178,7 @@ def fasttext_feature_string(t):
 
 @query(
     "minilm_text",
-    f"SELECT page_id, substr({Q.strip(_TITLE)} || ' ' || {Q.strip(_TITLE)} || ' ' || {_SEEN}, 1, 512) AS text "
+    f"SELECT page_id, {Q.strip(_TITLE)} || ' ' || {Q.strip(_TITLE)} || ' ' || {_SEEN} AS text "
     f"FROM ({MARKED_PAGES_SQL})",
 )
 def minilm_text(t):

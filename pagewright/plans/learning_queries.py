@@ -8,6 +8,7 @@ from pagewright.functions import features as X
 from pagewright.operators import classifiers as C
 from pagewright.plans import sql_parts as Q
 from pagewright.plans.registry import query
+from pagewright.session import materialize
 from pagewright.sources import training as T
 
 # Conversation roles and page markers as raw labels: known, unknown and empty ones.
@@ -54,7 +55,7 @@ u AS (SELECT page_id, unnest(ws) AS term FROM w UNION ALL
   SELECT page_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w),
 c AS (SELECT page_id, term, count(*) AS tf FROM u GROUP BY 1, 2),
 n AS (SELECT count(*) AS n FROM f),
-v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 20000),
+v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY 1),
 r AS (SELECT page_id, c.term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) AS raw FROM c JOIN v ON c.term = v.term, n)"""
 _FEATURES_SQL = f"f AS (SELECT page_id, {Q.collapse(Q.visible('html', ' '))} AS features FROM pages)"
 
@@ -68,21 +69,21 @@ SELECT r.page_id, term, round(raw / norm, 6) AS weight FROM r JOIN s ON r.page_i
 def tfidf_weights(t):
     """TF-IDF of the visible text of all pages."""
     docs = t.pages.select("page_id", X.visible(F.col("html")).alias("features"))
-    counts = C.term_counts(docs, "page_id", "features")
-    vocab = C.vocabulary(counts, docs.count())
+    counts = materialize(C.term_counts(docs, "page_id", "features"), "terms")
+    vocab = C.vocabulary(counts, docs.count(), max_features=None, min_docs=1)
     return C.tfidf_weights(counts, vocab, "page_id").select("page_id", "term", F.round("weight", 6).alias("weight"))
 
 
-def _labelled(t):
+def _labelled(t, features):
     docs = t.documents.join(t.labels, "doc_id")
     label = F.when(F.col("quality") == 0, F.lit("BLOCKED")).otherwise(F.lit("NORMAL"))
-    return docs.select("doc_id", X.tfidf_text(F.col("text")).alias("features"), label.alias("label"))
+    return docs.select("doc_id", features(F.col("text")).alias("features"), label.alias("label"))
 
 
 @query("tfidf_lr_predict")
 def tfidf_lr_predict(t):
     """Train on the labelled documents, classify all documents."""
-    model = C.TfidfClassifier.train(_labelled(t), "doc_id", "features")
+    model = C.TfidfClassifier.train(_labelled(t, X.tfidf_text), "doc_id", "features")
     docs = t.documents.select("doc_id", X.tfidf_text(F.col("text")).alias("features"))
     votes = C.as_vote(model.predict(docs, "doc_id", "features"), model.name)
     return votes.select("doc_id", "page_type", "vote.is_blocked", "vote.confidence", "score")
@@ -90,7 +91,7 @@ def tfidf_lr_predict(t):
 
 @query("word_vector_predict")
 def word_vector_predict(t):
-    model = C.train_word_vectors(_labelled(t), "features", 1 << 14)
+    model = C.train_word_vectors(_labelled(t, X.word_vector_text), "features")
     docs = t.documents.select("doc_id", X.word_vector_text(F.col("text")).alias("features"))
     votes = C.as_vote(model.predict(docs, "doc_id", "features"), model.name)
     return votes.select("doc_id", "page_type", "vote.is_blocked", "vote.confidence", "score")

@@ -79,9 +79,9 @@ def set_limit_param(t):
 # Paging controls in every form the detector knows, one per page by page id. `{n}` is the page id.
 _CONTROLS = [
     "",
-    '<ul class="pagination"><li><a aria-label="Page 3" href="?from=20&amp;s=1">3</a></li><li><a href="?from=10&amp;s=1">2</a></li></ul>',
-    '<link rel="next" href="/list?from=10&amp;s=1">',
-    '<mat-paginator class="mat-paginator"></mat-paginator><span>1 - 10 of 319</span>',
+    '<ol class="pagination"><li><a href="?from=48&amp;k=z">3</a></li><li><a href="?from=24&amp;k=z">2</a></li></ol>',
+    '<link rel="next" href="/list?from=24&amp;k=z">',
+    '<mat-paginator class="mat-paginator"></mat-paginator><span>1 - 24 of 96</span>',
     '<a class="next" href="/n">more</a>',
     '<button class="x disabled" aria-label="Next"></button><li class="next"><a href="/2">go</a></li>',
     '<button aria-label="Go to next results page"></button>',
@@ -135,8 +135,8 @@ def page_pagination_struct(t):
 
 @query(
     "page_pagination_urls",
-    f"""SELECT page_id, CASE page_id % 13 WHEN 1 THEN b || '?from=10&s=1 ' || b || '?from=20&s=1' WHEN 2 THEN o || '/list?from=10&s=1' END AS urls,
-  CASE page_id % 13 WHEN 7 THEN o || '/l/2 ' || o || '/l/3' WHEN 1 THEN b || '?from=20&s=1 ' || b || '?from=10&s=1' ELSE '' END AS numbered
+    f"""SELECT page_id, CASE page_id % 13 WHEN 1 THEN b || '?from=24&k=z ' || b || '?from=48&k=z' WHEN 2 THEN o || '/list?from=24&k=z' END AS urls,
+  CASE page_id % 13 WHEN 7 THEN o || '/l/2 ' || o || '/l/3' WHEN 1 THEN b || '?from=48&k=z ' || b || '?from=24&k=z' ELSE '' END AS numbered
 FROM (SELECT page_id, {Q.origin('url')} AS o, regexp_replace(url, '[?#].*$', '') AS b FROM pages)""",
 )
 def page_pagination_urls(t):
@@ -161,7 +161,7 @@ def page_pagination_config(t):
 @query(
     "pagination_stop_rule",
     f"""WITH f AS (SELECT conv_id, turn, sha256(text) AS hash, length({Q.strip('text')}) < 200 AS thin,
-  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS rn FROM conversations WHERE turn < 20),
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS rn FROM conversations),
 g AS (SELECT *, coalesce(lag(hash) OVER (PARTITION BY conv_id ORDER BY turn) = hash, false) AS same FROM f),
 h AS (SELECT *, coalesce(max((thin OR same)::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM g)
 SELECT conv_id, turn, hash, CASE WHEN thin THEN 'empty' WHEN same THEN 'repeated' ELSE 'continue' END AS outcome
@@ -176,15 +176,15 @@ def pagination_stop_rule(t):
     """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, 'https://shop.example/s/' || l_suppkey AS u FROM lineitem),
 r AS (SELECT k, u, n, row_number() OVER (PARTITION BY k ORDER BY n, u) AS p FROM l),
 f AS (SELECT k, u AS first_url FROM r WHERE p = 1),
-c AS (SELECT k, u, min(p) AS p FROM r WHERE p <= 3 GROUP BY 1, 2)
+c AS (SELECT k, u, min(p) AS p FROM r GROUP BY 1, 2)
 SELECT f.k AS l_orderkey, coalesce(string_agg(c.u, ' ' ORDER BY c.p), '') AS urls FROM f LEFT JOIN c ON f.k = c.k AND c.u <> f.first_url GROUP BY 1""",
 )
 def listed_page_urls(t):
-    """Each order's supplier pages as a URL list, cut to four pages."""
+    """Each order's supplier pages as a URL list."""
     url = F.concat(F.lit("https://shop.example/s/"), "l_suppkey")
     orders = t.lineitem.groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), url.alias("u")))).alias("lines")
     )
     urls = F.transform("lines", lambda x: x["u"])
-    rest = G.listed_page_urls(F.element_at(urls, 1), urls, 4)
+    rest = G.listed_page_urls(F.element_at(urls, 1), urls)
     return orders.select("l_orderkey", F.array_join(rest, " ").alias("urls"))

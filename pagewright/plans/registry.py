@@ -8,11 +8,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.session import spread
-
-# Tables whose rows are costly to process.
-TEXT_TABLES = ("pages", "documents", "conversations")
-
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 MODULES = [
@@ -28,15 +23,20 @@ MODULES = [
 
 
 class Tables:
-    """Lazy access to the parquet tables of one data folder."""
+    """Lazy access to the parquet tables of one data folder.
+
+    Tables are read as their files are split. Where all of them are single small files, a session may set
+    `spark.pagewright.partitions` to deal every table out anew, whatever its size.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self.partitions = spark.conf.get("spark.pagewright.partitions", None)
 
     def __getattr__(self, name: str) -> DataFrame:
         table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(table) if name in TEXT_TABLES else table
+        return table.repartition(int(self.partitions)) if self.partitions else table
 
 
 @dataclass(frozen=True)

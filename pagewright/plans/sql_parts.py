@@ -108,7 +108,7 @@ def _any(text: str, tokens: list[str]) -> str:
 
 def protection_cte(key: str) -> str:
     """CTE `protected`, on top of `detected`, with kind, vendor and next step."""
-    hint = f"lower(page_type || ' ' || replace(reasons, '|', ' ') || ' ' || substr(html, 1, 500))"
+    hint = f"lower(page_type || ' ' || replace(reasons, '|', ' ') || ' ' || html)"
     why = "lower(replace(reasons, '|', ' '))"
     vendors = " ".join(f"WHEN contains(hint, {quote(n)}) THEN {quote(v)}" for n, v in S.VENDORS)
     steps = " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in S.POLICY.items())

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from pagewright.functions import policy as P
-from pagewright.functions.similarity import text_similarity
 from pagewright.operators import ensemble as V
 from pagewright.operators import folds as D
 from pagewright.plans.derived import ATTEMPTS_SQL, attempts
@@ -182,18 +181,6 @@ def probe_evaluation(t):
     return found.select("event_id", "v.reason", "v.accepted", F.col("v.grant_http_trust").alias("trust"))
 
 
-@query("text_similarity_pairs")
-def text_similarity_pairs(t):
-    """Each turn of a conversation against the turn before it: one partner per row."""
-    turns = t.conversations
-    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
-    # Placed by the join keys, so that a sorted or hashed join adds no shuffle for this side and a
-    # broadcast one still leaves the comparisons spread out.
-    width = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = turns.repartition(width, "conv_id", "turn").join(before, ["conv_id", "turn"])
-    return pairs.select("conv_id", "turn", text_similarity(F.col("text"), F.col("reference")).alias("similarity"))
-
-
 @query(
     "ensemble_and_vote",
     """SELECT doc_id, CASE WHEN quality = 1 OR toxic = 0 THEN 'NORMAL' ELSE 'BLOCKED' END AS page_type,

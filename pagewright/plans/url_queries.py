@@ -124,7 +124,7 @@ def link_resolve_abs(t):
 @query(
     "link_filter_valid",
     f"""{_REFS_CTE} SELECT u AS url, i AS pos, ref FROM refs
-WHERE ref <> '' AND length(ref) <= 2048 AND NOT starts_with(ref, '#')
+WHERE ref <> '' AND NOT starts_with(ref, '#')
   AND lower(split_part(ref, ':', 1)) NOT IN ({", ".join(Q.quote(s) for s in U.SKIP_SCHEMES)})""",
 )
 def link_filter_valid(t):
@@ -137,7 +137,7 @@ def link_filter_valid(t):
   WHERE NOT regexp_matches(split_part(href, '?', 1), '({_EXT})$', 'i')),
 d AS (SELECT url, dst, min(pos) AS p FROM r GROUP BY 1, 2),
 k AS (SELECT url, dst, row_number() OVER (PARTITION BY url ORDER BY p) - 1 AS pos FROM d)
-SELECT url AS src, pos, dst FROM k WHERE pos < 500""",
+SELECT url AS src, pos, dst FROM k""",
 )
 def link_dedup_cap(t):
     """The link extractor with its per-page limit, as an edge table."""

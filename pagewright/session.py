@@ -35,20 +35,6 @@ def build_session(app_name: str = "pagewright", master: str | None = None, **con
     return builder.getOrCreate()
 
 
-SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Distribute a small table over all cores; leave any other table as it lies.
-
-    A file with one row group is one task, which starves CPU-heavy operators. The size check
-    bounds the shuffle: a table beyond 32 MB per core is split enough by its own files.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if size < cores * SPREAD_BYTES_PER_CORE else df
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 

@@ -195,3 +195,23 @@ def test_one_shuffle(spark):
     df = spark.createDataFrame([(1, "u", PRODUCT)], "page_id int, url string, html string")
     plan = X.extract_content(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_one_row_per_page_whatever_is_in_it(spark):
+    rows = [(1, "https://e.com/", "<nav>menu</nav>"), (2, "https://e.com/", ""), (3, "https://e.com/", None), (4, None, "<p>a</p>"), (4, "https://e.com/", "<p>b</p>"), (None, "u", "<p>c</p>")]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    from pagewright.operators.extract import clean_html_to_text, extract_content
+
+    got = sorted((r.page_id or 0, r.clean_text) for r in clean_html_to_text(pages).collect())
+    assert got == [(0, "c"), (1, ""), (2, ""), (3, ""), (4, "a"), (4, "b")]
+    assert sorted(r.markdown for r in extract_content(pages).collect()) == ["", "", "", "a", "b", "c"]
+
+
+def test_links_of_anchors_only_and_without_limit(spark):
+    from pagewright.operators.links import extract_links
+
+    html = '<link href="/css/x"><a href=/plain>p</a><a href="/s?a=1&amp;b=2">s</a><a href="#top">t</a>' + "".join(f'<a href="/n{i}">n</a>' for i in range(600))
+    pages = spark.createDataFrame([(1, "https://e.com/", html)], "page_id int, url string, html string")
+    links = extract_links(pages).first().links
+    assert links[:2] == ["https://e.com/plain", "https://e.com/s?a=1&b=2"] and len(links) == 602
+    assert "https://e.com/css/x" in extract_links(pages, by_pattern=True).first().links

@@ -87,6 +87,16 @@ def test_requests_run_over_a_snapshot(spark):
     assert got == {"https://e.com/c": ["/c"], "https://e.com/": ["/", "/a", "/c"], "https://e.com/a": ["/a"], "https://e.com/b": ["/b"]}
 
 
+def test_requests_that_cannot_be_answered(spark):
+    payloads = [('{"url": "https://e.com/b"}',), ('{"url": "https://gone.example/x"}',), ("no json",), (None,)]
+    rows = run_requests(spark.createDataFrame(payloads, "payload string"), snapshot(spark)).collect()
+    got = sorted((r.url or "", r.error or "", r.success) for r in rows)
+    assert got == [
+        ("", "malformed request", None), ("", "malformed request", None), ("https://e.com/b", "", False),
+        ("https://gone.example/x", "page not in the snapshot", None),
+    ]
+
+
 def test_request_defaults(spark):
     df = spark.createDataFrame([('{"url": "u", "actions": [{"kind": " click ", "timeout_ms": 9}]}',), ("not json",)], "p string")
     good, bad = [r.r for r in df.select(scrape_request(F.col("p")).alias("r")).collect()]

@@ -4,7 +4,6 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from pagewright.functions.similarity import text_similarity
 from pagewright.operators import folds as D
 from pagewright.streaming.folds import fold_stream, latest_state
 
@@ -118,12 +117,3 @@ def test_profile_and_session_lookup(spark):
     wanted = spark.createDataFrame([("x",), ("y",), ("z",)], "session_key string")
     got = {r.session_key: (r.trust_score, r.is_new_session) for r in D.with_session(wanted, sessions).collect()}
     assert got == {"x": (0.9, False), "y": (0.5, True), "z": (0.5, True)}
-
-
-def test_similarity(spark):
-    pairs = [("hello world " * 200, "hello world " * 200), ("abc def", "abd def"), (" ", "x"), (None, "x"), ("a" * 300, "b" + "a" * 300), ("ab " * 90, "ba " * 90)]
-    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", text_similarity(F.col("a"), F.col("b")).alias("s"))
-    for r in df.collect():
-        left, right = (r.a or "").strip(), (r.b or "").strip()
-        want = round(difflib.SequenceMatcher(a=left, b=right).ratio(), 4) if left and right else None
-        assert r.s == want
