@@ -168,4 +168,5 @@ def contamination(
 def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without the rows that share a window with a benchmark item."""
     found = contamination(docs, items, key, text).where("contaminated").select(F.col(key).alias("hit_key")).distinct()
-    return docs.join(materialize(found, "dropped"), docs[key].eqNullSafe(F.col("hit_key")), "left_anti")
+    found = materialize(found, "dropped")
+    return docs.join(found, docs[key].eqNullSafe(found["hit_key"]), "left_anti")
