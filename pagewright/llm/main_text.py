@@ -341,8 +341,12 @@ def generated_page(rng: random.Random) -> tuple[Page, list[bool]]:
 
 
 def fit(pages: DataFrame, html: str = "html", key: str = "page_id", sample: int = SAMPLE_PAGES) -> Model:
-    """Model from the first `sample` pages in the order of a hash of their key, and generated pages."""
-    rows = pages.where(F.col(html).isNotNull()).orderBy(F.xxhash64(F.lit(SEED), F.col(key)), key).select(html).limit(sample).collect()
+    """Model from about `sample` pages, picked by a hash of their key, and generated pages."""
+    share = min(1.0, sample / max(1, pages.count()))
+    draw = F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.lit(1 << 30))
+    # Twice as many is far more than the hash can pick by chance: the limit is a guard for repeated keys.
+    picked = pages.where(F.col(html).isNotNull() & (draw <= int((1 << 30) * share))).select(html).limit(2 * sample)
+    rows = sorted(picked.collect())
     rng = random.Random(SEED)
     labelled = [generated_page(rng) for _ in range(GENERATED_PAGES)]
     for row in rows:

@@ -171,7 +171,10 @@ def nearest(
     facts = distinct.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("longest")).first()
     if not facts["n"]:
         return empty
-    sample = distinct.orderBy(F.xxhash64(F.lit(SEED), F.col("id")), "id").limit(pivots).collect()
+    # Some more than needed are drawn by a hash, and the first of them taken: what reaches the driver is bounded.
+    draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("id")), F.lit(1 << 30))
+    drawn = distinct.where(draw <= int((1 << 30) * min(1.0, 4 * pivots / facts["n"]))).select(draw.alias("draw"), "id", "v").collect()
+    sample = sorted(drawn, key=lambda r: (r["draw"], r["id"]))[:pivots]
     chosen = Pivots(np.array([r["v"] for r in sample], np.float64), float(np.sqrt(facts["longest"])))
     every = len(sample)
 
