@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.components import connected_components
-from pagewright.session import materialize
+from pagewright.session import materialize, release
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -139,32 +139,32 @@ def _cut(rows: DataFrame, part: str, rest: str) -> DataFrame:
     )
 
 
-def _filled(dealt: DataFrame, plan: DataFrame, fits: Column, n: int) -> tuple[DataFrame, Column]:
-    """Plan and condition for one more filling: the first of the rows that `fits`, in order, up to what is open.
+def _filled(dealt: DataFrame, plan: DataFrame, fits: Column) -> DataFrame:
+    """`dealt` after one more filling: `more` is one higher for the first rows that `fits`, in order, up to what is open.
 
-    The running size is taken over bins first and over single documents in one bin of the second kind only.
+    The running size is taken over bins first, and over single documents in one bin of the second kind only.
     """
-    names = {c: f"{c}{n}" for c in ("cut_bin", "rest_bin", "cut_sub", "rest_sub", "last")}
     rows = dealt.join(plan.where("open > 0"), "pattern").where(fits & (F.col("size") <= F.col("open")))
-    first = materialize(_cut(rows, "bin", "open").withColumnsRenamed(names), "bins")
-    inside = rows.join(first, "pattern").where(F.col("bin") == F.col(names["cut_bin"]))
-    second = materialize(_cut(inside, "sub", names["rest_bin"]).withColumnsRenamed(names), "bins")
-    inside = inside.join(second, "pattern").where(F.col("sub") == F.col(names["cut_sub"]))
+    first = materialize(_cut(rows, "bin", "open"), "bins")
+    inside = rows.join(first, "pattern").where(F.col("bin") == F.col("cut_bin"))
+    second = materialize(_cut(inside, "sub", "rest_bin"), "bins")
+    inside = inside.join(second, "pattern").where(F.col("sub") == F.col("cut_sub"))
     place = F.struct("order", "key", "size")
-    before = F.sum("size").over(Window.partitionBy("pattern").orderBy(place))
-    last = inside.withColumn("upto", before).where(F.col("upto") <= F.col(names["rest_sub"]))
-    last = last.groupBy("pattern").agg(F.max(place).alias(names["last"]))
-    plan = materialize(plan.join(first, "pattern", "left").join(second, "pattern", "left").join(last, "pattern", "left"), "plan")
-    cut, sub = F.col(names["cut_bin"]), F.col(names["cut_sub"])
-    in_last = (F.col("sub") < sub) | ((F.col("sub") == sub) & F.coalesce(place <= F.col(names["last"]), F.lit(False)))
-    ahead = F.when(cut.isNull(), True).otherwise((F.col("bin") < cut) | ((F.col("bin") == cut) & in_last))
-    # What is open changes below: the condition keeps to what was open here.
-    kept = f"open{n}"
-    plan = plan.withColumn(kept, F.col("open"))
-    chosen = fits & (F.col("size") <= F.col(kept)) & ahead
-    used = dealt.join(plan, "pattern").where(chosen).groupBy("pattern").agg(F.sum("size").alias("used"))
-    plan = plan.join(used, "pattern", "left").withColumn("open", F.col("open") - F.coalesce("used", F.lit(0))).drop("used")
-    return materialize(plan, "plan"), chosen
+    upto = F.sum("size").over(Window.partitionBy("pattern").orderBy(place))
+    last = inside.withColumn("upto", upto).where(F.col("upto") <= F.col("rest_sub")).groupBy("pattern").agg(F.max(place).alias("last"))
+    cuts = plan.join(first, "pattern", "left").join(second, "pattern", "left").join(last, "pattern", "left")
+    cuts = materialize(cuts.select("pattern", "whole", "open", "cut_bin", "cut_sub", "last"), "cuts")
+    in_last = (F.col("sub") < F.col("cut_sub")) | (
+        (F.col("sub") == F.col("cut_sub")) & F.coalesce(place <= F.col("last"), F.lit(False))
+    )
+    ahead = F.when(F.col("cut_bin").isNull(), True).otherwise(
+        (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & in_last)
+    )
+    chosen = F.coalesce(fits & (F.col("size") <= F.col("open")) & ahead, F.lit(False))
+    marked = dealt.join(cuts, "pattern").withColumn("chosen", chosen)
+    return materialize(
+        marked.withColumn("more", F.col("more") + F.col("chosen").cast("int")).select(*[c for c in dealt.columns if c != "chosen"], "chosen"), "dealt"
+    )
 
 
 def selected(rows: DataFrame, amounts: DataFrame, seed: int = SEED, repeats: int = MAX_REPEATS) -> DataFrame:
@@ -182,18 +182,20 @@ def selected(rows: DataFrame, amounts: DataFrame, seed: int = SEED, repeats: int
     order = F.xxhash64(F.lit(seed), F.col("key"))
     dealt = rows.withColumns({
         "order": order, "bin": F.shiftrightunsigned(order, 64 - BIN_BITS),
-        "sub": F.shiftrightunsigned(order, 64 - 2 * BIN_BITS).bitwiseAND(F.lit((1 << BIN_BITS) - 1)),
+        "sub": F.shiftrightunsigned(order, 64 - 2 * BIN_BITS).bitwiseAND(F.lit((1 << BIN_BITS) - 1)), "more": F.lit(0),
     })
-    more = F.lit(0)
     for n, level in enumerate(FILLINGS):
         if plan.where(F.col("open") > F.col("amount") * GAP).isEmpty():
             break
-        again = (more < level) & (F.col("whole") + more < repeats) & (F.col("size") > 0)
-        plan, chosen = _filled(dealt, plan, again, n)
-        more = more + F.when(chosen, 1).otherwise(0)
-    joined = dealt.join(plan, "pattern")
-    taken = F.col("size") * (F.col("whole") + more)
-    return joined.select(*rows.columns, taken.cast("long").alias("taken"))
+        again = (F.col("more") < level) & (F.col("whole") + F.col("more") < repeats) & (F.col("size") > 0)
+        before, dealt = dealt, _filled(dealt, plan, again)
+        used = dealt.where("chosen").groupBy("pattern").agg(F.sum("size").alias("used"))
+        plan = plan.join(used, "pattern", "left").withColumn("open", F.col("open") - F.coalesce("used", F.lit(0))).drop("used")
+        plan = materialize(plan, "plan")
+        if n:
+            release(before)
+    taken = F.col("size") * (F.col("whole") + F.col("more"))
+    return dealt.join(plan, "pattern").select(*rows.columns, taken.cast("long").alias("taken"))
 
 
 def _named(source: Column) -> Column:
