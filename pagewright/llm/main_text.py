@@ -35,6 +35,12 @@ BATCH_PAGES = 200
 # Names of HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style noscript template svg math iframe object canvas audio video select button textarea option title".split())
+# Of these, what hides only up to its own end tag: where that is missing, the page's text goes on inside. Those that
+# are labelled or have a fixed content hide what comes before the first block.
+UNTIL_CLOSED = frozenset("head noscript svg math object canvas audio video select button".split())
+UNTIL_BLOCK = frozenset("head select button".split())
+# What a head can hold: anything else ends it.
+HEAD_PARTS = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 LANDMARKS = frozenset("article main nav header footer aside form section".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption address summary legend label".split())
 CONTAINERS = frozenset("html body div ul ol dl table thead tbody tfoot tr figure details fieldset center hgroup dialog menu search".split())
@@ -61,10 +67,26 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.page, self.open, self.block, self.hidden, self.links = Page(), [("#root", 0)], 0, 0, 0
-
-    def _close(self, depth: int) -> None:
-        for tag, _ in self.open[depth:]:
-            self.hidden -= tag in HIDDEN
+        # Of each text whether it stands in a link and whether it is shown; of each open element of UNTIL_CLOSED the
+        # number of texts before it and before its first block.
+        self.in_link, self.shown, self.covers, self.fresh = bytearray(), bytearray(), [], []
+
+    def _close(self, depth: int, ended: bool = False) -> None:
+        """Close `open[depth:]`; with `ended` the first of them by its own end tag, all others by what follows."""
+        for at in range(len(self.open) - 1, depth - 1, -1):
+            tag = self.open[at][0]
+            if tag in UNTIL_CLOSED:
+                cover = self.covers.pop()
+                if self.fresh and self.fresh[-1] is cover:
+                    self.fresh.pop()
+                start, block = cover
+                if ended and at == depth:
+                    end = len(self.shown)
+                else:
+                    end = (len(self.shown) if block is None else block) if tag in UNTIL_BLOCK else start
+                self.shown[start:end] = bytes(end - start)
+            else:
+                self.hidden -= tag in HIDDEN
             self.links -= tag == "a"
             self.block += tag in BLOCKS
         del self.open[depth:]
@@ -78,14 +100,37 @@ class _Builder(HTMLParser):
             if name in SCOPES or name in BLOCKS and tag not in CLOSED_BY_NEXT:
                 return None
 
+    def _end_head(self, tag: str) -> None:
+        """Close the head, whose end tag may be left out, at what it cannot hold."""
+        if tag == "body":
+            for depth in range(1, len(self.open)):
+                if self.open[depth][0] == "head":
+                    return self._close(depth)
+        elif self.open[-1][0] == "head" and tag not in HEAD_PARTS:
+            self._close(len(self.open) - 1)
+
+    def parse_marked_section(self, i, report=1):
+        """Unknown sections are bogus comments, as in browsers; the base class stops at them."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
+
     def handle_starttag(self, tag, attrs):
+        self._end_head(tag)
         if tag == "br":
             return self.handle_data("\n")
         if tag in VOID:
             self.block += tag == "hr"
             return None
+        if tag in BLOCKS or tag == "option":
+            while self.open[-1][0] == "option":
+                self._close(len(self.open) - 1)
         if tag in BLOCKS:
             self._imply(tag)
+            for cover in self.fresh:
+                cover[1] = len(self.shown)
+            self.fresh.clear()
         element = self.open[-1][1]
         if tag in BLOCKS:
             self.block += 1
@@ -96,35 +141,53 @@ class _Builder(HTMLParser):
             page.chars.append(0)
             page.linked.append(0)
             element = len(page.tag) - 1
-        self.hidden += tag in HIDDEN
+        if tag in UNTIL_CLOSED:
+            cover = [len(self.shown), None]
+            self.covers.append(cover)
+            self.fresh.append(cover)
+        else:
+            self.hidden += tag in HIDDEN
         self.links += tag == "a"
         self.open.append((tag, element))
 
     def handle_startendtag(self, tag, attrs):
+        """Only svg and math, and what they hold, can close themselves; elsewhere the slash means nothing."""
         self.handle_starttag(tag, attrs)
+        if tag not in VOID and any(name in ("svg", "math") for name, _ in self.open):
+            self._close(len(self.open) - 1, ended=True)
 
     def handle_endtag(self, tag):
         for depth in range(len(self.open) - 1, 0, -1):
             if self.open[depth][0] == tag:
-                return self._close(depth)
+                return self._close(depth, ended=True)
 
     def handle_data(self, data):
+        if self.open[-1][0] == "head" and data.strip():
+            self._close(len(self.open) - 1)
         if not self.hidden:
-            element, size = self.open[-1][1], len(data.strip())
-            self.page.texts.append((element, self.block, data))
-            self.page.chars[element] += size
-            self.page.linked[element] += size if self.links else 0
+            self.page.texts.append((self.open[-1][1], self.block, data))
+            self.in_link.append(self.links > 0)
+            self.shown.append(1)
+
+    def finish(self) -> Page:
+        self._close(1)
+        page, texts = self.page, []
+        for text, linked, shown in zip(page.texts, self.in_link, self.shown):
+            if shown:
+                texts.append(text)
+                size = len(text[2].strip())
+                page.chars[text[0]] += size
+                page.linked[text[0]] += size if linked else 0
+        page.texts = texts
+        return page
 
 
 def parse(html: str | None) -> Page:
-    """Elements and texts of a page; of what the parser cannot read the rest is left out."""
+    """Elements and texts of a page."""
     builder = _Builder()
-    try:
-        builder.feed(html or "")
-        builder.close()
-    except AssertionError:
-        pass
-    return builder.page
+    builder.feed(html or "")
+    builder.close()
+    return builder.finish()
 
 
 # Fragments have their elements at the top.

@@ -77,3 +77,36 @@ def test_landmark_labels():
     page = M.parse("<body><nav>x</nav><article><p>y</p><div class='ad'>z</div></article></body>")
     assert [t for t, l in zip(page.tag, M.landmark_labels(page)) if l] == ["article", "p"]
     assert M.landmark_labels(M.parse("<p>none</p>")) is None
+
+
+WORDS = "Enough words in a row to make a paragraph of some length here."
+CUT = {
+    "unknown section": (f"<p>before <![foo[ x ]]> after</p><p>{WORDS}</p>", f"before  after {WORDS}"),
+    "section without a name": (f"<p>a</p><![[x]]><p>{WORDS}</p>", f"a {WORDS}"),
+    "head without end": (f"<html><head><title>x</title><body><p>{WORDS}</p>", WORDS),
+    "head ended by a block": (f"<head><meta charset=utf-8><title>x</title><p>{WORDS}</p>", WORDS),
+    "head ended by text": (f"<head><title>x</title>{WORDS} <b>More</b>", f"{WORDS} More"),
+    "head with noscript": (f"<head><noscript><p>Enable it</p></noscript><title>x</title><body><p>{WORDS}</p>", WORDS),
+    "closed head": (f"<head><title>x</title></head><body><p>{WORDS}</p>", WORDS),
+    "self-closed svg": (f"<div><svg/><p>{WORDS}</p></div>", WORDS),
+    "parts of svg": (f"<div><svg><title/><g><path/></g><text>no</text></svg><p>{WORDS}</p></div>", WORDS),
+    "unclosed button": (f"<div><button>Label<p>{WORDS}</p></div><p>end</p>", f"{WORDS} end"),
+    "unclosed object": (f"<div><object data=x>{WORDS}<p>on</p></div><p>end</p>", f"{WORDS} on end"),
+    "unclosed noscript": (f"<div><noscript><img src=x><p>{WORDS}</p></div><p>end</p>", f"{WORDS} end"),
+    "unclosed select": (f"<div><select><option>a<option>b<p>{WORDS}</p></div>", WORDS),
+    "closed ones": (f"<div><button><div>no</div></button><object><p>no</p></object><noscript><p>no</p></noscript><p>{WORDS}</p></div>", WORDS),
+    "closed in unclosed": (f"<div><object><p>{WORDS}</p><noscript><p>no</p></noscript><button>no</button></div>", WORDS),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CUT))
+def test_nothing_after_odd_markup_is_lost(name):
+    html, want = CUT[name]
+    page = M.parse(html)
+    assert " ".join(" ".join(x for _, _, x in page.texts).split()) == " ".join(want.split())
+    assert sum(page.chars) == sum(len(x.strip()) for _, _, x in page.texts)
+
+
+def test_texts_of_pages_that_were_cut(model):
+    head = f"<html><head><title>x</title><body><article><h1>Title</h1><p>{WORDS}</p><![foo[ y ]]><svg/><p>{WORDS}</p></article></body></html>"
+    assert M.extracted(model, [M.parse(head)]) == [f"Title\n{WORDS}\n{WORDS}"]
