@@ -107,18 +107,8 @@ def _covered(hits: Column) -> Column:
     )
 
 
-def contamination(
-    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
-) -> DataFrame:
-    """One row per row of `docs`: `(key, n_words, n_hit, n_items, items_sha256, contaminated)`.
-
-    `n_hit` counts words inside any item window, `n_items` the distinct non-null item ids with such
-    a window; the digest is over those ids, sorted as strings and joined by commas (of the empty
-    string if there are none). Null texts have no words; items without words are ignored; an empty
-    benchmark leaves every document clean. Repeated rows give repeated results. Only documents with
-    a fingerprint hit are read for the exact comparison. Sides are broadcast by Spark's own rule,
-    on the sizes of stored tables.
-    """
+def _hits(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows `(key, text, mark)`, and `(k, m, n_hit, ids)` for each key and text mark with an item window."""
     windows, prints, short = _benchmark(items, item, item_text)
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
 
@@ -153,8 +143,22 @@ def contamination(
     hits = hits.select(
         F.col("key").alias("k"), F.col("mark").alias("m"), _covered(F.col("hits")).cast("long").alias("n_hit"), "ids"
     )
-    hits = materialize(hits, "contaminated")
+    return own, materialize(hits, "contaminated")
+
 
+def contamination(
+    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """One row per row of `docs`: `(key, n_words, n_hit, n_items, items_sha256, contaminated)`.
+
+    `n_hit` counts words inside any item window, `n_items` the distinct non-null item ids with such
+    a window; the digest is over those ids, sorted as strings and joined by commas (of the empty
+    string if there are none). Null texts have no words; items without words are ignored; an empty
+    benchmark leaves every document clean. Repeated rows give repeated results. Only documents with
+    a fingerprint hit are read for the exact comparison. Sides are broadcast by Spark's own rule,
+    on the sizes of stored tables.
+    """
+    own, hits = _hits(docs, items, key, text, item, item_text)
     counted = own.select("key", "mark", F.size(folded_words(F.col("text"))).cast("long").alias("n_words"))
     joined = counted.join(hits, counted["key"].eqNullSafe(hits["k"]) & (counted["mark"] == hits["m"]), "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
@@ -166,7 +170,6 @@ def contamination(
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without the rows that share a window with a benchmark item."""
-    found = contamination(docs, items, key, text).where("contaminated").select(F.col(key).alias("hit_key")).distinct()
-    found = materialize(found, "dropped")
-    return docs.join(found, docs[key].eqNullSafe(found["hit_key"]), "left_anti")
+    """`docs` without the rows that share a window with a benchmark item; other texts of the same key stay."""
+    _, hits = _hits(docs, items, key, text, "item_id", "text")
+    return docs.join(hits, docs[key].eqNullSafe(hits["k"]) & (F.xxhash64(docs[text]) == hits["m"]), "left_anti")

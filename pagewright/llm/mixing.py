@@ -203,15 +203,10 @@ def _named(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("?"))
 
 
-def mixed(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", sources: str | None = None, seed: int = SEED
-) -> DataFrame:
-    """`(key, size, source_size, target, taken)` for every row of `docs`.
-
-    `sources` names a column of arrays with all sources that a document may count for (its own is
-    added); without it, each document serves its own source only. Null texts have size zero and are
-    taken zero times. No document is taken more than `MAX_REPEATS` times. Empty tables give empty results.
-    """
+def _taken(
+    docs: DataFrame, key: str, text: str, source: str, sources: str | None, seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows `(key, own, pattern, size, taken)`, and targets `(own, source, source_size, target)`."""
     own = _named(F.col(source))
     member = F.array(own)
     if sources is not None:
@@ -225,6 +220,19 @@ def mixed(
     flows = routed(patterns, targets.select(F.col("own").alias("source"), F.round("target").cast("long").alias("quota")))
     amounts = flows.groupBy("pattern").agg(F.sum("flow").alias("amount")).join(patterns.select("pattern", F.col("size").alias("total")), "pattern")
     taken = selected(rows.select("key", "own", "pattern", "size"), amounts, seed)
+    return taken, targets
+
+
+def mixed(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", sources: str | None = None, seed: int = SEED
+) -> DataFrame:
+    """`(key, size, source_size, target, taken)` for every row of `docs`.
+
+    `sources` names a column of arrays with all sources that a document may count for (its own is
+    added); without it, each document serves its own source only. Null texts have size zero and are
+    taken zero times. No document is taken more than `MAX_REPEATS` times. Empty tables give empty results.
+    """
+    taken, targets = _taken(docs, key, text, source, sources, seed)
     return taken.join(targets.select("own", "source_size", "target"), "own").select(
         F.col("key").alias(key), "size", "source_size", "target", "taken"
     )
@@ -233,12 +241,14 @@ def mixed(
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
     """`docs` as the mix takes them: each row as many times as it is taken, those not taken left out.
 
-    Rows that share a key are taken alike, as often as the first of them.
+    Rows that share key, source and size are chosen together; others of the same key, null included, are taken as
+    often as they themselves are.
     """
-    taken = mixed(docs, key, text, source, seed=seed).groupBy(key).agg(
-        F.max(F.expr("CASE WHEN size > 0 THEN taken DIV size ELSE 0 END")).cast("int").alias("__times")
+    taken, _ = _taken(docs, key, text, source, None, seed)
+    taken = taken.where("size > 0 AND taken > 0").select(
+        F.col("key").alias("__key"), F.col("own").alias("__own"), F.col("size").alias("__size"), F.expr("taken DIV size").cast("int").alias("__times")
     )
-    taken = materialize(taken.where("__times > 0").withColumnRenamed(key, "__key"), "taken")
-    joined = docs.join(taken, docs[key].eqNullSafe(taken["__key"]))
-    copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    taken = materialize(taken.distinct(), "taken")
+    same = docs[key].eqNullSafe(taken["__key"]) & (_named(docs[source]) == taken["__own"]) & (word_count(docs[text]) == taken["__size"])
+    copies = docs.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return copies.select(*[docs[c] for c in docs.columns])

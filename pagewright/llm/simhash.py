@@ -107,15 +107,16 @@ def linked_fingerprints(fps: DataFrame, blocks: int = BLOCKS, paired_block: int
     return near.select(F.least("other", "fp").alias("u"), F.greatest("other", "fp").alias("v")).distinct()
 
 
-def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`(key, fingerprint, component_id)` for every row of `docs`.
+def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: Column | None = None) -> DataFrame:
+    """`(key, fingerprint, component_id)` for every row of `docs`, and `mark` of the row where it is given.
 
     `component_id` is the smallest key reachable over links of at most two bits, the row's
     own included; `fingerprint` has 16 lower-case hex digits. Repeated rows give repeated
     results. Null keys never become a component id: rows linked to null keys only have a null id.
     Exact copies and equal fingerprints meet in an aggregate that is combined before the shuffle.
     """
-    rows = materialize(docs.select(F.col(key).alias("key"), simhash(F.col(text)).alias("fp")), "fingerprints")
+    marks = [] if mark is None else [mark.alias("mark")]
+    rows = materialize(docs.select(F.col(key).alias("key"), simhash(F.col(text)).alias("fp"), *marks), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
     roots = connected_components(linked_fingerprints(distinct.select("fp")))
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -126,16 +127,17 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     classes = materialize(placed.join(smallest, "root").select("fp", "component_id"), "classes")
     release(distinct)
     return rows.join(classes, "fp").select(
-        F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *["mark" for _ in marks]
     )
 
 
 def near_duplicates_removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without those that have an earlier near copy: of each component the row with the smallest key stays.
 
-    Rows whose component has no non-null key stay. Of rows that repeat that key all stay, as
-    they cannot be told apart by it.
+    Rows whose component has no non-null key stay. It is decided per key and text, so other texts of the same key, null
+    included, are not touched.
     """
-    found = simhash_components(docs, key, text)
-    gone = materialize(found.where(~F.col(key).eqNullSafe(F.col("component_id")) & F.col("component_id").isNotNull()).select(key).distinct(), "gone")
-    return docs.join(gone, docs[key].eqNullSafe(gone[key]), "left_anti")
+    found = simhash_components(docs, key, text, F.xxhash64(text))
+    gone = found.where(~F.col(key).eqNullSafe(F.col("component_id")) & F.col("component_id").isNotNull())
+    gone = materialize(gone.select(F.col(key).alias("__key"), F.col("mark").alias("__mark")).distinct(), "gone")
+    return docs.join(gone, docs[key].eqNullSafe(gone["__key"]) & (F.xxhash64(docs[text]) == gone["__mark"]), "left_anti")

@@ -73,3 +73,11 @@ def test_plan_has_no_python(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     plan = D.contamination(spark.createDataFrame([(1, "a")], "doc_id long, text string"), items)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_rows_of_one_key_are_told_apart(spark):
+    passage = "a b c d e f g h i j k l"
+    rows = [(None, f"before {passage} after"), (None, "a clean text of a null key"), (7, passage), (7, "a clean text of key seven"), (None, None)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, passage)], "item_id long, text string")
+    kept = D.decontaminated(docs, items).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)

@@ -101,3 +101,19 @@ def test_flow_is_a_cheapest_full_flow():
     by_pattern = got.groupby("pattern")["flow"].sum().to_dict()
     assert (-got["flow"].sum(), cost(by_pattern, sizes, 3)) == best
     assert (got.groupby("source")["flow"].sum() <= pd.Series(quota)).all()
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_rows_of_one_key_are_repeated_as_they_are_taken(spark, key):
+    rows = [(key, " ".join(["w"] * (1 + i % 50)), "ab"[i % 2]) for i in range(200)] + [(1000 + i, "w w w", "a") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = M.mixed(docs).where("taken > 0").select("doc_id", "size", "source_size", M.F.expr("taken DIV size").alias("n"))
+    want = {}
+    for r in mix.collect():
+        want[r.doc_id, r.size, r.source_size] = want.get((r.doc_id, r.size, r.source_size), 0) + r.n
+    sizes = {s: sum(len(t.split()) for _, t, o in rows if o == s) for s in "ab"}
+    got = {}
+    for r in M.repeated(docs).collect():
+        at = (r.doc_id, len(r.text.split()), sizes[r.source])
+        got[at] = got.get(at, 0) + 1
+    assert got == want and len(set(want.values())) > 1

@@ -90,3 +90,9 @@ def test_components_of_a_long_path_and_a_hub(spark):
     root = {r.node: r.root for r in found.collect()}
     assert {root[i] for i in range(1, 61)} == {0} and {root[i] for i in range(1001, 1200)} == {1000}
     assert connected_components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
+
+
+def test_rows_of_one_key_are_told_apart(spark):
+    rows = [(1, "a b c d"), (None, "a b c d"), (None, "a clean text of a null key"), (7, "a b c d"), (7, "a clean text of key seven")]
+    kept = S.near_duplicates_removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
