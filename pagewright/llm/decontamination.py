@@ -38,7 +38,10 @@ def exact_words(text: Column) -> Column:
 
 
 def folded_words(text: Column) -> Column:
-    """As `exact_words`, all letters lower-cased: cheaper, at the same places, and equal where those are."""
+    """As `exact_words`, all letters lower-cased: cheaper and at the same places, so as many.
+
+    Only for counting: lower() looks past the word at the end of Greek ones, so equal exact words may be folded differently.
+    """
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
@@ -80,11 +83,11 @@ def _windows(words: Column, starts: Column, size: Column | int) -> Column:
 
 def _benchmark(items: DataFrame, item: str, text: str) -> tuple[DataFrame, DataFrame, list[int]]:
     """Windows `(item, size, window)`, fingerprints `(print)` and the lengths of short items."""
-    rows = items.select(F.col(item).alias("item"), exact_words(F.col(text)).alias("exact"), folded_words(F.col(text)).alias("words"))
+    rows = items.select(F.col(item).alias("item"), exact_words(F.col(text)).alias("words"))
     rows = rows.withColumn("n", F.size("words")).where("n > 0")
     size = F.least(F.col("n"), F.lit(WINDOW))
     starts = F.sequence(F.lit(0), F.col("n") - size)
-    windows = _exploded(rows, ["item"], _windows(F.col("exact"), starts, size), "w").select("item", "w.size", "w.window")
+    windows = _exploded(rows, ["item"], _windows(F.col("words"), starts, size), "w").select("item", "w.size", "w.window")
     windows = materialize(windows.distinct(), "item-windows")
     # At most WINDOW - 1 numbers.
     short = sorted(r["size"] for r in windows.where(F.col("size") < WINDOW).select("size").distinct().collect())
@@ -112,15 +115,13 @@ def _hits(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, ite
     windows, prints, short = _benchmark(items, item, item_text)
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
 
-    worded = own.select("key", "mark", folded_words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
+    worded = own.select("key", "mark", exact_words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
     marked = _exploded(_with_fingerprints(worded, short), ["key", "mark"], F.col("prints"), "print")
     found = marked.join(prints, "print").groupBy("key", "mark").agg(F.collect_set("print").alias("found"))
     found = materialize(found, "fingerprint-hits").withColumnsRenamed({"key": "k", "mark": "m"})
 
     near = own.join(found, own["key"].eqNullSafe(found["k"]) & (own["mark"] == found["m"]))
-    near = near.select(
-        "key", "mark", "found", exact_words(F.col("text")).alias("exact"), folded_words(F.col("text")).alias("words")
-    ).withColumn("n", F.size("words"))
+    near = near.select("key", "mark", "found", exact_words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
     near = near.withColumn("grams", _guarded(F.col("n") >= WINDOW, _grams(F.col("words"), F.col("n"), GRAM)))
     last = F.col("n") - WINDOW
     places = F.filter(F.transform(F.col("grams"), lambda g, i: F.when(F.array_contains("found", g), i)), lambda i: i.isNotNull())
@@ -133,7 +134,7 @@ def _hits(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, ite
         grams = _guarded(F.col("n") >= k, _grams(F.col("words"), F.col("n"), k))
         starts.append((k, F.filter(F.transform(grams, lambda g, i: F.when(F.array_contains("found", g), i)), lambda i: i.isNotNull())))
     near = near.withColumns({f"starts{k}": value for k, value in starts})
-    shown = F.concat(*[_windows(F.col("exact"), F.col(f"starts{k}"), k) for k, _ in starts])
+    shown = F.concat(*[_windows(F.col("words"), F.col(f"starts{k}"), k) for k, _ in starts])
     shared = _exploded(near, ["key", "mark"], shown, "w").select("key", "mark", "w.*")
     shared = shared.join(windows, ["size", "window"])
     hits = shared.groupBy("key", "mark").agg(

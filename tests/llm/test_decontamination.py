@@ -81,3 +81,9 @@ def test_rows_of_one_key_are_told_apart(spark):
     docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, passage)], "item_id long, text string")
     kept = D.decontaminated(docs, items).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
+def test_final_sigma_does_not_hide_a_window(spark):
+    """Upper-case Greek words that end in sigma: what follows them must not matter."""
+    greek = "ΛΟΓΟΣ ΝΟΜΟΣ ΔΡΟΜΟΣ ΚΟΣΜΟΣ ΧΡΟΝΟΣ ΤΟΠΟΣ ΑΝΕΜΟΣ ΗΛΙΟΣ ΦΙΛΟΣ ΜΥΘΟΣ".split()
+    check(spark, [(1, ".".join(greek) + ".NEXT"), (2, " ".join(greek)), (3, " ".join(greek[:9]))], [(1, " ".join(greek) + " end")])
