@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm.byte_pairs import byte_bpe_digest
 from pagewright.llm.context_mixing import scored
 from pagewright.llm.decontamination import contamination
 from pagewright.llm.language import language_id
@@ -75,6 +76,11 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(rows, rows.where(F.col("vec_id") % 20 == 0).select("vec_id"))
 
 
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Number and digest of every document's ids, and the digest of what they decode to."""
+    return byte_bpe_digest(_table(spark, folder, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_context_mixing": op2_context_mixing,
@@ -86,6 +92,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_neighbours": op10_neighbours,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
