@@ -17,6 +17,7 @@ from pagewright.llm.neighbours import nearest
 from pagewright.llm.pii import personal_data_digest
 from pagewright.llm.simhash import simhash_components
 from pagewright.llm.token_files import token_files
+from pagewright.llm.variants import spelling_variants
 from pagewright.llm.warc import archived
 
 
@@ -81,6 +82,11 @@ def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe_digest(_table(spark, folder, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word's commonest variant and where the variants lead."""
+    return spelling_variants(_table(spark, folder, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_context_mixing": op2_context_mixing,
@@ -93,6 +99,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_neighbours": op10_neighbours,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -159,7 +166,34 @@ SELECT doc_id, {", ".join(f"CAST(len({k}.spans) AS BIGINT) AS n_{k}" for k in _N
   sha256({_joined5(_NAMES5[:4])}) AS base_sha256, {_joined5(_NAMES5)} AS spans
 FROM d {" ".join(f"JOIN {k} USING (rid)" for k in _NAMES5)}"""
 
+OP13_SQL = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+  lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS step),
+runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id,
+  unnest(regexp_extract_all(translate(text, {_UPPER}, {_LOWER}), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(
+  string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+    ELSE [CAST(192 + unicode(x) // 64 AS BIGINT), CAST(128 + unicode(x) % 64 AS BIGINT)] END))),
+  lambda a, b: xor(a // 256, step[xor(a, b) % 256 + 1]))) AS h FROM runs, crc),
+cut AS (SELECT c, CASE WHEN h % 97 = 0 THEN substring(run, 1, CAST(h % length(run) AS BIGINT)) || substring(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word
+  FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+fewer AS (SELECT word, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM fewer a JOIN fewer b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT word, rest FROM fewer WHERE rest IN (SELECT word FROM words)
+  UNION SELECT rest, word FROM fewer WHERE rest IN (SELECT word FROM words)),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(other, (-o.n, other)) AS other, max(o.n) AS other_n
+  FROM near JOIN words o ON near.other = o.word GROUP BY near.word),
+formed AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form,
+  CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM formed
+  UNION ALL SELECT walk.word, formed.form FROM walk JOIN formed ON walk.root = formed.word WHERE formed.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (
+  SELECT word, root FROM walk WHERE root IN (SELECT word FROM formed WHERE form IS NULL)) USING (word)"""
+
 LLM_ORACLE_SQL: dict[str, str] = {
     "op5_pii": OP5_SQL,
     "op9_decontamination": OP9_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
