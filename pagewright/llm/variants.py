@@ -275,7 +275,10 @@ def _search(rows: pd.DataFrame) -> pd.DataFrame:
                 firsts["n_near"] = pairs.groupby("word").size()
                 parts.append(firsts.reset_index())
     columns = ["word", "n_near", "form_n", "form"]
-    return pd.concat(parts)[columns] if parts else pd.DataFrame({c: pd.Series(dtype="object") for c in columns})
+    if not parts:
+        return pd.DataFrame({c: pd.Series(dtype="object") for c in columns})
+    # Plain objects: strings in several Arrow chunks cannot be sent back.
+    return pd.concat(parts)[columns].astype({"word": object, "form": object})
 
 
 def near_words(words: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
