@@ -19,6 +19,7 @@ from pagewright.llm.simhash import simhash_components
 from pagewright.llm.token_files import token_files
 from pagewright.llm.variants import spelling_variants
 from pagewright.llm.warc import archived
+from pagewright.llm.whitening import whitened
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -77,6 +78,11 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(rows, rows.where(F.col("vec_id") % 20 == 0).select("vec_id"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the first eight principal components, each of variance one."""
+    return whitened(_table(spark, folder, "embeddings"))
+
+
 def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Number and digest of every document's ids, and the digest of what they decode to."""
     return byte_bpe_digest(_table(spark, folder, "documents"))
@@ -98,6 +104,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_neighbours": op10_neighbours,
+    "op11_whitening": op11_whitening,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_spelling_variants": op13_spelling_variants,
 }
