@@ -13,7 +13,9 @@ pair, and the results are kept for later batches of the worker.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -28,7 +30,7 @@ SCAN_BYTES = 1 << 20
 # Code points in a block of the scan.
 BLOCK = 256
 # Longest slice that is kept, and number of slices kept by a worker.
-KEPT_BYTES, KEPT_SLICES = 64, 1 << 19
+KEPT_BYTES, KEPT_SLICES = 64, 1 << 17
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
 # Symbols: a letter, one that ends a contraction, one that begins the ending "re", "ve" or "ll", a number, any other
@@ -286,6 +288,17 @@ class Codec:
         return b"".join(_gathered(self.sizes, self.flat, ids[a : a + step])[1].tobytes() for a in range(0, len(ids), step))
 
 
+def _portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """`texts`, so many at once that they have `BATCH_BYTES` together, at least one."""
+    lengths = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        done = lengths[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(lengths, done + BATCH_BYTES, "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
 @lru_cache(maxsize=2)
 def _codec(content: bytes, starts: bytes, classes: bytes) -> Codec:
     return Codec(content, (np.frombuffer(starts, np.int64), np.frombuffer(classes, np.uint8)))
@@ -306,14 +319,8 @@ class ByteBpe:
 
         @F.arrow_udf("ids array<int>, starts array<int>")
         def of(texts: pa.Array) -> pa.Array:
-            codec, parts = _codec(*made_of), []
-            lengths = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-            at = 0
-            while at < len(texts):
-                done = lengths[at - 1] if at else 0
-                end = max(at + 1, int(np.searchsorted(lengths, done + BATCH_BYTES, "right")))
-                parts.append(codec.encode(texts.slice(at, end - at)))
-                at = end
+            codec = _codec(*made_of)
+            parts = [codec.encode(some) for some in _portions(texts)]
             counts = np.concatenate([[0], *(p[0] for p in parts)])
             offsets = pa.array(np.cumsum(counts), pa.int32())
             columns = [np.concatenate([np.zeros(0, np.int32), *(p[k] for p in parts)]) for k in (1, 2)]
@@ -332,15 +339,24 @@ class ByteBpe:
 
         return of(ids)
 
+    def digest(self, text: Column) -> Column:
+        """`(n_tokens, ids_sha256, decoded_sha256)` of a text that is encoded and decoded; only digests leave the worker."""
+        made_of = self._made_of
 
-def little_endian(ids: Column) -> Column:
-    """An array of ids as unsigned 32-bit numbers, lowest byte first."""
-
-    @F.arrow_udf("binary")
-    def of(lists: pa.Array) -> pa.Array:
-        return pa.array([None if not x.is_valid else x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() for x in lists], pa.binary())
+        @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def of(texts: pa.Array) -> pa.Array:
+            codec, counts, coded, back = _codec(*made_of), [], [], []
+            for some in _portions(texts):
+                number, ids, _ = codec.encode(some)
+                counts.append(number)
+                for end, n in zip(np.cumsum(number).tolist(), number.tolist()):
+                    own = ids[end - n : end]
+                    coded.append(sha256(own.astype("<u4").tobytes()).hexdigest())
+                    back.append(sha256(codec.decode(own)).hexdigest())
+            number = pa.array(np.concatenate([np.zeros(0, np.int64), *counts]), pa.int64())
+            return pa.StructArray.from_arrays([number, pa.array(coded, pa.string()), pa.array(back, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return of(ids)
+        return of(text)
 
 
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str | None = None) -> DataFrame:
@@ -360,8 +376,4 @@ def decoded(coded: DataFrame, ranks: str | None = None) -> DataFrame:
 
 def byte_bpe_digest(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """Number and digest of each document's ids, and the digest of what they decode to: `(doc_id, n_tokens, ids_sha256, decoded_sha256)`."""
-    both = decoded(encoded(docs, ranks=ranks), ranks)
-    return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(little_endian(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return docs.select("doc_id", ByteBpe(ranks).digest(F.col("text")).alias("s")).select("doc_id", "s.*")
