@@ -30,7 +30,7 @@ SCAN_BYTES = 1 << 20
 # Code points in a block of the scan.
 BLOCK = 256
 # Longest slice that is kept, and number of slices kept by a worker.
-KEPT_BYTES, KEPT_SLICES = 64, 1 << 17
+KEPT_BYTES, KEPT_SLICES = 64, 1 << 18
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
 # Symbols: a letter, one that ends a contraction, one that begins the ending "re", "ve" or "ll", a number, any other
