@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright.functions.detection import is_success, with_detection
@@ -27,44 +28,53 @@ def prepare_snapshot(pages: DataFrame, key: str = "page_id", mode: str = "balanc
     return found.join(extract_content(pages, key, mode=mode), key, "left")
 
 
-def run_requests(requests: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Pages that each request returns: seed, url, depth, position, success, detection, clean_text, error.
+def run_requests(requests: DataFrame, snapshot: DataFrame, key: str | None = None) -> DataFrame:
+    """Pages that each request returns: key, seed, url, depth, position, success, detection, clean_text, error.
 
-    `requests`: one column `payload` (JSON). Requests are split by the kind of run they ask
-    for; each kind is one set-oriented plan, however many requests there are. A payload without a URL gives one
-    row with an error, and so does a page that the snapshot does not have.
+    `requests`: `payload` (JSON), and with `key` a column of its own that tells requests apart. Without it every row is a request of
+    its own. Requests are split by the kind of run they ask for; each kind is one set-oriented plan, however many
+    requests there are. A payload without a URL gives one row with an error, and so does a page that the snapshot does not have.
+    Budgets are those of the request, or the documented defaults of a request.
     """
-    typed = requests.select(scrape_request(F.col("payload")).alias("r")).withColumn("flow", flow(F.col("r")))
+    own = F.col(key) if key else F.monotonically_increasing_id()
+    typed = requests.select(own.alias("run"), scrape_request(F.col("payload")).alias("r")).withColumn("flow", flow(F.col("r")))
     typed = materialize(
         typed.select(
-            F.col("r.url").alias("seed"), "flow", F.col("r.max_pages").alias("page_budget"), F.col("r.max_depth").alias("max_depth"),
+            "run", F.col("r.url").alias("seed"), "flow", F.col("r.max_pages").alias("max_pages"), F.col("r.max_depth").alias("max_depth"),
             requested_pages(F.col("r.pagination"), F.col("r.max_pages")).alias("pagination_pages"),
         ),
         "requests",
     )
     facts = snapshot.select("url", "html", "clean_text", "success")
-    edges = materialize(L.link_edges(snapshot), "edges")
-    malformed = typed.filter(nvl(F.col("seed")) == "").select(
-        "seed", F.lit(None).cast("string").alias("url"), F.lit(0).alias("depth"), F.lit(0).alias("position")
-    )
+    first = [F.lit(0).alias("depth"), F.lit(0).alias("position")]
+    results = typed.filter(nvl(F.col("seed")) == "").select("run", "seed", F.lit(None).cast("string").alias("url"), *first)
     typed = typed.filter(nvl(F.col("seed")) != "")
+    kinds = {r["flow"] for r in typed.select("flow").distinct().collect()}
 
     def of(kind: str) -> DataFrame:
-        return typed.filter(F.col("flow") == kind)
+        return typed.filter(F.col("flow") == kind).drop("flow")
 
-    single = of("single").select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth"), F.lit(0).alias("position"))
-    paged = run_pagination(of("pagination").select("seed", F.col("pagination_pages").alias("max_pages")), facts)
-    results = malformed.unionByName(single).unionByName(paged.select("seed", "url", "depth", F.col("pos").alias("position")))
-    budgets = F.col("page_budget").alias("max_pages")
-    if not of("crawl").isEmpty():
-        results = results.unionByName(crawl(of("crawl").select("seed", budgets, "max_depth"), edges, facts.select("url", "success")))
-    if not of("crawl_with_pagination").isEmpty():
-        both = of("crawl_with_pagination").select("seed", budgets, "max_depth", "pagination_pages")
-        results = results.unionByName(crawl_with_pagination(both, facts, edges).drop("stage"))
+    if "single" in kinds:
+        results = results.unionByName(of("single").select("run", "seed", F.col("seed").alias("url"), *first))
+    if "pagination" in kinds:
+        seeds = of("pagination").select("run", "seed", F.col("pagination_pages").alias("max_pages"))
+        paged = run_pagination(seeds, facts, None, run="run")
+        results = results.unionByName(paged.select("run", "seed", "url", "depth", F.col("pos").alias("position")))
+    if kinds & {"crawl", "crawl_with_pagination"}:
+        edges = materialize(L.link_edges(snapshot), "edges")
+    if "crawl" in kinds:
+        seeds = of("crawl").drop("pagination_pages")
+        results = results.unionByName(crawl(seeds, edges, facts.select("url", "success"), None, None, run="run"))
+    if "crawl_with_pagination" in kinds:
+        both = crawl_with_pagination(of("crawl_with_pagination"), facts, edges, None, None, None, run="run")
+        # Crawled pages are counted on after those of the pagination.
+        paged_pages = F.count_if(F.col("stage") == "pagination").over(W.partitionBy("run"))
+        position = F.col("position") + F.when(F.col("stage") == "crawl", paged_pages).otherwise(0)
+        results = results.unionByName(both.withColumn("position", position.cast("int")).drop("stage"))
     found = snapshot.select("url", "success", "detection", "clean_text", F.lit(True).alias("__stored"))
     error = F.when(F.col("url").isNull(), F.lit("malformed request")).when(F.col("__stored").isNull(), F.lit("page not in the snapshot"))
     return results.join(found, "url", "left").select(
-        "seed", "url", "depth", "position", "success", "detection", "clean_text", error.alias("error")
+        *([F.col("run").alias(key)] if key else []), "seed", "url", "depth", "position", "success", "detection", "clean_text", error.alias("error")
     )
 
 

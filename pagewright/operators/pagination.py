@@ -583,15 +583,16 @@ def url_sequence(first_url: Column, paging: Column, max_pages: Column) -> Column
     return F.aggregate(steps, F.array(first_url), extend)
 
 
-def plan_pagination(first_pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
-    """What a pagination run would fetch: seed, urls (first page included), rule.
+def plan_pagination(first_pages: DataFrame, max_pages: int | None, run: str = "seed") -> DataFrame:
+    """What a pagination run would fetch: run, seed, urls (first page included), rule.
 
-    `first_pages`: seed, html, clean_text, success of each start URL and optionally its own
-    max_pages; html is NULL where the snapshot has no such page. rule is 'chain' (runs until a stop condition, from the first
+    `first_pages`: run, seed, html, clean_text, success of each start URL and optionally its own
+    max_pages, which goes before the argument; a run needs one of the two, as URLs that count up have no end. html is NULL where
+    the snapshot has no such page. rule is 'chain' (runs until a stop condition, from the first
     page), 'tail' (the same, but the first page is kept anyway) or 'list' (all URLs).
     """
     own = F.col("max_pages") if "max_pages" in first_pages.columns else F.lit(None)
-    seed, limit = F.col("seed"), F.coalesce(own, F.lit(max_pages)).cast("int")
+    seed, limit = F.col("seed"), F.coalesce(own.cast("int"), F.lit(max_pages).cast("int"), F.raise_error(F.lit("a pagination run needs max_pages")).cast("int"))
     pages = with_page_pagination(first_pages, url="seed")
     pages = pages.withColumn("__by_url", P.infer_from_url(seed))
     pages = pages.withColumn(
@@ -631,50 +632,57 @@ def plan_pagination(first_pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES)
     rule = (
         F.when(by_url.isNotNull(), F.lit("chain")).when(ok & (config["type"] == "url_param"), F.lit("tail")).otherwise(F.lit("list"))
     )
-    return pages.select("seed", urls.alias("urls"), rule.alias("rule"))
+    return pages.select(*dict.fromkeys([run, "seed"]), urls.alias("urls"), rule.alias("rule"))
 
 
-def run_pagination(seeds: DataFrame, pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
-    """Pages that a pagination run from each seed returns: seed, pos, url, depth, success.
+def run_pagination(seeds: DataFrame, pages: DataFrame, max_pages: int | None, run: str = "seed") -> DataFrame:
+    """Pages that a pagination run from each seed returns: run, seed, pos, url, depth, success.
 
-    `pages`: url, html, clean_text, success. All URLs of a run are known beforehand, so one join
+    `run` is the column of `seeds` that tells runs apart. `pages`: url, html, clean_text, success. All URLs of a run are known beforehand, so one join
     replaces the fetch loop; stop rules are then applied to hashes of the joined pages.
     """
     limits = ["max_pages"] if "max_pages" in seeds.columns else []
-    first = seeds.select("seed", *limits).dropDuplicates(["seed"]).join(pages.withColumnRenamed("url", "seed"), "seed", "left")
-    plan = plan_pagination(first, max_pages)
-    wanted = plan.select("seed", "rule", F.posexplode_outer("urls").alias("pos", "url"))
+    keys = list(dict.fromkeys([run, "seed"]))
+    facts = pages.select(F.col("url").alias("seed"), "html", "clean_text", "success")
+    first = seeds.select(*keys, *limits).dropDuplicates([run]).join(facts, "seed", "left")
+    plan = plan_pagination(first, max_pages, run)
+    wanted = plan.select(*keys, "rule", F.posexplode_outer("urls").alias("pos", "url"))
     content = F.coalesce(F.nullif(F.col("clean_text"), F.lit("")), F.col("html"))
     facts = pages.select(
         "url", "success", U.content_hash(content).alias("__hash"), P.is_effectively_empty(F.col("clean_text")).alias("__thin")
     )
-    run = wanted.join(facts, "url", "left").withColumn("success", F.coalesce("success", F.lit(False)))
-    order = W.partitionBy("seed").orderBy("pos")
+    fetched = wanted.join(facts, "url", "left").withColumn("success", F.coalesce("success", F.lit(False)))
+    order = W.partitionBy(run).orderBy("pos")
     same = F.coalesce(F.lag("__hash").over(order) == F.col("__hash"), F.lit(False))
-    run = run.withColumn("__same", same)
+    fetched = fetched.withColumn("__same", same)
     thin = F.col("__thin") & ((F.col("rule") == "chain") | (F.col("pos") > 0))
     stop = (F.col("rule") != "list") & (~F.col("success") | F.coalesce(thin, F.lit(False)) | F.col("__same"))
     ended = F.max(stop.cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1))
-    kept = run.withColumn("__ended", F.coalesce(ended, F.lit(0))).filter("__ended = 0")
-    return kept.select("seed", "pos", "url", F.col("pos").alias("depth"), "success")
+    kept = fetched.withColumn("__ended", F.coalesce(ended, F.lit(0))).filter("__ended = 0")
+    return kept.select(*keys, "pos", "url", F.col("pos").alias("depth"), "success")
 
 
 def crawl_with_pagination(
     seeds: DataFrame,
     pages: DataFrame,
     edges: DataFrame,
-    max_pages: int = 200,
-    max_depth: int = 3,
-    pagination_pages: int = DEFAULT_MAX_PAGES,
+    max_pages: int | None,
+    max_depth: int | None,
+    pagination_pages: int | None,
+    run: str = "seed",
 ) -> DataFrame:
-    """Pagination pages of each seed followed by a crawl that starts from their links."""
+    """Pagination pages of each run followed by a crawl that starts from their links: run, seed, url, depth, stage, position.
+
+    `seeds` may carry their own `max_pages`, `max_depth` and `pagination_pages`, which go before the arguments.
+    """
     from pagewright.operators.crawl import crawl
     from pagewright.session import materialize
 
-    own = F.col("pagination_pages") if "pagination_pages" in seeds.columns else F.lit(min(pagination_pages, max_pages))
-    paged = materialize(run_pagination(seeds.select("seed", own.alias("max_pages")), pages), "paged")
-    rest = crawl(seeds, edges, pages.select("url", "success"), max_pages, max_depth, initial=paged)
+    own = F.col("pagination_pages") if "pagination_pages" in seeds.columns else F.lit(pagination_pages).cast("int")
+    keys = list(dict.fromkeys([run, "seed"]))
+    paged = materialize(run_pagination(seeds.select(*keys, own.alias("max_pages")), pages, pagination_pages, run), "paged")
+    rest = crawl(seeds, edges, pages.select("url", "success"), max_pages, max_depth, initial=paged, run=run)
     return (
-        paged.select("seed", "url", "depth", F.lit("pagination").alias("stage"), F.col("pos").alias("position"))
-        .unionByName(rest.select("seed", "url", "depth", F.lit("crawl").alias("stage"), "position"))
+        paged.select(*keys, "url", "depth", F.lit("pagination").alias("stage"), F.col("pos").alias("position"))
+        .unionByName(rest.select(*keys, "url", "depth", F.lit("crawl").alias("stage"), "position"))
     )

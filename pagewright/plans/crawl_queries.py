@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright.functions import urls as U
+from pagewright.functions.detection import with_detection
 from pagewright.operators import crawl as C
 from pagewright.operators import links as L
 from pagewright.operators import pagination as G
 from pagewright.plans.registry import query
-from pagewright.plans.derived import marked_pages
-from pagewright.plans.detection_queries import _marked
 from pagewright.session import materialize
 
 # Link graph of all line items: a supplier's page lists its parts in part order, a part's page its
@@ -51,7 +51,7 @@ SELECT seed, depth, count(*) AS n FROM (SELECT seed, 0 AS depth FROM l0 UNION AL
   UNION ALL SELECT seed, 2 FROM l2 UNION ALL SELECT seed, 3 FROM l3) GROUP BY 1, 2""",
 )
 def bfs_depth_histogram(t):
-    return C.reach(_seeds(t), _graph(t)).groupBy("seed", "depth").agg(F.count("*").alias("n"))
+    return C.reach(_seeds(t), _graph(t), 3).groupBy("seed", "depth").agg(F.count("*").alias("n"))
 
 
 # All pages succeed here, so the budget admits the first 100 distinct URLs in queue order.
@@ -75,25 +75,96 @@ def bfs_crawl_order(t):
     return C.crawl(_seeds(t), graph, _all_pages(graph), max_pages=100, max_depth=3)
 
 
-@query("bfs_crawl_with_failures")
+def _walk_sql(ok: str) -> str:
+    """One page of every run a step, as the queue is worked off: `start(run, seed, q, d, seen, budget, deepest)`, `links(src, ls)`, and
+    `ok`, whether page `u` succeeds."""
+    fresh = """list_slice(list_filter(coalesce(l.ls, []), lambda x: NOT list_contains(w.q, x) AND NOT list_contains(w.seen, x)),
+      1, greatest(0, w.budget - w.results - 1 - (len(w.q) - w.i - 1)))"""
+    return f"""walk AS (SELECT run, seed, q, d, seen, budget, deepest, 0 AS i, 0 AS results, CAST(NULL AS VARCHAR) AS url, 0 AS depth, 0 AS position FROM start
+  UNION ALL SELECT run, seed, CASE WHEN good THEN q || fresh ELSE q END,
+    CASE WHEN good THEN d || list_transform(fresh, lambda x: d[i + 1] + 1) ELSE d END, seen, budget, deepest, i + 1,
+    results + good::INT, CASE WHEN good THEN u END, d[i + 1], results FROM (
+      SELECT w.*, w.q[w.i + 1] AS u, w.d[w.i + 1] <= w.deepest AND ({ok.format(u='w.q[w.i + 1]')}) AS good, {fresh} AS fresh
+      FROM walk w LEFT JOIN links l ON l.src = w.q[w.i + 1] WHERE w.i < len(w.q) AND w.results < w.budget))"""
+
+
+@query(
+    "bfs_crawl_with_failures",
+    f"""WITH RECURSIVE {_GRAPH_SQL}, links AS (SELECT src, list(dst ORDER BY pos) AS ls FROM edges GROUP BY src),
+start AS (SELECT seed AS run, seed, [seed] AS q, [0] AS d, CAST([] AS VARCHAR[]) AS seen, 100 AS budget, 3 AS deepest FROM seeds),
+{_walk_sql("NOT regexp_matches({u}, '/p/[0-9]*[369]$')")}
+SELECT seed, url, depth, position FROM walk WHERE url IS NOT NULL""",
+)
 def bfs_crawl_with_failures(t):
-    """As above, but every third part page fails and gives its place in the budget back."""
+    """As above, but three of ten part pages fail and give their place in the budget back."""
     graph = _graph(t)
     pages = _all_pages(graph).withColumn("success", ~F.col("url").rlike("/p/[0-9]*[369]$"))
     return C.crawl(_seeds(t), graph, pages, max_pages=100, max_depth=3)
 
 
-@query("crawl_with_pagination")
-def crawl_with_pagination(t):
-    """Every page is a seed; what it paginates to and links to is looked up in the same snapshot."""
-    marked = _marked(t)
-    pages = marked.select(
-        "url", "html", F.regexp_replace("html", "<[^>]+>", " ").alias("clean_text"), (~F.col("detection.is_blocked")).alias("success")
+# A shop: suppliers list their parts over numbered pages of twenty, a part's page names the first pages of its suppliers.
+PER_PAGE = 20
+SHOP_SQL = f"""p AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem),
+listed AS (SELECT s, p, row_number() OVER (PARTITION BY s ORDER BY p) - 1 AS k FROM p),
+edges AS (SELECT '{_HOST}/s/' || s || '?page=' || (k // {PER_PAGE} + 1) AS src, '{_HOST}/p/' || p AS dst, k AS pos FROM listed
+  UNION ALL SELECT '{_HOST}/p/' || p, '{_HOST}/s/' || s || '?page=1', row_number() OVER (PARTITION BY p ORDER BY s) - 1 FROM p),
+links AS (SELECT src, list(dst ORDER BY pos) AS ls FROM edges GROUP BY src),
+firsts AS (SELECT s_nationkey AS nation, min(s_suppkey) AS s FROM supplier GROUP BY s_nationkey),
+sizes AS (SELECT s, count(*) AS n FROM p GROUP BY s)"""
+
+
+def shop(t):
+    """Snapshot of the shop: url, html, clean_text, success, detection, links."""
+    pairs = t.lineitem.select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    listed = pairs.withColumn("k", F.row_number().over(W.partitionBy("s").orderBy("p")) - 1)
+    part = F.concat(F.lit('<li><a href="/p/'), "p", F.lit('">part number '), "p", F.lit(" of this supplier</a></li>"))
+    own = F.concat(F.lit(f"{_HOST}/s/"), "s", F.lit("?page="), F.floor(F.col("k") / PER_PAGE) + 1)
+    back = F.concat(F.lit('<li><a href="/s/'), "s", F.lit('?page=1">supplier number '), "s", F.lit(" has this part in stock</a></li>"))
+    rows = listed.select(own.alias("url"), F.col("p").alias("place"), part.alias("item")).unionByName(
+        pairs.select(F.concat(F.lit(f"{_HOST}/p/"), "p").alias("url"), F.col("s").alias("place"), back.alias("item"))
     )
-    pages = materialize(pages, "pages")
-    edges = materialize(L.link_edges(L.extract_links(marked_pages(t.pages))), "edges")
-    return G.crawl_with_pagination(pages.select(F.col("url").alias("seed")), pages, edges)
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x["item"]), "")
+    html = F.concat(F.lit("<h1>A page of the shop with a list of everything there is</h1><ul>"), items, F.lit("</ul>"))
+    pages = rows.groupBy("url").agg(html.alias("html"))
+    pages = with_detection(pages.withColumn("success", F.lit(True)).withColumn("clean_text", F.regexp_replace("html", "<[^>]+>", " ")))
+    return materialize(L.extract_links(pages), "shop")
+
+
+def shop_seeds(t):
+    """The first supplier of every nation: nation, seed."""
+    firsts = t.supplier.groupBy(F.col("s_nationkey").alias("nation")).agg(F.min("s_suppkey").alias("s"))
+    return firsts.select("nation", F.concat(F.lit(f"{_HOST}/s/"), "s", F.lit("?page=1")).alias("seed"))
+
 
+def paged_then_crawled_sql(runs: str, listing: int, budget: int, deepest: int) -> str:
+    """Rows `paged(run, seed, url, pos)` of the first pages of a listing, and `start` and `walk` of the crawl from their links."""
+    return f"""runs AS ({runs}),
+paged AS (SELECT run, seed, '{_HOST}/s/' || s || '?page=' || (k + 1) AS url, k AS pos FROM (
+  SELECT run, seed, runs.s, unnest(range(least({listing}, (n + {PER_PAGE - 1}) // {PER_PAGE}))) AS k FROM runs JOIN sizes ON runs.s = sizes.s)),
+seen AS (SELECT run, list(url) AS seen, {budget} - count(*) AS budget FROM paged GROUP BY run),
+offered AS (SELECT run, dst, min((paged.pos, edges.pos)) AS k, arg_min(paged.pos, (paged.pos, edges.pos)) + 1 AS depth
+  FROM paged JOIN edges ON url = src WHERE NOT EXISTS (SELECT 1 FROM paged o WHERE o.run = paged.run AND o.url = dst) GROUP BY run, dst),
+queued AS (SELECT o.run, dst, depth, row_number() OVER (PARTITION BY o.run ORDER BY k) AS place, budget FROM offered o JOIN seen ON o.run = seen.run QUALIFY place <= budget),
+start AS (SELECT runs.run, seed, list(dst ORDER BY place) AS q, list(depth ORDER BY place) AS d, any_value(seen) AS seen, any_value(seen.budget) AS budget, {deepest} AS deepest
+  FROM runs JOIN seen ON runs.run = seen.run JOIN queued ON queued.run = runs.run WHERE seen.budget > 0 GROUP BY runs.run, seed),
+{_walk_sql("true")}"""
+
+
+_BOTH_SQL = paged_then_crawled_sql(f"SELECT nation AS run, s, '{_HOST}/s/' || s || '?page=1' AS seed FROM firsts", 3, 40, 3)
+
+
+@query(
+    "crawl_with_pagination",
+    f"""WITH RECURSIVE {SHOP_SQL}, {_BOTH_SQL}
+SELECT seed, url, pos AS depth, 'pagination' AS stage, pos AS position FROM paged
+UNION ALL SELECT seed, url, depth, 'crawl', position FROM walk WHERE url IS NOT NULL""",
+)
+def crawl_with_pagination(t):
+    """Three pages of every seed's listing, then a crawl from their links: 40 pages in all, at most three links away."""
+    pages = shop(t)
+    return G.crawl_with_pagination(
+        shop_seeds(t).select("seed"), pages, materialize(L.link_edges(pages), "edges"), max_pages=40, max_depth=3, pagination_pages=3
+    )
 
 
 @query(

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.operators import search as R
+from pagewright.plans import crawl_queries as K
 from pagewright.plans import sql_parts as Q
 from pagewright.plans.detection_queries import _MARKED_PROTECTED, _marked
 from pagewright.plans.registry import query
@@ -12,6 +16,8 @@ from pagewright.functions.policy import with_protection
 from pagewright.sources import jobs as J
 from pagewright.sources import requests as P
 from pagewright.sources import sinks
+from pagewright.session import checkpoint_root, materialize
+from pagewright.streaming import jobs as S
 
 _LOG_SQL = """SELECT user_id AS id, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'processing' WHEN 'error' THEN 'failed' ELSE 'done' END AS status,
   CASE WHEN event_type = 'error' THEN 'e' || event_id END AS error, ts FROM events"""
@@ -153,3 +159,62 @@ def regression_report(t):
         F.col("session_key").cast("bigint").alias("page_id"), "expected_unlock", "html_size_bytes", "detection_type",
         "detection_score", "success", "protection_type",
     )
+
+
+# One job for every nation; what it asks for follows from the nation's number. Nation 24 sends no URL.
+_JOBS_SQL = f"""{K.SHOP_SQL}, jobs AS (SELECT nation, nation % 4 AS kind, s, '{K._HOST}/s/' || s || '?page=1' AS seed FROM firsts),
+{K.paged_then_crawled_sql("SELECT nation AS run, s, seed FROM jobs WHERE kind = 3", 2, 12, 2)},
+alone AS (SELECT nation AS run, s, seed FROM jobs WHERE kind = 2),
+start2 AS (SELECT run, seed, [seed] AS q, [0] AS d, CAST([] AS VARCHAR[]) AS seen, 15 AS budget, 2 AS deepest FROM alone),
+{K._walk_sql("true").replace("walk", "walk2").replace("FROM start", "FROM start2")},
+pages AS (
+  SELECT nation AS id, seed, seed AS url, 0 AS depth, 0 AS position FROM jobs WHERE kind = 0 AND nation <> 24
+  UNION ALL SELECT nation, seed, '{K._HOST}/s/' || s || '?page=' || (k + 1), k, k FROM (
+    SELECT jobs.*, unnest(range(least(4, (n + {K.PER_PAGE - 1}) // {K.PER_PAGE}))) AS k FROM jobs JOIN sizes ON jobs.s = sizes.s WHERE kind = 1)
+  UNION ALL SELECT run, seed, url, depth, position FROM walk2 WHERE url IS NOT NULL
+  UNION ALL SELECT run, seed, url, pos, pos FROM paged
+  UNION ALL SELECT walk.run, seed, url, depth, position + n FROM walk JOIN (SELECT run, count(*) AS n FROM paged GROUP BY run) c ON walk.run = c.run WHERE url IS NOT NULL
+  UNION ALL SELECT 24, NULL, NULL, 0, 0 FROM jobs WHERE nation = 24)"""
+
+
+def _payloads(t):
+    limits = {
+        0: "", 1: ', "pagination_mode": true, "pagination": {"type": "url_param", "max_pages": 4}', 2: ', "crawl": true, "max_pages": 15, "max_depth": 2',
+        3: ', "crawl": true, "pagination_mode": true, "max_pages": 12, "max_depth": 2, "pagination": {"type": "url_param", "max_pages": 2}',
+    }
+    asked = F.element_at(F.array(*[F.lit(x) for x in limits.values()]), (F.col("nation") % 4 + 1).cast("int"))
+    body = F.concat(F.lit('{"url": "'), "seed", F.lit('"'), asked, F.lit("}"))
+    sent = F.when(F.col("nation") == 24, F.lit("no request")).otherwise(body)
+    return K.shop_seeds(t).select(F.col("nation").cast("long").alias("id"), sent.alias("payload"))
+
+
+def _worked(t, batches, again: DataFrame | None = None):
+    """Runs the worker over batches of jobs, and `again` once more as the last one; the folders of its log and its results."""
+    folder = f"{checkpoint_root(t.spark)}/jobs/{uuid.uuid4().hex}"
+    snapshot = K.shop(t)
+    places = [f"{folder}/{name}" for name in ("log", "results")]
+    for part in batches:
+        J.enqueue(part, f"{folder}/inbox")
+        S.start_worker(t.spark, f"{folder}/inbox", snapshot, *places, f"{folder}/checkpoint").awaitTermination()
+    if again is not None:
+        S.run_batch(again, snapshot, *places, len(batches) - 1)
+    return places
+
+
+@query("job_results", f"WITH RECURSIVE {_JOBS_SQL} SELECT id, seed, url, depth, position FROM pages")
+def job_results(t):
+    """All four kinds of requests through the job worker."""
+    return S.job_results(t.spark, _worked(t, [_payloads(t)])[1]).select("id", "seed", "url", "depth", "position")
+
+
+@query(
+    "job_outcomes",
+    "SELECT s_nationkey AS id, CASE WHEN s_nationkey = 24 THEN 'failed' ELSE 'done' END AS status, "
+    "CASE WHEN s_nationkey = 24 THEN 'malformed request' END AS error FROM supplier WHERE s_nationkey % 4 = 0 GROUP BY 1",
+)
+def job_outcomes(t):
+    """How the jobs for single pages ended, folded from the log of a worker that did its last batch twice."""
+    jobs = materialize(_payloads(t).filter("id % 4 = 0"), "jobs")
+    late = jobs.filter("id >= 10")
+    log = _worked(t, [jobs.filter("id < 10"), late], late)[0]
+    return J.latest_status(J.read_log(t.spark, log)).select("id", "status", "error")

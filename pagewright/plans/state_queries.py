@@ -12,7 +12,7 @@ from pagewright.operators import folds as D
 from pagewright.plans.derived import ATTEMPTS_SQL, attempts
 from pagewright.plans.registry import query
 from pagewright.session import checkpoint_root
-from pagewright.streaming.folds import first_visits, fold_stream, latest_state
+from pagewright.streaming.folds import first_visits, folded, start_fold, stored_state
 
 _ORDER = ["ts", "attempt_id"]
 _BY_USER = "PARTITION BY user_id ORDER BY ts, attempt_id"
@@ -223,11 +223,17 @@ SELECT user_id, arg_max(v, rn) AS trust FROM r GROUP BY 1"""
 
 @query("stream_trust_fold", _TRUST_SQL)
 def stream_trust_fold(t):
+    """The earlier half of the events in several files, then, after a restart, the later half, then a restart without new rows."""
     folder = f"{checkpoint_root(t.spark)}/streams/{uuid.uuid4().hex}"
-    walks = lambda batch: {"trust": D.trust_walk(F.col("blocked"))}
-    running = fold_stream(attempts(_stream(t, "events")), "user_id", _ORDER, walks, f"{folder}/state", f"{folder}/checkpoint")
-    running.awaitTermination()
-    return latest_state(running, f"{folder}/state", t.spark)
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    middle = t.events.agg(F.avg(second)).first()[0]
+    for rows in (t.events.filter(second <= middle), t.events.filter(second > middle), None):
+        if rows is not None:
+            rows.repartition(4, "user_id").write.mode("append").parquet(f"{folder}/inbox")
+        stream = t.spark.readStream.schema(t.events.schema).parquet(f"{folder}/inbox")
+        states = folded(attempts(stream), "user_id", _ORDER, {"trust": D.trust_walk(F.col("blocked"))})
+        start_fold(states, f"{folder}/checkpoint").awaitTermination()
+    return stored_state(t.spark, f"{folder}/checkpoint")
 
 
 @query("stream_dedup_urls", "SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url FROM pages")

@@ -27,8 +27,14 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def write_batch(rows: DataFrame, path: str, batch: int, step: str) -> None:
+    """Log rows of one step of a batch, in a folder of their own that a repeated batch writes over."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch-{batch}-{step}")
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).parquet(path)
+    """All log rows below a folder, whether appended or written by batch."""
+    return spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 
 
 def enqueue(payloads: DataFrame, path: str) -> None:

@@ -82,7 +82,7 @@ def test_own_limits(spark):
     links = {f"{HOST}/{i}": [f"{HOST}/{i + 1}"] for i in range(9)}
     edges, pages = tables(spark, links, {u: True for u in links})
     seeds = spark.createDataFrame([(f"{HOST}/0", 2, 9), (f"{HOST}/1", 9, 1)], "seed string, max_pages int, max_depth int")
-    rows = crawl(seeds, edges, pages).collect()
+    rows = crawl(seeds, edges, pages, None, None).collect()
     assert sorted((r.seed[-1], r.url[-1]) for r in rows) == [("0", "0"), ("0", "1"), ("1", "1"), ("1", "2")]
 
 
@@ -91,3 +91,57 @@ def test_reach(spark):
     edges, _ = tables(spark, links, {})
     rows = reach(spark.createDataFrame([(f"{HOST}/0",)], "seed string"), edges, 3).collect()
     assert sorted((r.url[-1], r.depth) for r in rows) == [("0", 0), ("1", 1), ("2", 2), ("3", 3)]
+
+
+def test_runs_of_one_seed(spark):
+    links = {f"{HOST}/{i}": [f"{HOST}/{i + 1}", f"{HOST}/{i + 2}"] for i in range(20)}
+    edges, pages = tables(spark, links, {u: True for u in links})
+    seeds = spark.createDataFrame([(1, f"{HOST}/0", 4), (2, f"{HOST}/0", None), (2, f"{HOST}/0", None)], "id int, seed string, max_pages int")
+    rows = crawl(seeds, edges, pages, None, 2, run="id").collect()
+    for key, budget in ((1, 4), (2, 10**6)):
+        got = [(r.url, r.depth) for r in sorted((r for r in rows if r.id == key), key=lambda r: r.position)]
+        assert got == queue_crawl(f"{HOST}/0", links, {u: True for u in links}, budget, 2)
+
+
+def test_links_that_come_again_when_failures_give_places_back(spark):
+    page = lambda name: f"{HOST}/{name}"
+    # The queue of the second generation is full after the first page; the pages that fail make room for what later pages name again.
+    links = {
+        page("s"): [page(x) for x in ("a", "f1", "b", "f2", "c")],
+        page("a"): [page(x) for x in ("x1", "x2", "x3", "x4")], page("b"): [page(x) for x in ("x2", "x4", "y1", "x3")],
+        page("c"): [page(x) for x in ("x4", "y1", "x3", "z1", "x2")],
+    }
+    urls = [page(x) for x in ("s", "a", "b", "c", "x1", "x2", "x3", "x4", "y1", "z1")]
+    ok = {u: True for u in urls}
+    edges, pages = tables(spark, links, ok)
+    for budget in (1, 2, 4, 5, 6, 7, 8, 10):
+        rows = crawl(spark.createDataFrame([(page("s"),)], "seed string"), edges, pages, budget, 4).collect()
+        assert [(r.url, r.depth) for r in sorted(rows, key=lambda r: r.position)] == queue_crawl(page("s"), links, ok, budget, 4), budget
+
+
+def test_buckets_and_laid_out_edges(spark, monkeypatch):
+    from pagewright.operators import crawl as C
+
+    rng = random.Random(8)
+    urls, links, ok = graph(rng, 50)
+    links[urls[0]] = rng.sample(urls, 40)
+    edges, pages = tables(spark, links, ok)
+    stored = C.stored_edges(edges, 4)
+    monkeypatch.setattr(C, "_BUCKET", 4)
+    for budget in (9, 25, None):
+        rows = crawl(spark.createDataFrame([(s,) for s in urls[:3]], "seed string"), stored, pages, budget, 3).collect()
+        for seed in urls[:3]:
+            got = [(r.url, r.depth) for r in sorted((r for r in rows if r.seed == seed), key=lambda r: r.position)]
+            assert got == queue_crawl(seed, links, ok, budget or 10**6, 3), (seed, budget)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frontier = spark.createDataFrame([("r", urls[0], urls[0], 0, 0, 9)], "run string, seed string, url string, depth long, ord long, allowance long")
+        visited = frontier.select("run", "url")
+        plan = C._candidates(frontier, stored, visited, 9)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    scan = next(i for i, line in enumerate(plan) if "FileScan" in line)
+    join = max(i for i, line in enumerate(plan[:scan]) if "SortMergeJoin" in line)
+    edge_side = [line for line in plan[join + 1 : scan] if line.find("+- ") >= plan[scan].find("+- ") - 9]
+    assert "Bucketed: true" in plan[scan] and sum("Exchange" in line for line in plan[join:scan]) == 1 and not any("Exchange" in x for x in edge_side[-3:])

@@ -9,7 +9,8 @@ from pagewright.operators.search import run_search
 from pagewright.sources import jobs as J
 from pagewright.sources import sinks, stores, training
 from pagewright.sources.requests import scrape_request
-from pagewright.streaming.jobs import start_worker
+from pagewright.session import materialize
+from pagewright.streaming import jobs as S
 
 LONG = "<p>" + "lorem ipsum dolor " * 20 + "</p>"
 BODY = "".join(LONG.replace("lorem", f"lorem{i}") for i in range(30))
@@ -106,18 +107,33 @@ def test_request_defaults(spark):
 
 
 def test_job_flow(spark, tmp_path):
-    inbox, log = str(tmp_path / "inbox"), str(tmp_path / "log")
-    jobs = [(1, '{"url": "https://e.com/"}'), (2, '{"url": "https://e.com/b"}'), (3, '{"url": "https://gone/"}')]
-    J.enqueue(spark.createDataFrame(jobs, "id bigint, payload string"), inbox)
-    query = start_worker(spark, inbox, snapshot(spark).select("url", "html", "detection", "markdown"), log, str(tmp_path / "cp"))
-    assert query.awaitTermination(120)
+    inbox, log, results = (str(tmp_path / name) for name in ("inbox", "log", "results"))
+    jobs = [
+        (1, '{"url": "https://e.com/"}'), (2, '{"url": "https://e.com/b"}'), (3, '{"url": "https://gone/"}'), (4, "no json"),
+        (5, '{"url": "https://e.com/", "crawl": true, "max_pages": 2}'), (6, '{"url": "https://e.com/", "crawl": true, "max_depth": 2}'),
+    ]
+    jobs = spark.createDataFrame(jobs, "id bigint, payload string")
+    pages = materialize(snapshot(spark), "pages")
+    J.enqueue(jobs, inbox)
+    assert S.start_worker(spark, inbox, pages, log, results, str(tmp_path / "cp")).awaitTermination(300)
+
+    def outcome():
+        rows = S.job_results(spark, results).collect()
+        return {r.id: (r.status, r.error) for r in J.latest_status(J.read_log(spark, log)).collect()}, sorted((r.id, r.position, r.url or "", r.error or "") for r in rows)
+
+    first = outcome()
+    assert first[0] == {i: ("done", None) if i != 4 else ("failed", "malformed request") for i in range(1, 7)}
+    assert first[1] == [
+        (1, 0, "https://e.com/", ""), (2, 0, "https://e.com/b", ""), (3, 0, "https://gone/", "page not in the snapshot"), (4, 0, "", "malformed request"),
+        (5, 0, "https://e.com/", ""), (5, 1, "https://e.com/a", ""), (6, 0, "https://e.com/", ""), (6, 1, "https://e.com/a", ""), (6, 2, "https://e.com/c", ""),
+    ]
+    S.run_batch(jobs, pages, log, results, 0)  # the batch once more
+    assert outcome() == first
     everything = J.read_log(spark, log).unionByName(J.read_log(spark, inbox))
-    got = {r.id: (r.status, r.error) for r in J.latest_status(everything).collect()}
-    assert got == {1: ("done", None), 2: ("failed", "page is blocked"), 3: ("failed", "page not in snapshot")}
-    one = J.job_status(everything, 1).first()
-    assert json.loads(one.results)[0]["url"] == "https://e.com/"
-    assert J.job_status(everything, 99).count() == 0
-    assert [r.id for r in J.unfinished(J.read_log(spark, inbox)).collect()] == [1, 2, 3]
+    assert J.job_status(everything, 4).first().error == "malformed request" and J.job_status(everything, 99).count() == 0
+    assert [r.id for r in J.unfinished(J.read_log(spark, inbox)).collect()] == [1, 2, 3, 4, 5, 6]
+    assert {r.id for r in S.wait_for_jobs(spark, log, [1, 4], 60).collect()} == {1, 4}
+    assert [r.status for r in S.wait_for_jobs(spark, inbox, [1, 99], 0.1).collect()] == ["pending"]
 
 
 def test_search(spark):

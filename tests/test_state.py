@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pagewright.operators import folds as D
-from pagewright.streaming.folds import fold_stream, latest_state
+from pagewright.streaming.folds import folded, start_fold, stored_state
 
 SCHEMA = "session_key string, ts timestamp, attempt_id bigint, blocked boolean, driver string"
 
@@ -95,17 +95,39 @@ def test_burned_session_starts_anew(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     rows = sorted(history(random.Random(4), 900), key=lambda r: (r[1], r[2]))
-    inbox = str(tmp_path / "in")
-    for i in range(3):
-        spark.createDataFrame(rows[i * 300 : (i + 1) * 300], SCHEMA).coalesce(1).write.mode("append").parquet(inbox)
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(inbox)
-    query = fold_stream(
-        stream, "session_key", ["ts", "attempt_id"], lambda b: {"trust": D.trust_walk(F.col("blocked"))},
-        str(tmp_path / "state"), str(tmp_path / "checkpoint"),
-    )
-    query.awaitTermination()
-    got = {r.session_key: r.trust / 1000 for r in latest_state(query, str(tmp_path / "state"), spark).collect()}
-    assert got == {k: s["trust"] for k, s in by_hand(rows).items()}
+    inbox, checkpoint = str(tmp_path / "in"), str(tmp_path / "checkpoint")
+    walks = {"trust": D.trust_walk(F.col("blocked")), "open": D.failure_walk(F.col("blocked"))}
+
+    def run():
+        stream = spark.readStream.schema(SCHEMA).parquet(inbox)
+        query = start_fold(folded(stream, "session_key", ["ts", "attempt_id"], walks), checkpoint)
+        query.awaitTermination()
+        return {r.session_key: r.trust / 1000 for r in stored_state(spark, checkpoint).collect()}
+
+    spark.createDataFrame(rows[:500], SCHEMA).repartition(3).write.mode("append").parquet(inbox)
+    assert run() == {k: s["trust"] for k, s in by_hand(rows[:500]).items()}
+    assert run() == {k: s["trust"] for k, s in by_hand(rows[:500]).items()}  # a restart without new rows
+    spark.createDataFrame(rows[500:], SCHEMA).repartition(2).write.mode("append").parquet(inbox)
+    assert run() == {k: s["trust"] for k, s in by_hand(rows).items()}
+
+
+def test_idle_keys_leave_the_state(spark, tmp_path):
+    import datetime
+
+    at = lambda i: datetime.datetime(2024, 1, 1, i)
+    inbox, checkpoint = str(tmp_path / "in"), str(tmp_path / "checkpoint")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    seen = []
+    for rows in ([("a", at(0), 0, False, "d")], [("b", at(9), 1, True, "d")], [("b", at(10), 2, True, "d"), ("a", at(10), 3, True, "d")]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(SCHEMA).parquet(inbox)
+        states = folded(stream, "session_key", ["ts", "attempt_id"], {"trust": D.trust_walk(F.col("blocked"))}, idle=3600)
+        start_fold(states, checkpoint).awaitTermination()
+        seen.append({r.session_key: r.trust for r in stored_state(spark, checkpoint).collect()})
+    assert spark.conf.get(provider) == before
+    # "a" was removed while it was idle, and started anew; "b" was seen again within the hour.
+    assert seen[0] == {"a": 600} and seen[1] == {"b": 350} and seen[2] == {"b": 200, "a": 350}, seen
 
 
 def test_profile_and_session_lookup(spark):
