@@ -13,6 +13,22 @@ from pagewright.operators import nodes as N
 HREF_PATTERN = r"""(?i)href=["']([^"'#\s][^"']*)["']"""
 
 
+@F.udtf(returnType="pos int, href string")
+class PageHrefs:
+    """Table function for lateral joins: the non-empty href values of a page's anchors with their places, in document order.
+
+    A null or empty page has no rows. Registered under a name, it serves SQL: `FROM pages, LATERAL page_hrefs(html)`.
+    """
+
+    def eval(self, html: str):
+        place = 0
+        for _, _, kind, tag, attrs, _ in N.read_nodes(html or ""):
+            href = dict(attrs).get("href") if kind == N.ELEMENT and tag == "a" else None
+            if href:
+                yield place, href
+                place += 1
+
+
 def hrefs_by_pattern(html: Column) -> Column:
     """href values of any tag, in document order, found without parsing."""
     return F.regexp_extract_all(nvl(html), F.lit(HREF_PATTERN), F.lit(1))

@@ -120,11 +120,16 @@ class _NodeReader(HTMLParser):
         return self.nodes
 
 
+def read_nodes(html: str) -> list[list]:
+    """Nodes of one page: parent, last, kind, tag, attribute pairs, text; the id is the place in the list."""
+    return _NodeReader().read(html)
+
+
 def _parse(html: pa.Array) -> pa.Array:
     offsets, attr_offsets = [0], [0]
     ids, parents, lasts, kinds, tags, texts, names, values = ([] for _ in range(8))
     for page in html.to_pylist():
-        for number, (parent, last, kind, tag, attrs, text) in enumerate(_NodeReader().read(page or "")):
+        for number, (parent, last, kind, tag, attrs, text) in enumerate(read_nodes(page or "")):
             ids.append(number)
             parents.append(parent)
             lasts.append(last)

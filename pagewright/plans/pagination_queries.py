@@ -79,9 +79,9 @@ def set_limit_param(t):
 # Paging controls in every form the detector knows, one per page by page id. `{n}` is the page id.
 _CONTROLS = [
     "",
-    '<ol class="pagination"><li><a href="?from=48&amp;k=z">3</a></li><li><a href="?from=24&amp;k=z">2</a></li></ol>',
-    '<link rel="next" href="/list?from=24&amp;k=z">',
-    '<mat-paginator class="mat-paginator"></mat-paginator><span>1 - 24 of 96</span>',
+    '<div class="pagination"><a href="?start=300">third</a><a href="?start=20">first</a><a href="?start=1000">last</a></div>',
+    '<p>shelf eight</p><a rel="next" href="/shelves/nine">on</a>',
+    '<section class="mat-paginator">1 until 30 of 77</section>',
     '<a class="next" href="/n">more</a>',
     '<button class="x disabled" aria-label="Next"></button><li class="next"><a href="/2">go</a></li>',
     '<button aria-label="Go to next results page"></button>',
@@ -135,8 +135,8 @@ def page_pagination_struct(t):
 
 @query(
     "page_pagination_urls",
-    f"""SELECT page_id, CASE page_id % 13 WHEN 1 THEN b || '?from=24&k=z ' || b || '?from=48&k=z' WHEN 2 THEN o || '/list?from=24&k=z' END AS urls,
-  CASE page_id % 13 WHEN 7 THEN o || '/l/2 ' || o || '/l/3' WHEN 1 THEN b || '?from=48&k=z ' || b || '?from=24&k=z' ELSE '' END AS numbered
+    f"""SELECT page_id, CASE page_id % 13 WHEN 1 THEN b || '?start=20 ' || b || '?start=300 ' || b || '?start=1000' WHEN 2 THEN o || '/shelves/nine' END AS urls,
+  CASE page_id % 13 WHEN 7 THEN o || '/l/2 ' || o || '/l/3' ELSE '' END AS numbered
 FROM (SELECT page_id, {Q.origin('url')} AS o, regexp_replace(url, '[?#].*$', '') AS b FROM pages)""",
 )
 def page_pagination_urls(t):

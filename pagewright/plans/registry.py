@@ -19,6 +19,8 @@ MODULES = [
     "crawl_queries",
     "learning_queries",
     "job_queries",
+    "event_queries",
+    "attempt_queries",
 ]
 
 

@@ -5,65 +5,95 @@ from pagewright.operators import pagination as G
 JOBS = "https://shop.example/offers"
 
 
-def config(spark, html, url, text="All offers of this week", max_pages=10):
-    df = spark.createDataFrame([(url, html)], "url string, html string")
+def configs(spark, cases, max_pages=10):
+    """Configuration and findings of each (html, url, text)."""
+    df = spark.createDataFrame([(i, *case) for i, case in enumerate(cases)], "i int, html string, url string, text string")
     found = G.with_page_pagination(df)
-    row = found.select(
-        "paging", "numbered_links", G.config_from_page(F.col("paging"), F.col("numbered_links"), F.lit(text), max_pages).alias("c")
-    ).first()
-    return row.c, row
+    rows = found.select(
+        "i", "paging", "numbered_links", G.config_from_page(F.col("paging"), F.col("numbered_links"), F.col("text"), max_pages).alias("c")
+    ).collect()
+    return [(r.c, r) for r in sorted(rows, key=lambda r: r.i)]
 
 
-def test_numbered_links(spark):
-    links = "".join(f'<a href="/offers?page={i}">{i}</a>' for i in (4, 5, 7))
-    c, row = config(spark, f'<nav aria-label="pagination">{links}</nav>', JOBS + "?page=3")
-    assert c.type == "numbered_links" and c.max_pages == 10
-    assert row.numbered_links == [f"{JOBS}?page={i}" for i in (4, 5, 7)]
-    assert row.paging.confidence == 9
+# A control for each selector of the "next" table that no earlier selector finds.
+CONTROLS = {
+    "[aria-label='Next']": '<i aria-label="Next"></i>',
+    "[aria-label='Next page']": '<i aria-label="Next page"></i>',
+    "button[aria-label*='Next']": '<button aria-label="To the Next shelf"></button>',
+    "a[aria-label*='Next']": '<a aria-label="Next shelf" href="/shelf"></a>',
+    ".mat-paginator-navigation-next": '<i class="big mat-paginator-navigation-next"></i>',
+    "[class*='pagination'][class*='next']": '<b class="shelf-pagination go-next-one"></b>',
+    "[class*='pager'][class*='next']": '<b class="pager nextish"></b>',
+    "[data-testid*='next']": '<b data-testid="the-next-one"></b>',
+    "[data-cy*='next']": '<b data-cy="nextish"></b>',
+    ".next-page": '<b class="next-page"></b>',
+    "a.next": '<a class="next">&gt;</a>',
+    "li.next > a": '<li class="x next"><a>&gt;</a></li>',
+    ".paginate_button.next": '<b class="next paginate_button"></b>',
+}
 
 
-def test_load_more(spark):
-    c, row = config(spark, '<p>24 of 96</p><button data-testid="load-more" type="button">Load More</button>', JOBS)
-    assert c.type == "click_append" and row.paging.next_selector == "button:contains('Load More')"
+TEXT = "All offers of this week"
 
 
-def test_rel_next(spark):
-    html = '<link rel="next" href="/list/all?from=25&amp;v=grid"><p>Twenty-five of many</p>'
-    c, _ = config(spark, html, "https://wares.example.org/list/all")
-    assert (c.type, c.param, c.step) == ("url_param", "from", 10)  # the step of a rel-next list is fixed
-    assert c.next_url == "https://wares.example.org/list/all?from=25&v=grid"
+def test_next_selectors_in_their_order(spark):
+    order = [s for s in G.NEXT_SELECTORS if s in CONTROLS]
+    assert order == list(CONTROLS)
+    both = [CONTROLS[second] + CONTROLS[first] for first, second in zip(order, order[1:])]
+    found = configs(spark, [(html, JOBS, TEXT) for html in [*CONTROLS.values(), *both]])
+    assert [(r.paging.mode, r.paging.next_selector) for _, r in found] == [("next_button", s) for s in [*order, *order[:-1]]]
 
 
-def test_material_paginator_without_range_is_a_next_button(spark):
-    # Known deviation: a published expectation says url_param, the rules find the button first.
-    html = '<mat-paginator class="mat-paginator"><i>page</i><button aria-label="Next offers"></button></mat-paginator>'
-    c, row = config(spark, html, JOBS)
-    assert c.type == "click_next" and row.paging.next_selector == "button[aria-label*='Next']"
+def test_words_of_load_more_buttons(spark):
+    pages = [f"<div><button><i></i> {word.upper()} </button></div>" for word in G.LOAD_MORE_WORDS]
+    *found, (_, plain) = configs(spark, [(html, JOBS, TEXT) for html in [*pages, "<p>load more</p>"]])
+    assert [(c.type, r.paging.mode, r.paging.confidence) for c, r in found] == [("click_append", "load_more", 8)] * len(pages)
+    assert plain.paging.mode == "none"  # only controls count
 
 
-def test_offset_list(spark):
-    # Known deviation: page 1 carries no offset parameter, so two of three URLs qualify.
-    offsets = {"last": "from=60&amp;", "middle": "from=30&amp;", "first": ""}
-    links = "".join(f'<li><a href="{JOBS}?{q}k=z">{name}</a></li>' for name, q in offsets.items())
-    c, _ = config(spark, f'<ol class="pagination">{links}</ol>', JOBS)
-    assert c.type == "url_list" and c.page_urls == [JOBS + "?from=30&k=z", JOBS + "?from=60&k=z"]
+def test_named_next_page(spark):
+    (far, row), (near, _) = configs(spark, [
+        ('<p>shelf eight</p><a rel="next" href="nine">on</a>', "https://library.example/shelves/eight", TEXT),
+        ('<link rel="next" href="?p=5">', "https://library.example/shelves?p=4", TEXT),
+    ])
+    assert far.next_url == "https://library.example/shelves/nine" and (row.paging.mode, row.paging.confidence) == ("url_param", 10)
+    assert (near.type, near.param, near.next_url) == ("url_param", "p", "https://library.example/shelves?p=5")
+
+
+def test_lists_are_in_the_order_of_their_parameter(spark):
+    def page(param, numbers):
+        return '<div class="pagination">' + "".join(f'<a href="{JOBS}?{param}={n}">{n}</a>' for n in numbers) + "</div>"
+
+    # A single link is no list.
+    cases = [(page(param, (300, 20, 1000)), JOBS, TEXT) for param in G.ORDER_PARAMS] + [(page("start", (20,)), JOBS, TEXT)]
+    *found, (_, single) = configs(spark, cases)
+    for param, (c, row) in zip(G.ORDER_PARAMS, found):
+        assert (c.type, row.paging.confidence, c.page_urls) == ("url_list", 10, [f"{JOBS}?{param}={n}" for n in (20, 300, 1000)])
+    assert single.paging.mode != "url_list"
+
+
+def test_material_range(spark):
+    # A range in words makes the page number a parameter; without one the element alone says nothing of the kind.
+    shown = '<section class="mat-paginator">1 until 30 of 77</section>'
+    (c, row), (_, other) = configs(spark, [(shown, JOBS, TEXT), (shown.replace("1 until 30 of 77", "all"), JOBS, TEXT)])
+    assert (c.type, c.param, c.step, row.paging.confidence) == ("url_param", "page", 1, 9) and other.paging.mode != "url_param"
 
 
 def test_child_selector_and_disabled(spark):
-    html = '<button aria-label="Next" disabled></button><ul><li class="next"><a href="/2">x</a></li></ul>'
-    _, row = config(spark, html, JOBS)
-    assert row.paging.next_selector == "li.next > a"
-    _, row = config(spark, '<li class="next"><b><a href="/2">x</a></b></li>', JOBS)
-    assert row.paging.mode == "none"
+    (_, child), (_, deeper) = configs(spark, [
+        ('<button aria-label="Next" disabled></button><ul><li class="next"><a href="/2">x</a></li></ul>', JOBS, TEXT),
+        ('<li class="next"><b><a href="/2">x</a></b></li>', JOBS, TEXT),
+    ])
+    assert child.paging.next_selector == "li.next > a" and deeper.paging.mode == "none"
 
 
 def test_scroll_and_nothing(spark):
-    assert config(spark, "<p>x</p>", JOBS, "word " * 151)[0].type == "scroll"
-    assert config(spark, "<p>x</p>", JOBS, "word " * 150)[0] is None
+    (long, _), (short, _) = configs(spark, [("<p>x</p>", JOBS, "word " * 151), ("<p>x</p>", JOBS, "word " * 150)])
+    assert long.type == "scroll" and short is None
 
 
 def test_action_for_click(spark):
-    c, _ = config(spark, '<a class="next" href="/n">more</a>', JOBS)
+    ((c, _),) = configs(spark, [('<a class="next" href="/n">more</a>', JOBS, TEXT)])
     df = spark.createDataFrame([(1,)], "i int").select(
         G.actions_for(F.lit(None), F.struct(F.lit(c.type).alias("type"), F.lit(c.selector).alias("selector"), F.lit(7).alias("max_pages"))).alias("a")
     )
