@@ -12,7 +12,7 @@ from pagewright.llm import decontamination, language
 from pagewright.llm.queries import LLM_ORACLE_SQL, LLM_QUERIES
 from tests import oracle
 from tests.llm.test_decontamination import brute as brute_hits
-from tests.llm.test_simhash import brute_fingerprint
+from tests.llm.test_near_copies import brute_kept
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in LLM_QUERIES) == list(range(1, 14))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
@@ -39,16 +39,7 @@ def test_pipeline_equals_plain_stages(spark):
     rows = {r.doc_id: r for r in docs.collect()}
     items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
     kept = {i for i, r in rows.items() if r.text and any(c.isalpha() for c in r.text)}
-    prints = {i: brute_fingerprint(rows[i].text) for i in kept}
-    group = {i: i for i in kept}
-    changed = True
-    while changed:
-        changed = False
-        for a in kept:
-            for b in kept:
-                if group[a] < group[b] and (prints[a] ^ prints[b]).bit_count() <= 2:
-                    group[b], changed = group[a], True
-    kept = {i for i in kept if group[i] == i}
+    kept = {i for i, _ in brute_kept([(i, rows[i].text) for i in sorted(kept)])}
     kept = {i for i in kept if not brute_hits(rows[i].text, items)[4]}
     mix = mixing.mixed(docs.where(docs.doc_id.isin(sorted(kept))))
     times = {r.doc_id: r.taken // r.size for r in mix.collect() if r.taken}
