@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright.functions.urls import base_domain
-from pagewright.session import materialize, new_folder, release
+from pagewright.session import materialize, new_folder
 
 _NO_LIMIT = 1 << 50
 # Rows of one run or page that one task numbers; more of them are numbered bucket by bucket.
@@ -151,8 +151,8 @@ def crawl(
         visited = start.select("run", F.col("seed").alias("url"))
     else:
         known = initial.select(F.col(run).alias("run"), "url", F.col("depth").cast("long").alias("depth"), F.col("pos").cast("long").alias("ord"), "success")
-        used = known.groupBy("run").agg(F.countDistinct("url").alias("used"), F.collect_set("url").alias("urls"))
-        start = start.join(used.drop("urls"), "run", "left").withColumn("capacity", F.greatest(F.col("capacity") - F.coalesce("used", nothing), nothing))
+        used = known.groupBy("run").agg(F.countDistinct("url").alias("used"))
+        start = start.join(used, "run", "left").withColumn("capacity", F.greatest(F.col("capacity") - F.coalesce("used", nothing), nothing))
         # A budget used up by pagination ends the crawl; a run without initial pages still starts.
         start = materialize(start.filter("capacity > 0").drop("used"), "runs")
         visited = materialize(known.select("run", "url").distinct(), "visited")

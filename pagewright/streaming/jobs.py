@@ -26,8 +26,7 @@ def run_batch(pending: DataFrame, snapshot: DataFrame, log_path: str, results_pa
     folder = f"{results_path}/batch-{batch}"
     run_requests(pending, snapshot, key="id").write.mode("overwrite").parquet(folder)
     outcome = pending.sparkSession.read.parquet(folder).groupBy("id").agg(F.max(F.when(F.col("error") == "malformed request", F.col("error"))).alias("error"))
-    finished = outcome.withColumn("status", F.when(F.col("error").isNull(), F.lit("done")).otherwise(F.lit("failed")))
-    rows = J.log_rows(finished, "done", error="error").withColumn("status", F.when(F.col("error").isNull(), F.lit("done")).otherwise(F.lit("failed")))
+    rows = J.log_rows(outcome, "done", error="error").withColumn("status", F.when(F.col("error").isNull(), F.lit("done")).otherwise(F.lit("failed")))
     J.write_batch(rows, log_path, batch, "finished")
 
 
