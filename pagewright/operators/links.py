@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import urls as U
 from pagewright.functions.text import let, nvl, strip
 from pagewright.operators import nodes as N
+from pagewright.operators.nodes import ELEMENT, read_nodes
 
 # Fixed value: attribute scan used where no parsed tree is wanted.
 HREF_PATTERN = r"""(?i)href=["']([^"'#\s][^"']*)["']"""
@@ -22,8 +23,8 @@ class PageHrefs:
 
     def eval(self, html: str):
         place = 0
-        for _, _, kind, tag, attrs, _ in N.read_nodes(html or ""):
-            href = dict(attrs).get("href") if kind == N.ELEMENT and tag == "a" else None
+        for _, _, kind, tag, attrs, _ in read_nodes(html or ""):
+            href = dict(attrs).get("href") if kind == ELEMENT and tag == "a" else None
             if href:
                 yield place, href
                 place += 1
