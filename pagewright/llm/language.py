@@ -237,8 +237,15 @@ def language_id(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """`docs` without the rows in which no language is found; columns stay as they are."""
+def identified(docs: DataFrame, lang: str = "lang", languages: list[str] | None = None, least_score: float = 0.0) -> DataFrame:
+    """`docs` whose language is found, is one of `languages` (None: any) and has `least_score` or more.
+
+    A null `lang` becomes the predicted language; other columns and values stay as they are.
+    """
     net = fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
     marked = docs.select(F.struct("*").alias("__in"), "text")
-    return predicted(marked, net).where(F.col("lang_pred") != UNKNOWN).select("__in.*")
+    stays = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)
+    if languages is not None:
+        stays = stays & F.col("lang_pred").isin(languages)
+    columns = [F.coalesce(F.col("__in")[lang], F.col("lang_pred")).alias(c) if c == lang else F.col("__in")[c].alias(c) for c in docs.columns]
+    return predicted(marked, net).where(stays).select(*columns)

@@ -139,8 +139,12 @@ def _cut(rows: DataFrame, part: str, rest: str) -> DataFrame:
     )
 
 
-def _filled(dealt: DataFrame, plan: DataFrame, fits: Column) -> DataFrame:
-    """`dealt` after one more filling: `more` is one higher for the first rows that `fits`, in order, up to what is open.
+def _place() -> Column:
+    return F.struct("order", "key", "size")
+
+
+def _cuts(dealt: DataFrame, plan: DataFrame, fits: Column) -> DataFrame:
+    """One filling as a small table: where the first rows of a pattern that `fits` end, in order, up to what is open.
 
     The running size is taken over bins first, and over single documents in one bin of the second kind only.
     """
@@ -149,51 +153,67 @@ def _filled(dealt: DataFrame, plan: DataFrame, fits: Column) -> DataFrame:
     inside = rows.join(first, "pattern").where(F.col("bin") == F.col("cut_bin"))
     second = materialize(_cut(inside, "sub", "rest_bin"), "bins")
     inside = inside.join(second, "pattern").where(F.col("sub") == F.col("cut_sub"))
-    place = F.struct("order", "key", "size")
-    upto = F.sum("size").over(Window.partitionBy("pattern").orderBy(place))
-    last = inside.withColumn("upto", upto).where(F.col("upto") <= F.col("rest_sub")).groupBy("pattern").agg(F.max(place).alias("last"))
+    upto = F.sum("size").over(Window.partitionBy("pattern").orderBy(_place()))
+    last = inside.withColumn("upto", upto).where(F.col("upto") <= F.col("rest_sub")).groupBy("pattern").agg(F.max(_place()).alias("last"))
     cuts = plan.join(first, "pattern", "left").join(second, "pattern", "left").join(last, "pattern", "left")
-    cuts = materialize(cuts.select("pattern", "whole", "open", "cut_bin", "cut_sub", "last"), "cuts")
+    return materialize(cuts.select("pattern", "whole", "open", "cut_bin", "cut_sub", "last"), "cuts")
+
+
+def _fits(level: int, repeats: int) -> Column:
+    return (F.col("more") < level) & (F.col("whole") + F.col("more") < repeats) & (F.col("size") > 0)
+
+
+def _filled(dealt: DataFrame, cuts: DataFrame, fits: Column) -> DataFrame:
+    """`dealt` after one more filling: `more` is one higher where a row is `chosen`, which follows from the row and `cuts`."""
     in_last = (F.col("sub") < F.col("cut_sub")) | (
-        (F.col("sub") == F.col("cut_sub")) & F.coalesce(place <= F.col("last"), F.lit(False))
+        (F.col("sub") == F.col("cut_sub")) & F.coalesce(_place() <= F.col("last"), F.lit(False))
     )
     ahead = F.when(F.col("cut_bin").isNull(), True).otherwise(
         (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & in_last)
     )
     chosen = F.coalesce(fits & (F.col("size") <= F.col("open")) & ahead, F.lit(False))
     marked = dealt.join(cuts, "pattern").withColumn("chosen", chosen)
-    return materialize(
-        marked.withColumn("more", F.col("more") + F.col("chosen").cast("int")).select(*[c for c in dealt.columns if c != "chosen"], "chosen"), "dealt"
-    )
+    return marked.withColumn("more", F.col("more") + F.col("chosen").cast("int")).select(*[c for c in dealt.columns if c != "chosen"], "chosen")
 
 
-def selected(rows: DataFrame, amounts: DataFrame, seed: int = SEED, repeats: int = MAX_REPEATS) -> DataFrame:
-    """`rows(key, pattern, size)` and `amounts(pattern, total, amount)` -> rows with `taken`.
+def _dealt(rows: DataFrame, seed: int) -> DataFrame:
+    order = F.xxhash64(F.lit(seed), F.col("key"))
+    return rows.withColumns({
+        "order": order, "bin": F.shiftrightunsigned(order, 64 - BIN_BITS),
+        "sub": F.shiftrightunsigned(order, 64 - 2 * BIN_BITS).bitwiseAND(F.lit((1 << BIN_BITS) - 1)), "more": F.lit(0),
+    })
 
-    Every document is taken `amount div total` times. The rest of the amount goes to one more repetition of the
-    first documents in the order of a hash of seed and key. A document that does not fit ends a filling; further
-    fillings take the first of those that still fit, at last once more than all others, but never more than `repeats`
-    times. Same rows, same choice; rows that repeat key and size are chosen together.
-    """
+
+def _planned(rows: DataFrame, amounts: DataFrame, seed: int, repeats: int) -> tuple[DataFrame, DataFrame, list[tuple[DataFrame, int]]]:
+    """Rows after all fillings, the plan, and the fillings as `(cuts, level)`; the last two have a row for each pattern."""
     plan = materialize(amounts.select(
         "pattern", "amount", F.expr("CASE WHEN total > 0 THEN amount DIV total ELSE 0 END").alias("whole"),
         F.expr("CASE WHEN total > 0 THEN amount % total ELSE 0 END").alias("open"),
     ), "amounts")
-    order = F.xxhash64(F.lit(seed), F.col("key"))
-    dealt = rows.withColumns({
-        "order": order, "bin": F.shiftrightunsigned(order, 64 - BIN_BITS),
-        "sub": F.shiftrightunsigned(order, 64 - 2 * BIN_BITS).bitwiseAND(F.lit((1 << BIN_BITS) - 1)), "more": F.lit(0),
-    })
+    dealt, fillings = _dealt(rows, seed), []
     for n, level in enumerate(FILLINGS):
         if plan.where(F.col("open") > F.col("amount") * GAP).isEmpty():
             break
-        again = (F.col("more") < level) & (F.col("whole") + F.col("more") < repeats) & (F.col("size") > 0)
-        before, dealt = dealt, _filled(dealt, plan, again)
+        again = _fits(level, repeats)
+        fillings.append((_cuts(dealt, plan, again), level))
+        before, dealt = dealt, materialize(_filled(dealt, fillings[-1][0], again), "dealt")
         used = dealt.where("chosen").groupBy("pattern").agg(F.sum("size").alias("used"))
         plan = plan.join(used, "pattern", "left").withColumn("open", F.col("open") - F.coalesce("used", F.lit(0))).drop("used")
         plan = materialize(plan, "plan")
         if n:
             release(before)
+    return dealt, plan, fillings
+
+
+def selected(rows: DataFrame, amounts: DataFrame, seed: int = SEED, repeats: int = MAX_REPEATS) -> DataFrame:
+    """`rows(key, pattern, size)` and `amounts(pattern, total, amount)` -> rows with `taken`.
+
+    Every document is taken `amount div total` times. The rest of the amount goes to one more repetition of the
+    first documents in the order of a hash of seed and key. A document that does not fit ends a filling; further
+    fillings take the first of those that still fit, at last once more than all others, but never more than `repeats`
+    times. Same rows, same choice; rows that repeat key and size are chosen together.
+    """
+    dealt, plan, _ = _planned(rows, amounts, seed, repeats)
     taken = F.col("size") * (F.col("whole") + F.col("more"))
     return dealt.join(plan, "pattern").select(*rows.columns, taken.cast("long").alias("taken"))
 
@@ -203,10 +223,8 @@ def _named(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("?"))
 
 
-def _taken(
-    docs: DataFrame, key: str, text: str, source: str, sources: str | None, seed: int
-) -> tuple[DataFrame, DataFrame]:
-    """Rows `(key, own, pattern, size, taken)`, and targets `(own, source, source_size, target)`."""
+def _amounts(docs: DataFrame, key: str, text: str, source: str, sources: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows `(key, own, pattern, size)`, `(pattern, total, amount)`, and targets `(own, source, source_size, target)`."""
     own = _named(F.col(source))
     member = F.array(own)
     if sources is not None:
@@ -219,8 +237,7 @@ def _taken(
     patterns = materialize(rows.groupBy("pattern", "sources").agg(F.sum("size").alias("size")), "patterns")
     flows = routed(patterns, targets.select(F.col("own").alias("source"), F.round("target").cast("long").alias("quota")))
     amounts = flows.groupBy("pattern").agg(F.sum("flow").alias("amount")).join(patterns.select("pattern", F.col("size").alias("total")), "pattern")
-    taken = selected(rows.select("key", "own", "pattern", "size"), amounts, seed)
-    return taken, targets
+    return rows.select("key", "own", "pattern", "size"), amounts, targets
 
 
 def mixed(
@@ -232,7 +249,8 @@ def mixed(
     added); without it, each document serves its own source only. Null texts have size zero and are
     taken zero times. No document is taken more than `MAX_REPEATS` times. Empty tables give empty results.
     """
-    taken, targets = _taken(docs, key, text, source, sources, seed)
+    rows, amounts, targets = _amounts(docs, key, text, source, sources)
+    taken = selected(rows, amounts, seed)
     return taken.join(targets.select("own", "source_size", "target"), "own").select(
         F.col("key").alias(key), "size", "source_size", "target", "taken"
     )
@@ -244,11 +262,15 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     Rows that share key, source and size are chosen together; others of the same key, null included, are taken as
     often as they themselves are.
     """
-    taken, _ = _taken(docs, key, text, source, None, seed)
-    taken = taken.where("size > 0 AND taken > 0").select(
-        F.col("key").alias("__key"), F.col("own").alias("__own"), F.col("size").alias("__size"), F.expr("taken DIV size").cast("int").alias("__times")
+    rows, amounts, _ = _amounts(docs, key, text, source, None)
+    _, plan, fillings = _planned(rows, amounts, seed, MAX_REPEATS)
+    # What is taken follows from a row and the small tables of the fillings, so that texts stay where they are.
+    own = docs.select(
+        F.struct("*").alias("in"), F.col(key).alias("key"), F.to_json(F.array(_named(F.col(source)))).alias("pattern"), word_count(F.col(text)).alias("size")
     )
-    taken = materialize(taken.distinct(), "taken")
-    same = docs[key].eqNullSafe(taken["__key"]) & (_named(docs[source]) == taken["__own"]) & (word_count(docs[text]) == taken["__size"])
-    copies = docs.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return copies.select(*[docs[c] for c in docs.columns])
+    dealt = _dealt(own, seed)
+    for cuts, level in fillings:
+        dealt = _filled(dealt, cuts, _fits(level, MAX_REPEATS))
+    times = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(0).cast("int")
+    copies = dealt.join(plan.select("pattern", "whole"), "pattern").withColumn("times", times).where("times > 0")
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("in.*")

@@ -36,6 +36,10 @@ def test_held_out_accuracy_and_odd_texts(spark):
     kept = L.identified(docs)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
     assert {r.lang_pred for r in kept.where("doc_id < 300").select("lang_pred").distinct().collect()} == {"clash"}
+    filled = {r.doc_id: r.lang for r in kept.collect()}
+    assert filled[None] == got[None].lang_pred and filled[1004] == "cc" and all(filled[r[0]] == r[2] for r in rows[:300])
+    only = {r.doc_id for r in L.identified(docs, languages=["cc"], least_score=0.5).select("doc_id").collect()}
+    assert only == {i for i, r in got.items() if r.lang_pred == "cc" and r.score >= 0.5}
 
 
 def test_predictions_do_not_use_labels(spark):
