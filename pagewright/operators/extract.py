@@ -1,39 +1,27 @@
-"""Page content extraction as window computations over the node table.
+"""Page content extraction inside the row: no shuffle, no window, one parse per page.
 
-One shuffle brings the (compact) HTML to its hash partition; parsing, exploding and all
-windows and the final grouping use that same partitioning, so no node row is ever sent
-over the network. Windows are per page: a page is one input row, which bounds them.
+The parse gives a page's events in document order, each with what depends on other nodes (see `marks`). Everything that is
+written - links, attributes, text, Markdown - are column expressions over that array.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright.functions import urls as U
 from pagewright.functions.text import let, nvl, strip
+from pagewright.operators import marks as M
 from pagewright.operators import nodes as N
 
-# Elements removed as noise, and words in class/id/role/label that mark noise.
-NOISE_TAGS = ["script", "style", "noscript", "svg", "canvas", "iframe", "header", "footer", "nav", "aside"]
-NOISE_HINTS = [
-    "cookie", "consent", "newsletter", "modal", "popup", "social", "breadcrumb", "related", "recommend", "promo",
-]
+# Words of product pages, and attributes that are lists of words.
 PRODUCT_HINTS = ["price", "sku", "spec", "product", "buy", "cart", "availability"]
-PRESERVE_ATTRS = [
-    "data-ph-at-job-title-text", "data-ph-at-job-id-text", "data-ph-at-job-seqno-text", "data-ph-at-id", "itemprop",
-]
-PRESERVE_DATA_IDS = ["job-link", "jobdescription-text", "apply-link", "pagination-page-number-link"]
 LIST_ATTRS = ["class", "rel", "rev", "headers", "accesskey", "dropzone"]
 
-# Kind of the node that stands for the page itself and keeps its row.
-PAGE = "p"
-
-REPEATED_BLOCKS, SHORT_BLOCK_CHARS = 4, 120
-
-# Unicode noncharacters as stream marks: end of a text run, of a run inside a link, of link text.
+# Unicode noncharacters as stream marks: end of a text run, of a run inside a link, of link text; begin of a Markdown block,
+# end of its first prefix and of the prefix of its further lines.
 RUN, LINK_RUN, LINK_END = "\ufdd0", "\ufdd1", "\ufdd2"
+BLOCK, LEAD_END, HANG_END = "\ufdd3", "\ufdd4", "\ufdd5"
 
 
 def looks_like_product(text: Column) -> Column:
@@ -42,20 +30,6 @@ def looks_like_product(text: Column) -> Column:
     return sum(hits[1:], hits[0]) >= 2
 
 
-def is_preserved(n: Column) -> Column:
-    kept = ((n["tag"] == "a") & (N.attr_or_empty(n, "href") != "")) | N.attr_or_empty(n, "data-ph-at-id").isin(
-        PRESERVE_DATA_IDS
-    )
-    for name in PRESERVE_ATTRS:
-        kept = kept | (N.attr_or_empty(n, name) != "")
-    return kept
-
-
-def is_noise(n: Column) -> Column:
-    described = F.lower(F.concat_ws(" ", *[N.attr_or_empty(n, a) for a in ("class", "id", "role", "aria-label")]))
-    return (n["tag"].isin(NOISE_TAGS)) | (~is_preserved(n) & described.rlike("|".join(NOISE_HINTS)))
-
-
 def best_srcset(srcset: Column) -> Column:
     """Candidate with the largest width (`w`) or 1000 x density (`x`); the first of equals."""
 
@@ -106,217 +80,75 @@ def _open_tag(tag: Column, attrs: Column, link: Column) -> Column:
     return F.concat(F.lit("<"), tag, F.array_join(F.transform(listed, _attribute), ""), end)
 
 
-# Markdown written before and after an element's content.
+# Markdown written before and after an element's content; blocks, lists and quotes come with the events.
 _PLAIN_MARKS = {
-    "p": ("\n\n", "\n\n"), "div": ("\n\n", "\n\n"), "section": ("\n\n", "\n\n"), "article": ("\n\n", "\n\n"),
-    "main": ("\n\n", "\n\n"), "ul": ("\n\n", "\n\n"), "ol": ("\n\n", "\n\n"), "table": ("\n\n", "\n\n"),
-    "dl": ("\n\n", "\n\n"), "dt": ("\n\n", "\n"), "dd": (":   ", "\n"), "title": ("", "\n\n"),
-    "br": ("  \n", ""), "hr": ("\n\n---\n\n", ""), "blockquote": ("\n\n> ", "\n\n"),
     "b": ("**", "**"), "strong": ("**", "**"), "i": ("*", "*"), "em": ("*", "*"), "del": ("~~", "~~"), "s": ("~~", "~~"),
-    "code": ("`", "`"), "kbd": ("`", "`"), "samp": ("`", "`"), "pre": ("\n\n```\n", "\n```\n\n"),
-    "tr": ("|", "\n"), "td": (" ", " |"), "th": (" ", " |"),
-    **{f"h{i}": (f"\n\n{'#' * i} ", "\n\n") for i in range(1, 7)},
+    "code": ("`", "`"), "kbd": ("`", "`"), "samp": ("`", "`"), "pre": ("```\n", "\n```"), "tr": ("|", ""), "td": (" ", " |"), "th": (" ", " |"),
 }
+# Inside preformatted text and without any text there are no marks but those of cells.
+_CELLS = ("td", "th")
 
 
-def _mark(tag: Column, which: int) -> Column:
+def _mark(e: Column, which: int) -> Column:
     table = F.create_map(*[F.lit(x) for t, marks in _PLAIN_MARKS.items() for x in (t, marks[which])])
-    return nvl(F.try_element_at(table, tag))
+    wanted = (e["filled"] & ~e["in_pre"]) | e["tag"].isin(*_CELLS)
+    return F.when(wanted, nvl(F.try_element_at(table, e["tag"]))).otherwise(F.lit(""))
 
 
-def node_table(
-    pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", partitions: int | None = None
-) -> DataFrame:
-    """Explode pages into rows (key, base, id, parent, last, kind, tag, attrs, text).
+def _linked(e: Column, base: Column) -> Column:
+    """The event with `link`: the resolved address of a link, at both ends, or of an image."""
+    picture = F.when((e["tag"] == "img") & (e["what"] == M.OPEN), best_srcset(N.attr_or_empty(e, "srcset")))
+    source = F.nullif(F.coalesce(F.nullif(picture, F.lit("")), N.attr_or_empty(e, "src")), F.lit(""))
+    address = F.when(e["tag"] == "a", e["href"]).when((e["tag"] == "img") & (e["what"] == M.OPEN), source)
+    resolved = let(address, lambda a: F.when(a.isNotNull(), F.element_at(U.resolve_all(F.array(a), base), 1)))
+    return e.withField("link", resolved)
 
-    Pages are parsed where they are read. The one shuffle moves a page's nodes as a single
-    row and comes before the explode, so the windows that follow need no other.
-    """
-    parsed = N.with_nodes(pages.select(F.col(key), nvl(F.col(url)).alias("base"), F.col(html)), html)
-    page_row = F.struct(
-        F.lit(-1).alias("id"), F.lit(-1).alias("parent"), F.lit(-1).alias("last"), F.lit(PAGE).alias("kind"), F.lit(None).cast("string").alias("tag"),
-        F.create_map().cast("map<string,string>").alias("attrs"), F.lit("").alias("text"),
-    )
-    parsed = parsed.select(key, "base", F.concat(F.array(page_row).cast(N.NODE_TYPE), "nodes").alias("nodes"))
-    placed = parsed.repartition(partitions, F.col(key)) if partitions else parsed.repartition(F.col(key))
-    return placed.select(key, "base", F.inline("nodes"))
-
-
-def _kept(rows: DataFrame, condition: Column, by_id) -> DataFrame:
-    """Remove the subtrees whose root meets `condition`."""
-    frame = by_id.rowsBetween(W.unboundedPreceding, W.currentRow)
-    end = F.max(F.when(condition, F.col("last"))).over(frame)
-    return rows.withColumn("__end", end).filter(F.coalesce(F.col("__end") < F.col("id"), F.lit(True))).drop("__end")
-
-
-def prune(nodes: DataFrame, key: str = "page_id") -> DataFrame:
-    """Remove noise and repeated short blocks; add `link` (resolved href/src) and `title` (injected link text)."""
-    by_id = W.partitionBy(key).orderBy("id")
-    before = by_id.rowsBetween(W.unboundedPreceding, -1)
-    n = {c: F.col(c) for c in ("id", "parent", "last", "kind", "tag", "attrs", "text")}
-    element = n["kind"] == N.ELEMENT
-    rows = _kept(nodes, element & is_noise(n), by_id)
-
-    # Links without text take the job title they carry. "No text below" means that the
-    # next non-blank text lies behind the subtree.
-    rows = rows.withColumn("__has_text", (n["kind"] == N.TEXT) & (strip(nvl(n["text"])) != ""))
-    rows = rows.withColumn(
-        "__next_text", F.expr(f"lead(IF(__has_text, id, NULL)) IGNORE NULLS OVER (PARTITION BY {key} ORDER BY id)")
-    )
-    job_title = strip(N.attr_or_empty(n, "data-ph-at-job-title-text"))
-    no_text = F.coalesce(F.col("__next_text") > n["last"], F.lit(True))
-    is_link = (n["tag"] == "a") & N.attr(n, "href").isNotNull()
-    rows = rows.withColumn("title", F.when(is_link & no_text & (job_title != ""), job_title))
-    emptied = F.max(F.when(F.col("title").isNotNull(), n["last"])).over(before)
-    rows = rows.withColumn("__end", emptied).filter(F.coalesce(F.col("__end") < n["id"], F.lit(True)))
-
-    # Text length below an element = pieces + separators, from two running sums: texts up to
-    # the end of the subtree (post-order) minus texts before its start (pre-order).
-    own = F.when(n["kind"] == N.TEXT, F.char_length(strip(n["text"]))).otherwise(
-        F.coalesce(F.char_length("title"), F.lit(0))
-    )
-    post = W.partitionBy(key).orderBy("last", F.desc("id")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("__len", own).withColumn("__one", (F.col("__len") > 0).cast("int"))
-    sums = ("__len", "__one")
-    rows = rows.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sums])
-    rows = rows.select("*", *[(F.sum(c).over(post) - F.col(f"{c}_before")).alias(f"{c}_below") for c in sums])
-    text_len = F.col("__len_below") + F.greatest(F.col("__one_below") - 1, F.lit(0))
-
-    # Outer generators from here on: the plain ones make the optimizer infer a non-empty filter,
-    # which would compute these arrays a second time.
-    # The first four child tags: children are copied into their parent's group, in front of it.
-    payload = ["base", "last", "kind", "attrs", "text", "title"]
-    self_row = F.struct(
-        n["id"].alias("group"), F.lit(None).cast("int").alias("child"), F.lit(None).cast("string").alias("child_tag"),
-        *[n["id"], n["parent"], n["tag"]], *[F.col(c) for c in payload], text_len.alias("text_len"),
-    )
-    child_row = F.struct(
-        n["parent"].alias("group"), n["id"].alias("child"), n["tag"].alias("child_tag"),
-        *[F.lit(None).cast("int").alias(c) for c in ("id", "parent")], F.lit(None).cast("string").alias("tag"),
-        *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in payload],
-        F.lit(None).cast("bigint").alias("text_len"),
-    )
-    roles = F.when(element & (n["parent"] >= 0), F.array(self_row, child_row)).otherwise(F.array(self_row))
-    rows = rows.withColumn("__roles", roles).select(key, F.inline_outer("__roles"))
-    family = W.partitionBy(key, "group").orderBy(F.asc_nulls_last("child"))
-    for i in range(1, 5):
-        rows = rows.withColumn(f"__child{i}", F.nth_value("child_tag", i).over(family))
-    rows = rows.filter(F.col("id").isNotNull())
-
-    # Equal shape and equal size class, at least four times on the page.
-    size_class = F.least(F.floor(F.col("text_len") / 20), F.lit(6))
-    shape = F.when(
-        element,
-        F.concat_ws(
-            "\u0000",
-            n["tag"],
-            size_class,
-            F.array_join(F.slice(F.array_sort(N.class_names(n)), 1, 3), " "),
-            *[nvl(F.col(f"__child{i}")) for i in range(1, 5)],
-        ),
-    )
-    rows = rows.withColumn("__shape", shape)
-    rows = rows.withColumn("__times", F.count("*").over(W.partitionBy(key, "__shape")))
-    repeated = (
-        element & ~is_preserved(n) & (F.col("__times") >= REPEATED_BLOCKS) & (F.col("text_len") < SHORT_BLOCK_CHARS)
-    )
-    rows = _kept(rows, repeated, by_id)
 
-    best = F.when((n["tag"] == "img"), best_srcset(N.attr_or_empty(n, "srcset")))
-    address = F.when(n["tag"] == "a", N.attr(n, "href")).when(
-        n["tag"] == "img", F.nullif(F.coalesce(F.nullif(best, F.lit("")), N.attr_or_empty(n, "src")), F.lit(""))
-    )
-    return rows.withColumn("link", U.resolve(address, F.col("base"))).select(
-        key, "id", "parent", "last", "kind", "tag", "attrs", "text", "title", "link", "text_len"
+def _html_token(e: Column) -> Column:
+    end = F.when(e["tag"].isin(sorted(N.VOID_TAGS)), F.lit("")).otherwise(F.concat(F.lit("</"), e["tag"], F.lit(">")))
+    return (
+        F.when(e["what"] == M.OPEN, F.concat(_open_tag(e["tag"], e["attrs"], e["link"]), _escape(nvl(e["text"]))))
+        .when(e["what"] == M.CLOSE, end)
+        .when(e["what"] == M.TEXT_EVENT, _escape(e["text"]))
+        .otherwise(e["text"])
     )
 
 
-def _token_rows(rows: DataFrame, key: str, notations: tuple[str, ...]) -> DataFrame:
-    """Two tokens per element (before and after its content), one per other node.
-
-    Notations: html, text (with run marks) and md. Unused ones are not computed, nor are the
-    windows that only they need.
-    """
-    by_id = W.partitionBy(key).orderBy("id")
-    before = by_id.rowsBetween(W.unboundedPreceding, -1)
-    n = {c: F.col(c) for c in ("id", "parent", "last", "kind", "tag", "attrs", "text", "title", "link")}
-    element, is_text = n["kind"] == N.ELEMENT, n["kind"] == N.TEXT
-    empty = F.lit("")
-
-    # Neighbouring texts of one parent are one run, since nothing stands between them any more.
-    rows = rows.withColumn("__shown", n["title"].isNotNull() | (is_text & (strip(nvl(n["text"])) != "")))
-    in_lists = n["tag"].isin("ul", "ol")
-    rows = rows.select(
-        "*",
-        F.lag(F.when(is_text, n["parent"])).over(by_id).alias("__prev"),
-        F.expr(f"lead(IF(__shown, id, NULL)) IGNORE NULLS OVER (PARTITION BY {key} ORDER BY id)").alias("__next_text"),
-        F.max(F.when(n["tag"] == "pre", n["last"])).over(before).alias("__pre_end"),
-        F.last(F.when(in_lists, n["tag"]), True).over(before).alias("__list"),
-        F.max(F.when(in_lists, n["last"])).over(before).alias("__list_end"),
-    )
-    rows = rows.withColumn("__new_run", is_text & ~F.coalesce(F.col("__prev") == n["parent"], F.lit(False)))
-    has_text = n["title"].isNotNull() | F.coalesce(F.col("__next_text") <= n["last"], F.lit(False))
-    cited = (
-        (n["tag"] == "a") & (nvl(n["link"]) != "") & ~F.startswith(nvl(n["link"]), F.lit("javascript:")) & has_text
-    )
-    rows = rows.withColumn("__cited", F.coalesce(cited, F.lit(False)))
-    link_end = F.max(F.when(F.col("__cited"), n["last"])).over(before)
-    rows = rows.withColumn("__in_link", F.coalesce(link_end >= n["id"], F.lit(False)))
-    rows = rows.withColumn("__outer", F.col("__cited") & ~F.col("__in_link"))
-    rows = rows.withColumn("__in_pre", F.coalesce(F.col("__pre_end") >= n["id"], F.lit(False)))
-    rows = rows.withColumn("__outer_list", F.coalesce(F.col("__list_end") >= n["id"], F.lit(False)))
-    siblings = W.partitionBy(key, "parent", "tag").orderBy("id")
-    rows = rows.withColumn("__rank", F.when(n["tag"] == "li", F.row_number().over(siblings)))
-
-    title = nvl(n["title"])
-    flowing = F.when(F.col("__in_pre"), n["text"]).otherwise(F.regexp_replace(nvl(n["text"]), "[\t \r\n]+", " "))
-    item = F.when(F.col("__list") == "ol", F.concat(F.col("__rank"), F.lit(". "))).otherwise(F.lit("- "))
-    image = F.concat(
-        F.lit("!["), N.attr_or_empty(n, "alt"), F.lit("]("), nvl(n["link"]), F.lit(")")
-    )
-    linked = (n["tag"] == "a") & (nvl(n["link"]) != "") & has_text
-    md_open = (
-        F.when(linked, F.concat(F.lit("["), title))
-        .when(n["tag"] == "li", F.concat(F.lit("\n"), item))
-        .when(n["tag"] == "img", image)
-        .when(n["tag"].isin("ul", "ol") & F.col("__outer_list"), empty)
-        .otherwise(F.concat(_mark(n["tag"], 0), title))
+def _text_token(e: Column) -> Column:
+    mark = F.when(e["in_link"], F.lit(LINK_RUN)).otherwise(F.lit(RUN))
+    return (
+        F.when(e["what"] == M.TEXT_EVENT, F.concat(F.when(e["new_run"], mark).otherwise(F.lit("")), e["text"]))
+        .when((e["what"] == M.OPEN) & e["cited"], F.concat(F.lit(RUN), nvl(e["text"])))
+        .when((e["what"] == M.OPEN) & e["text"].isNotNull(), F.concat(mark, e["text"]))
+        .when((e["what"] == M.CLOSE) & e["cited"], F.concat(F.lit(LINK_END), e["link"], F.lit(RUN)))
+        .otherwise(F.lit(""))
     )
-    md_close = (
-        F.when(linked, F.concat(F.lit("]("), n["link"], F.lit(")")))
-        .when(n["tag"].isin("ul", "ol") & F.col("__outer_list"), empty)
-        .otherwise(_mark(n["tag"], 1))
+
+
+def _md_token(e: Column) -> Column:
+    link = (e["tag"] == "a") & (nvl(e["link"]) != "") & e["filled"]
+    flowing = F.when(e["in_pre"] & ~e["flat"], e["text"]).otherwise(F.regexp_replace(e["text"], "[\t \r\n]+", " "))
+    begin = nvl(F.concat(F.lit(BLOCK), e["lead"], F.lit(LEAD_END), e["hang"], F.lit(HANG_END)))
+    image = F.concat(F.lit("!["), N.attr_or_empty(e, "alt"), F.lit("]("), nvl(e["link"]), F.lit(")"))
+    opened = (
+        F.when(link, F.lit("["))
+        .when(e["tag"] == "img", image)
+        .when(e["tag"] == "hr", F.lit("---"))
+        .when(e["tag"] == "br", F.when(e["flat"], F.lit(" ")).when(e["in_pre"], F.lit("\n")).otherwise(F.lit("  \n")))
+        .otherwise(_mark(e, 0))
     )
-    mark = F.when(F.col("__in_link"), F.lit(LINK_RUN)).otherwise(F.lit(RUN))
-    outer = F.col("__outer")
-    opened = {
-        "html": F.when(element, F.concat(_open_tag(n["tag"], n["attrs"], n["link"]), _escape(title)))
-        .when(is_text, _escape(n["text"]))
-        .otherwise(n["text"]),
-        "text": F.when(
-            element,
-            F.concat(
-                F.when(outer, F.lit(RUN)).otherwise(empty),
-                F.when((title != "") & ~outer, F.concat(mark, title)).otherwise(title),
-            ),
-        )
-        .when(is_text, F.concat(F.when(F.col("__new_run"), mark).otherwise(empty), n["text"]))
-        .otherwise(empty),
-        "md": F.when(element, md_open).when(is_text, flowing).otherwise(empty),
-    }
-    closed = {
-        "html": F.when(n["tag"].isin(sorted(N.VOID_TAGS)), empty).otherwise(F.concat(F.lit("</"), n["tag"], F.lit(">"))),
-        "text": F.when(outer, F.concat(F.lit(LINK_END), n["link"], F.lit(RUN))).otherwise(empty),
-        "md": md_close,
-    }
-    open_token = F.struct(
-        n["id"].alias("at"), F.lit(0).alias("phase"), F.lit(0).alias("tie"), *[opened[f].alias(f) for f in notations]
+    rule = F.when(e["rule"] > 0, F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), e["rule"]))).otherwise(F.lit(""))
+    closed = (
+        F.when(link, F.concat(F.lit("]("), e["link"], F.lit(")")))
+        .when((e["tag"] == "tr") & e["filled"], rule)
+        .otherwise(_mark(e, 1))
     )
-    close_token = F.struct(
-        n["last"].alias("at"), F.lit(1).alias("phase"), (-n["id"]).alias("tie"), *[closed[f].alias(f) for f in notations]
+    return (
+        F.when(e["what"] == M.OPEN, F.concat(begin, opened, nvl(e["text"])))
+        .when(e["what"] == M.CLOSE, F.concat(closed, begin))
+        .when(e["what"] == M.TEXT_EVENT, flowing)
+        .otherwise(F.lit(""))
     )
-    tokens = F.when(element, F.array(open_token, close_token)).otherwise(F.array(open_token))
-    return rows.withColumn("__tokens", tokens).select(key, F.explode_outer("__tokens").alias("token"))
 
 
 def _clean_text(stream: Column) -> Column:
@@ -331,41 +163,41 @@ def _clean_text(stream: Column) -> Column:
 
 
 def _markdown(stream: Column) -> Column:
-    tidy = F.regexp_replace(stream, r"(?m)^ +(?=\S)(?!- )", "")
-    tidy = F.regexp_replace(tidy, r"[ \t]+\n(?<! {2}\n)", "\n")
-    return strip(F.regexp_replace(tidy, "\n{3,}", "\n\n"))
+    """Blocks with their prefixes before the first and before further lines; what comes before the first block is inline."""
 
+    def block(s: Column) -> Column:
+        body = F.regexp_replace(F.element_at(F.split(s, HANG_END), -1), r"^\s+|\s+$", "")
+        tidy = F.when(F.startswith(body, F.lit("```")), body).otherwise(F.regexp_replace(body, "\n[ \t]+", "\n"))
+        lead = F.when(F.contains(s, F.lit(LEAD_END)), F.substring_index(s, LEAD_END, 1)).otherwise(F.lit(""))
+        hang = F.regexp_extract(s, f"{LEAD_END}([^{HANG_END}]*){HANG_END}", 1)
+        return F.concat(lead, F.replace(tidy, F.lit("\n"), F.concat(F.lit("\n"), hang)))
+
+    return strip(F.array_join(F.transform(F.split(stream, BLOCK), block), ""))
 
-def _streams(
-    pages: DataFrame, key: str, url: str, html: str, partitions: int | None, notations: tuple[str, ...]
-) -> DataFrame:
-    """One row per row of `pages` with the token stream of each wanted notation; empty without nodes."""
-    # Every row of `pages` is a page of its own, whatever its key.
-    own = pages.select(F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row")).alias("page"), url, html)
-    tokens = _token_rows(prune(node_table(own, "page", url, html, partitions), "page"), "page", notations)
-    ordered = tokens.groupBy("page").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
 
-    def joined(field: str) -> Column:
-        return F.array_join(F.transform("tokens", lambda t: t[field]), "").alias(field)
+_TOKENS = {"html": _html_token, "text": _text_token, "md": _md_token}
 
-    return ordered.select(F.col("page.key").alias(key), *[joined(f) for f in notations])
+
+def _streams(pages: DataFrame, key: str, url: str, html: str, notations: tuple[str, ...]) -> DataFrame:
+    """One row per row of `pages` with the token stream of each wanted notation; empty without nodes."""
+    parsed = pages.select(F.col(key), U.base_parts(nvl(F.col(url))).alias("__base"), M.parse_events(nvl(F.col(html))).alias("__events"))
+    linked = parsed.select(F.col(key), F.transform("__events", lambda e: _linked(e, F.col("__base"))).alias("__events"))
+    return linked.select(F.col(key), *[F.array_join(F.transform("__events", _TOKENS[f]), "").alias(f"__{f}") for f in notations])
 
 
 def extract_content(
-    pages: DataFrame,
-    key: str = "page_id",
-    url: str = "url",
-    html: str = "html",
-    mode: str = "balanced",
-    partitions: int | None = None,
+    pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", mode: str = "balanced"
 ) -> DataFrame:
-    """One row per row of `pages`: key, normalized_html, clean_text, markdown, metrics."""
-    streams = _streams(pages, key, url, html, partitions, ("html", "text", "md"))
+    """One row per row of `pages`: key, normalized_html, clean_text, markdown, metrics.
+
+    Null or empty HTML gives empty strings; a null URL leaves addresses as they are.
+    """
+    streams = _streams(pages, key, url, html, ("html", "text", "md"))
     bundle = streams.select(
         key,
-        F.col("html").alias("normalized_html"),
-        _clean_text(F.col("text")).alias("clean_text"),
-        _markdown(F.col("md")).alias("markdown"),
+        F.col("__html").alias("normalized_html"),
+        _clean_text(F.col("__text")).alias("clean_text"),
+        _markdown(F.col("__md")).alias("markdown"),
     )
     return bundle.withColumn(
         "metrics",
@@ -378,17 +210,11 @@ def extract_content(
     )
 
 
-def clean_html_to_text(
-    pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", partitions: int | None = None
-) -> DataFrame:
+def clean_html_to_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Clean text only; the tokens of the other notations are not built."""
-    streams = _streams(pages, key, url, html, partitions, ("text",))
-    return streams.select(key, _clean_text(F.col("text")).alias("clean_text"))
+    return _streams(pages, key, url, html, ("text",)).select(key, _clean_text(F.col("__text")).alias("clean_text"))
 
 
-def normalize_html(
-    pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", partitions: int | None = None
-) -> DataFrame:
+def normalize_html(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Normalized HTML only."""
-    streams = _streams(pages, key, url, html, partitions, ("html",))
-    return streams.select(key, F.col("html").alias("normalized_html"))
+    return _streams(pages, key, url, html, ("html",)).select(key, F.col("__html").alias("normalized_html"))

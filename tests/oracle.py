@@ -19,7 +19,7 @@ TABLES = (
 # Expected number of rows where SQL cannot say the rows.
 _PAGES, _DOCUMENTS = "(SELECT count(*) FROM pages)", "(SELECT count(*) FROM documents)"
 ROWS = {
-    "html_markdown": _PAGES, "html_normalized": _PAGES, "html_metrics": _PAGES, "page_pagination_config": _PAGES,
+    "page_pagination_config": _PAGES,
     "tfidf_lr_predict": _DOCUMENTS, "word_vector_predict": _DOCUMENTS, "embedding_lr_predict": "(SELECT count(*) FROM embeddings)",
 }
 

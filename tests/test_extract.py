@@ -6,6 +6,7 @@ from urllib.parse import urljoin
 from pyspark.sql import functions as F
 
 from pagewright.operators import extract as X
+from pagewright.operators import marks as M
 from pagewright.operators.nodes import _NodeReader, with_nodes
 
 PRODUCT = """
@@ -45,7 +46,7 @@ class Tree:
     def preserved(n):
         a = n["attrs"]
         return bool(
-            (n["tag"] == "a" and a.get("href")) or a.get("data-ph-at-id") in X.PRESERVE_DATA_IDS or any(a.get(k) for k in X.PRESERVE_ATTRS)
+            (n["tag"] == "a" and a.get("href")) or a.get("data-ph-at-id") in M.PRESERVE_DATA_IDS or any(a.get(k) for k in M.PRESERVE_ATTRS)
         )
 
     def clean_text(self, base):
@@ -53,7 +54,7 @@ class Tree:
             if not n["alive"]:
                 continue
             words = " ".join(n["attrs"].get(k, "") for k in ("class", "id", "role", "aria-label")).lower()
-            if n["tag"] in X.NOISE_TAGS or (not self.preserved(n) and any(h in words for h in X.NOISE_HINTS)):
+            if n["tag"] in M.NOISE_TAGS or (not self.preserved(n) and any(h in words for h in M.NOISE_HINTS)):
                 self.drop(n)
         for n in self.elements():
             title = n["attrs"].get("data-ph-at-job-title-text", "").strip()
@@ -150,7 +151,7 @@ def test_product_page(spark):
     assert row.normalized_html.count("<main>") == 1 and "<nav>" not in row.normalized_html
 
 
-def test_windows_equal_tree_version(spark):
+def test_marks_equal_tree_version(spark):
     rng = random.Random(7)
     base = "https://example.com/a/b"
     pages = [(i, base, random_page(rng)) for i in range(300)]
@@ -191,10 +192,43 @@ def test_node_intervals(spark):
     ]
 
 
-def test_one_shuffle(spark):
+def test_no_shuffle_and_one_parse(spark):
     df = spark.createDataFrame([(1, "u", PRODUCT)], "page_id int, url string, html string")
     plan = X.extract_content(df)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange ") == 1 and plan.count("ArrowEvalPython") == 1
+    assert "Exchange" not in plan and "Window" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def markdown_of(spark, html):
+    df = spark.createDataFrame([(1, "http://h/", html)], "page_id int, url string, html string")
+    return X.extract_content(df).first().markdown
+
+
+def test_markdown_nested_lists(spark):
+    html = "<p>a</p><ul><li>x<ul><li>y <code>k</code></li><li><p>z1</p><p class=k>z2</p></li></ul></li><li class=e></li><li>w</li></ul><ol><li>one</li><li>two</li></ol>"
+    assert markdown_of(spark, html) == "a\n\n- x\n  - y `k`\n  - z1\n\n    z2\n- w\n\n1. one\n2. two"
+
+
+def test_markdown_quotes(spark):
+    html = "<blockquote><p>q1</p><p class=k>q2<br>q3</p><ul><li>item<blockquote>deep</blockquote></li></ul></blockquote>after"
+    assert markdown_of(spark, html) == "> q1\n>\n> q2  \n> q3\n>\n> - item\n>\n>   > deep\n\nafter"
+
+
+def test_markdown_tables(spark):
+    html = "<table><thead><tr><th>H</th><th>I</th></tr></thead><tbody><tr><td>1<p>p</p></td><td>2<br>3</td></tr></tbody></table><table><tr><td>alone</td></tr></table>"
+    assert markdown_of(spark, html) == "| H | I |\n| --- | --- |\n| 1p | 2 3 |\n\n| alone |\n| --- |"
+
+
+def test_markdown_preformatted_headings_and_empty_marks(spark):
+    html = "<b></b><h3>T<br>u</h3><pre>  a\n   <b>b</b></pre><hr><i> </i><dl><dt>t</dt><dd>d</dd></dl>"
+    assert markdown_of(spark, html) == "### T u\n\n```\n  a\n   b\n```\n\n---\n\nt\n:   d"
+    assert markdown_of(spark, "<nav>only</nav>") == "" and markdown_of(spark, "bare") == "bare"
+
+
+def test_long_and_deep_pages(spark):
+    wide = "<ul>" + "".join(f"<li>{i} {'w' * 130}" + "</li>" for i in range(20_000)) + "</ul>"
+    deep = "<div>" * 3_000 + "text " * 30 + "</div>" * 3_000
+    assert markdown_of(spark, wide).count("\n") == 19_999
+    assert markdown_of(spark, deep) == ("text " * 30).strip()
 
 
 def test_one_row_per_page_whatever_is_in_it(spark):
