@@ -10,9 +10,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.text import let
+
 # Characters before a span in which context words count.
 CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.2
+# Matches whose sizes are added up in one go; longer lists are sums of such stretches.
+STRETCH = 64
 # Spans below this score are not reported; the base kinds start above it.
 MIN_SCORE = 0.5
 
@@ -59,10 +63,11 @@ def mod97(text: Column) -> Column:
     )
 
 
-def _confirmed(kind: Kind, text: Column, span: Column) -> Column:
-    match = span["match"]
-    alone = ~F.substr(text, F.greatest(span["start"], F.lit(1)), F.when(span["start"] > 0, 1).otherwise(0)).rlike("[A-Za-z0-9]") & (
-        ~F.substr(text, span["end"] + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+def _confirmed(kind: Kind, span: Column, count: Column) -> Column:
+    """Whether the check of its kind confirms a span; where its neighbour is a match, that is a letter or digit."""
+    match, other = span["match"], "[A-Za-z0-9]"
+    alone = F.when(span["tail"] != "", ~F.right(span["tail"], F.lit(1)).rlike(other)).otherwise(span["place"] == 0) & (
+        F.when(span["ahead"] != "", ~span["ahead"].rlike(other)).otherwise(span["place"] == count - 1)
     )
     if kind.name == "ip":
         return match.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
@@ -78,32 +83,76 @@ def _confirmed(kind: Kind, text: Column, span: Column) -> Column:
     return F.lit(True)
 
 
-def _placed(text: Column, matches: Column, pattern: str) -> Column:
-    """Matches with their positions: the pieces between them give the distances."""
-    pieces = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("piece"), matches.alias("match"))
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+def _running(values: Column) -> Column:
+    """Running sums of integers. Lists only grow within a stretch and over the stretches, so that long ones do not take quadratic time."""
+
+    def sums(part: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("sums"))
+
+        def step(state, value):
+            at = state["at"] + value
+            return F.struct(at.alias("at"), F.concat(state["sums"], F.array(at)).alias("sums"))
 
-    def step(state, pair):
-        start = state["at"] + F.length(pair["piece"])
-        end = start + F.length(pair["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        return F.aggregate(part, zero, step, lambda s: s["sums"])
 
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, zero, step, lambda s: s["spans"])).otherwise(empty)
+    def stretch(number):
+        return F.slice(values, number * STRETCH + 1, STRETCH)
 
+    numbers = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STRETCH).cast("int"))
+    parts = F.transform(numbers, lambda i: sums(stretch(i)))
+    return let(
+        parts,
+        lambda inner: let(
+            sums(F.transform(inner, lambda p: F.element_at(p, -1))),
+            lambda outer: F.flatten(
+                F.transform(inner, lambda p, i: F.transform(p, lambda v: v + F.get(outer, i) - F.element_at(p, -1)))
+            ),
+        ),
+    )
 
-def _scored(kind: Kind, text: Column, spans: Column) -> Column:
-    """The confirmed spans of a kind whose score suffices."""
 
-    def with_score(s):
-        before = F.substr(text, F.greatest(s["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT_CHARS)))
-        bonus = F.when(F.lower(before).rlike(kind.context), CONTEXT_BONUS).otherwise(0.0)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), (F.lit(kind.score) + bonus).alias("score"))
+def _spans(kind: Kind, text: Column, matches: Column) -> Column:
+    """The confirmed spans of a kind whose score suffices, in time linear in the text.
 
-    kept = F.filter(spans, lambda s: _confirmed(kind, text, s))
-    return F.filter(F.transform(kept, with_score), lambda s: s["score"] >= MIN_SCORE)
+    The pieces between the matches give the distances. Each match is checked and scored by what stands next to it.
+    """
+    empty = F.array().cast("array<struct<start:int,end:int,match:string,score:double>>")
+    count = F.size(matches)
+
+    def item(p):
+        tail, ahead = F.right(p["piece"], F.lit(CONTEXT_CHARS)), F.left(p["next"], F.lit(1))
+        return F.struct(F.length(p["piece"]).alias("gap"), F.length(p["match"]).alias("size"), tail.alias("tail"), ahead.alias("ahead"), p["match"].alias("match"))
+
+    def placed(pieces):
+        rows = F.arrays_zip(F.slice(pieces, 1, count).alias("piece"), matches.alias("match"), F.slice(pieces, 2, count).alias("next"))
+        return F.transform(rows, item)
+
+    def before(items, s):
+        """The characters before a span; the matches before it, of one character at least, fill up a short piece."""
+        last = F.slice(items, F.greatest(s["place"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(s["place"], F.lit(CONTEXT_CHARS)))
+        filled = F.transform(last, lambda i: F.concat(i["tail"], F.right(i["match"], F.lit(CONTEXT_CHARS))))
+        return F.when(F.length(s["tail"]) >= CONTEXT_CHARS, s["tail"]).otherwise(
+            F.right(F.concat(F.array_join(filled, ""), s["tail"]), F.lit(CONTEXT_CHARS))
+        )
+
+    def scored(items, ends):
+        placed_items = F.transform(items, lambda i, k: F.struct(
+            (F.get(ends, k) - i["size"]).alias("start"), F.get(ends, k).alias("end"), i["match"].alias("match"),
+            i["tail"].alias("tail"), i["ahead"].alias("ahead"), k.alias("place"),
+        ))
+
+        def with_score(s):
+            bonus = F.when(F.lower(before(items, s)).rlike(kind.context), CONTEXT_BONUS).otherwise(0.0)
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), (F.lit(kind.score) + bonus).alias("score"))
+
+        kept = F.filter(placed_items, lambda s: _confirmed(kind, s, count))
+        return F.filter(F.transform(kept, with_score), lambda s: s["score"] >= MIN_SCORE)
+
+    found = let(
+        let(F.split(text, kind.pattern, -1), placed),
+        lambda items: let(_running(F.transform(items, lambda i: i["gap"] + i["size"])), lambda ends: scored(items, ends)),
+    )
+    return F.when(count > 0, found).otherwise(empty)
 
 
 def _listed(name: str) -> Column:
@@ -118,15 +167,15 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     Candidates that fail their check (part above 255, Luhn, mod 97, number of digits) are dropped
     and not retried. The score of a kind grows by `CONTEXT_BONUS` where a context word stands in
     the `CONTEXT_CHARS` characters before the span; spans below `MIN_SCORE` are dropped, so number groups
-    that have no checksum count in context only. Null texts have no spans. Columns of `docs` stay as they are.
+    that have no checksum count in context only. Null texts have no spans. Columns of `docs` stay as they are, but for
+    those that are named `pii_<kind>` already, which are replaced.
     """
     body = "__pii_text"
     out = docs.withColumn(body, F.coalesce(F.col(text), F.lit("")))
     for kind in KINDS:
         out = out.withColumn(f"__{kind.name}", F.regexp_extract_all(F.col(body), F.lit(kind.pattern), 0))
     for kind in KINDS:
-        placed = _placed(F.col(body), F.col(f"__{kind.name}"), kind.pattern)
-        out = out.withColumn(f"pii_{kind.name}", _scored(kind, F.col(body), placed))
+        out = out.withColumn(f"pii_{kind.name}", _spans(kind, F.col(body), F.col(f"__{kind.name}")))
     return out.drop(body, *[f"__{kind.name}" for kind in KINDS])
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -58,6 +59,25 @@ def test_base_spans_equal_python(spark):
     assert P.personal_data_digest(docs.limit(0)).count() == 0
 
 
+def test_many_matches_in_one_text(spark):
+    """Places and contexts across the stretches of a long list; the time does not grow with its square."""
+    texts = ["+1 555 123 4567, " * 40_000, "12 " * 300_000, "5@6.7 10.0.0.1;" * 20_000 + "é" * 50 + "4111111111111111"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    started = time.time()
+    for r in P.personal_data_digest(docs).collect():
+        counts, digest = brute(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts and r.base_sha256 == digest
+    assert time.time() - started < 90
+
+
+def test_context_reaches_over_earlier_matches(spark):
+    for many in (1, 3, 70, 200):
+        text = "tel " + "+1 555 123 4567;" * many
+        spans = P.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().pii_phone
+        want = [0.6 + P.CONTEXT_BONUS * ("tel" in text[max(0, 4 + 16 * k - P.CONTEXT_CHARS) : 4 + 16 * k]) for k in range(many)]
+        assert [s.score for s in spans] == pytest.approx(want)
+
+
 @pytest.mark.parametrize(
     "text,spans",
     [
@@ -68,6 +88,8 @@ def test_base_spans_equal_python(spark):
         ("my SSN is 123-45-6789.", "ssn:10:21"),
         ("part 123-45-6789 in stock", ""),
         ("ssn 000-45-6789", ""),
+        ("ssn 123-45-6789x", ""),
+        ("123-45-6789 ssn 123-45-6789", "ssn:16:27"),
     ],
 )
 def test_added_kinds(spark, text, spans):
