@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -70,6 +71,9 @@ class _Builder(HTMLParser):
         # Of each text whether it stands in a link and whether it is shown; of each open element of UNTIL_CLOSED the
         # number of texts before it and before its first block.
         self.in_link, self.shown, self.covers, self.fresh = bytearray(), bytearray(), [], []
+        # How many elements of a tag are open, and where block elements lie in `open`: tags without a partner, and blocks
+        # in many inline elements, do not walk through all that is open.
+        self.n_open, self.block_depths = Counter(), []
 
     def _close(self, depth: int, ended: bool = False) -> None:
         """Close `open[depth:]`; with `ended` the first of them by its own end tag, all others by what follows."""
@@ -89,11 +93,16 @@ class _Builder(HTMLParser):
                 self.hidden -= tag in HIDDEN
             self.links -= tag == "a"
             self.block += tag in BLOCKS
+            self.n_open[tag] -= 1
         del self.open[depth:]
+        while self.block_depths and self.block_depths[-1] >= depth:
+            self.block_depths.pop()
 
     def _imply(self, tag: str) -> None:
         """Close what this start tag ends: a paragraph, or the item, cell or row before."""
-        for depth in range(len(self.open) - 1, 0, -1):
+        if not self.n_open["p"] and not any(self.n_open[name] for name in CLOSED_BY_NEXT.get(tag, ())):
+            return None
+        for depth in reversed(self.block_depths):
             name = self.open[depth][0]
             if name == "p" and tag in BLOCKS or name in CLOSED_BY_NEXT.get(tag, ()):
                 return self._close(depth)
@@ -102,6 +111,8 @@ class _Builder(HTMLParser):
 
     def _end_head(self, tag: str) -> None:
         """Close the head, whose end tag may be left out, at what it cannot hold."""
+        if not self.n_open["head"]:
+            return
         if tag == "body":
             for depth in range(1, len(self.open)):
                 if self.open[depth][0] == "head":
@@ -148,15 +159,20 @@ class _Builder(HTMLParser):
         else:
             self.hidden += tag in HIDDEN
         self.links += tag == "a"
+        if tag in BLOCKS:
+            self.block_depths.append(len(self.open))
+        self.n_open[tag] += 1
         self.open.append((tag, element))
 
     def handle_startendtag(self, tag, attrs):
         """Only svg and math, and what they hold, can close themselves; elsewhere the slash means nothing."""
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and any(name in ("svg", "math") for name, _ in self.open):
+        if tag not in VOID and (self.n_open["svg"] or self.n_open["math"]):
             self._close(len(self.open) - 1, ended=True)
 
     def handle_endtag(self, tag):
+        if not self.n_open[tag]:
+            return None
         for depth in range(len(self.open) - 1, 0, -1):
             if self.open[depth][0] == tag:
                 return self._close(depth, ended=True)

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -107,6 +108,17 @@ def test_nothing_after_odd_markup_is_lost(name):
     assert sum(page.chars) == sum(len(x.strip()) for _, _, x in page.texts)
 
 
+@pytest.mark.parametrize(
+    "html",
+    ["<b>" * 30_000 + "</x>" * 30_000 + WORDS, "<b>" * 30_000 + "<p></p>" * 30_000 + WORDS, "<div>" * 30_000 + "<li></li>" * 30_000 + WORDS, "<i>" * 30_000 + "<q/>" * 30_000 + WORDS],
+    ids=["end tags", "paragraphs", "items", "self-closed"],
+)
+def test_time_does_not_grow_with_the_square_of_a_page(html):
+    started = time.time()
+    assert [x for _, _, x in M.parse(html).texts] == [WORDS]
+    assert time.time() - started < 10
+
+
 def test_texts_of_pages_that_were_cut(model):
     head = f"<html><head><title>x</title><body><article><h1>Title</h1><p>{WORDS}</p><![foo[ y ]]><svg/><p>{WORDS}</p></article></body></html>"
     assert M.extracted(model, [M.parse(head)]) == [f"Title\n{WORDS}\n{WORDS}"]
