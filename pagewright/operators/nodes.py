@@ -8,6 +8,7 @@ sums, which the extraction and pagination operators express with Spark columns.
 
 from __future__ import annotations
 
+from collections import Counter
 from html import unescape
 from html.parser import HTMLParser
 
@@ -47,6 +48,7 @@ class _NodeReader(HTMLParser):
         super().__init__(convert_charrefs=False)
         self.nodes: list[list] = []
         self.open: list[int] = []
+        self.n_open: Counter[str] = Counter()  # open elements by tag
         self.pending: list[str] = []
 
     def _add(self, kind, tag, attrs, text):
@@ -55,7 +57,7 @@ class _NodeReader(HTMLParser):
         return number
 
     def _inside(self, tags):
-        return any(self.nodes[i][3] in tags for i in self.open)
+        return any(self.n_open[tag] for tag in tags)
 
     def _flush(self):
         text = "".join(self.pending)
@@ -68,7 +70,9 @@ class _NodeReader(HTMLParser):
 
     def _close_to(self, depth):
         while len(self.open) > depth:
-            self.nodes[self.open.pop()][1] = len(self.nodes) - 1
+            node = self.nodes[self.open.pop()]
+            node[1] = len(self.nodes) - 1
+            self.n_open[node[3]] -= 1
 
     def handle_starttag(self, tag, attrs):
         self._flush()
@@ -76,9 +80,12 @@ class _NodeReader(HTMLParser):
         number = self._add(ELEMENT, tag, list(values.items()), None)
         if tag not in VOID_TAGS:
             self.open.append(number)
+            self.n_open[tag] += 1
 
     def handle_endtag(self, tag):
         self._flush()
+        if not self.n_open[tag]:
+            return None
         for depth in range(len(self.open) - 1, -1, -1):
             if self.nodes[self.open[depth]][3] == tag:
                 return self._close_to(depth)
