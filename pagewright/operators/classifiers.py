@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,22 +77,48 @@ def tfidf_weights(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return raw.join(norms, key).select(key, "index", "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
-def sparse_vectors(weights: DataFrame, key: str, size: int) -> DataFrame:
-    """Collect (index, weight) rows of each document into one sparse vector.
+def damped(counts: Column) -> Column:
+    """A sparse vector of counts as one of 1 + ln(count), in the row.
 
     The vector type is reached through JSON because the built-in conversion makes dense ones.
     """
-    sorted_cells = F.array_sort(F.collect_list(F.struct("index", "weight")))
-    cells = weights.groupBy(key).agg(sorted_cells.alias("cells"))
+    cells = F.unwrap_udt(counts)
+    values = F.transform(cells["values"], lambda n: F.log(n) + 1)
     parts = F.struct(
-        F.struct(
-            F.lit(0).alias("type"),
-            F.lit(size).alias("size"),
-            F.transform("cells", lambda c: c["index"]).alias("indices"),
-            F.transform("cells", lambda c: c["weight"]).alias("values"),
-        ).alias("v")
+        F.struct(F.lit(0).alias("type"), cells["size"].alias("size"), cells["indices"].alias("indices"), values.alias("values")).alias("v")
     )
-    return cells.select(key, F.from_json(F.to_json(parts), _VECTOR)["v"].alias("features"))
+    return F.from_json(F.to_json(parts), _VECTOR)["v"]
+
+
+@dataclass
+class TfidfVectors:
+    """A fitted vectoriser: look-up of terms, their inverse document frequency, and unit length. Nothing is shuffled to apply it."""
+
+    terms: CountVectorizerModel
+    scale: PipelineModel
+
+    @classmethod
+    def fit(cls, docs: DataFrame, key: str, text: str, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS) -> TfidfVectors:
+        """The vocabulary of `docs`; the driver receives `max_features` terms at most."""
+        counts = materialize(term_counts(docs, key, text), "terms")
+        vocab = vocabulary(counts, docs.count(), max_features, min_docs).orderBy("index").select("term", "idf").collect()
+        names = CountVectorizerModel.from_vocabulary([r["term"] for r in vocab], "terms", "counts")
+        idf = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in vocab]), inputCol="damped", outputCol="scaled")
+        return cls(names, PipelineModel([idf, Normalizer(p=2.0, inputCol="scaled", outputCol="features")]))
+
+    def transform(self, docs: DataFrame, text: str) -> DataFrame:
+        """`docs` with `features`; texts that are null or have no known term get a vector of zeros."""
+        known = docs.withColumn("terms", F.coalesce(terms(F.col(text)), F.array().cast("array<string>")))
+        counted = self.terms.transform(known).withColumn("damped", damped(F.col("counts")))
+        return self.scale.transform(counted).drop("terms", "counts", "damped", "scaled")
+
+    def save(self, path: str) -> None:
+        self.terms.write().overwrite().save(f"{path}/terms")
+        self.scale.write().overwrite().save(f"{path}/scale")
+
+    @classmethod
+    def load(cls, path: str) -> TfidfVectors:
+        return cls(CountVectorizerModel.load(f"{path}/terms"), PipelineModel.load(f"{path}/scale"))
 
 
 def class_sizes(labelled: DataFrame, label: str = "label") -> dict[str, int]:
@@ -124,7 +150,7 @@ def _regression(n_rows: float, c: float = 1.0, max_iter: int = 1000) -> Logistic
 class TfidfClassifier:
     """TF-IDF and logistic regression."""
 
-    vocab: DataFrame
+    vectors: TfidfVectors
     model: LogisticRegressionModel
     classes: list[str]
     name: str = "TF-IDF"
@@ -133,35 +159,27 @@ class TfidfClassifier:
     def train(cls, labelled: DataFrame, key: str, text: str, label: str = "label") -> TfidfClassifier:
         labelled = labelled.select(key, F.col(text).alias("__text"), F.col(label).cast("string").alias("label"))
         sizes = class_sizes(labelled)
-        n_docs = sum(sizes.values())
-        counts = materialize(term_counts(labelled, key, "__text"), "terms")
-        vocab = materialize(vocabulary(counts, n_docs), "vocabulary")
-        vectors = sparse_vectors(tfidf_weights(counts, vocab, key), key, vocab.count())
-        rows = prepared(labelled.drop("__text").join(vectors, key), sizes)
+        vectors = TfidfVectors.fit(labelled, key, "__text")
+        rows = prepared(vectors.transform(labelled, "__text"), sizes)
         # Fitting reads its input more than once.
         rows = materialize(rows.select("features", "label_index", "weight"), "training")
-        return cls(vocab, _regression(n_docs).fit(rows), list(sizes))
+        return cls(vectors, _regression(sum(sizes.values())).fit(rows), list(sizes))
 
     def predict(self, docs: DataFrame, key: str, text: str) -> DataFrame:
-        """(key, page_type, probability). Documents without a known term get the intercept's class."""
-        vectors = sparse_vectors(tfidf_weights(term_counts(docs, key, text), self.vocab, key), key, self.model.numFeatures)
-        empty = F.from_json(
-            F.lit('{"v": {"type": 0, "size": %d, "indices": [], "values": []}}' % self.model.numFeatures), _VECTOR
-        )["v"]
-        rows = docs.select(key).join(vectors, key, "left").withColumn("features", F.coalesce("features", empty))
+        """(key, page_type, probability), row by row. Documents without a known term get the intercept's class."""
+        rows = self.vectors.transform(docs.select(F.col(key), F.col(text).alias("__text")), "__text")
         return best_class(self.model.transform(rows), self.classes, key)
 
     def save(self, path: str) -> None:
-        self.vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        self.vectors.save(f"{path}/vectors")
         self.model.write().overwrite().save(f"{path}/model")
-        spark = self.vocab.sparkSession
+        spark = SparkSession.active()
         spark.createDataFrame([(self.classes,)], "classes array<string>").write.mode("overwrite").json(f"{path}/classes")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TfidfClassifier:
         classes = spark.read.schema("classes array<string>").json(f"{path}/classes").first()["classes"]
-        return cls(spark.read.parquet(f"{path}/vocabulary"), LogisticRegressionModel.load(f"{path}/model"), classes)
-
+        return cls(TfidfVectors.load(f"{path}/vectors"), LogisticRegressionModel.load(f"{path}/model"), classes)
 
     @classmethod
     def load_or_train(cls, spark: SparkSession, path: str, labelled: DataFrame, key: str, text: str) -> TfidfClassifier:

@@ -74,6 +74,24 @@ def tfidf_weights(t):
     return C.tfidf_weights(counts, vocab, "page_id").select("page_id", "term", F.round("weight", 6).alias("weight"))
 
 
+@query(
+    "tfidf_vectors",
+    f"""WITH {_FEATURES_SQL}, {_TERMS_SQL},
+k AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS index FROM (
+  SELECT term FROM v WHERE df >= {C.MIN_DOCS} ORDER BY total DESC, term LIMIT {C.MAX_FEATURES})),
+x AS (SELECT page_id, index, raw FROM r JOIN k ON r.term = k.term),
+s AS (SELECT page_id, sqrt(sum(raw * raw)) AS norm FROM x GROUP BY 1)
+SELECT x.page_id, index, round(raw / norm, 6) AS weight FROM x JOIN s ON x.page_id = s.page_id""",
+)
+def tfidf_vectors(t):
+    """Vectors of all pages by the fitted vectoriser, whose vocabulary is bounded."""
+    docs = t.pages.select("page_id", X.visible(F.col("html")).alias("features"))
+    cells = F.unwrap_udt(F.col("vector"))
+    rows = C.TfidfVectors.fit(docs, "page_id", "features").transform(docs.withColumnRenamed("features", "text"), "text")
+    entries = rows.select("page_id", F.col("features").alias("vector")).select("page_id", F.arrays_zip(cells["indices"].alias("index"), cells["values"].alias("weight")).alias("cells"))
+    return entries.select("page_id", F.inline("cells")).select("page_id", "index", F.round("weight", 6).alias("weight"))
+
+
 def _labelled(t, features):
     docs = t.documents.join(t.labels, "doc_id")
     label = F.when(F.col("quality") == 0, F.lit("BLOCKED")).otherwise(F.lit("NORMAL"))

@@ -159,6 +159,9 @@ def test_classifier_survives_saving(spark, tmp_path):
     fresh = spark.createDataFrame([(1, "robot verify challenge"), (2, "buy product cart"), (3, "zzz")], "id int, text string")
     before, after = ({r.id: (r.page_type, round(r.probability, 9)) for r in m.predict(fresh, "id", "text").collect()} for m in (model, loaded))
     assert before == after and before[1][0] == "BLOCKED" and before[2][0] == "NORMAL" and 3 in before
+    assert "Exchange" not in loaded.predict(fresh, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    odd = spark.createDataFrame([(None, None), (1, ""), (1, "robot " * 50_000)], "id int, text string")
+    assert len(loaded.predict(odd, "id", "text").collect()) == 3 and loaded.predict(odd.limit(0), "id", "text").count() == 0
     words = C.train_word_vectors(df, "text", 1 << 10)
     words.save(str(tmp_path / "w"))
     again = C.PipelineClassifier.load(spark, str(tmp_path / "w"))
