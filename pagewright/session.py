@@ -39,10 +39,26 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
     `spark.checkpoint.dir` of the session; where it is unset, a folder beside the managed
-    tables in `spark.sql.warehouse.dir`, which a cluster shares as well.
+    tables in `spark.sql.warehouse.dir`, which a cluster shares as well. A warehouse on the driver's own disk
+    is an error unless the session is a local one, since executors could not read each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate").rstrip("/")
+    if not root:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        check_shared(_scheme(spark, warehouse), spark.sparkContext.master, warehouse)
+        root = f"{warehouse}/_intermediate"
+    return root.rstrip("/")
+
+
+def _scheme(spark: SparkSession, path: str) -> str:
+    """File system of a path; one without scheme lies in the default one."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme()
+
+
+def check_shared(scheme: str, master: str, path: str) -> None:
+    if scheme == "file" and not master.startswith("local"):
+        raise ValueError(f"{path} is a local folder, which executors do not share: set spark.checkpoint.dir to a shared one")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

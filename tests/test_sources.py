@@ -180,3 +180,13 @@ def test_command_line(spark, tmp_path):
     assert main(["--snapshot", str(tmp_path / "pages"), "--site", "https://e.com/", "--crawl", "--output", str(out)]) == 0
     (session,) = list(out.glob("e_com_crawl_*"))
     assert spark.read.parquet(str(session / "metadata")).count() == 2
+
+
+def test_intermediate_tables_need_a_shared_folder(spark):
+    from pagewright.session import check_shared, checkpoint_root
+
+    assert checkpoint_root(spark)
+    check_shared("file", "local[4]", "/w")
+    check_shared("hdfs", "yarn", "/w")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        check_shared("file", "spark://h:7077", "/w")
