@@ -153,8 +153,8 @@ def regression_report(t):
         "url", "html", "detection", "protection_type", F.col("page_id").cast("string").alias("session_key"),
         F.lit(None).cast("string").alias("clean_text"), F.lit("snapshot").alias("driver_used"), F.lit(0.0).alias("elapsed"),
     )
-    sites = found.select("url", F.lit("page").alias("category"), (F.col("protection_type") != "HARD_BLOCK").alias("expected_unlock"))
-    report = sinks.regression_report(sites, found)
+    sites = found.select("session_key", "url", F.lit("page").alias("category"), (F.col("protection_type") != "HARD_BLOCK").alias("expected_unlock"))
+    report = sinks.regression_report(sites, found, "session_key")
     return report.select(
         F.col("session_key").cast("bigint").alias("page_id"), "expected_unlock", "html_size_bytes", "detection_type",
         "detection_score", "success", "protection_type",

@@ -98,13 +98,13 @@ def markdown_document(pages: DataFrame, job: str, order: str) -> DataFrame:
     return parts.select(job, F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n---\n\n").alias("document"))
 
 
-def regression_report(sites: DataFrame, results: DataFrame) -> DataFrame:
+def regression_report(sites: DataFrame, results: DataFrame, key: str = "url") -> DataFrame:
     """Expected against found, one row per listed site (12 fields).
 
-    `results` has one row per url: driver_used, html, elapsed, detection, clean_text,
-    protection_type, session_key.
+    `results` has one row per `key`: driver_used, html, elapsed, detection, clean_text,
+    protection_type, session_key. Where a URL is listed several times, both tables have to have another key.
     """
-    joined = sites.join(results, "url", "left")
+    joined = sites.join(results if key == "url" else results.drop("url"), key, "left")
     return joined.select(
         "url", "category", "expected_unlock", "driver_used",
         F.char_length(nvl(F.col("html"))).alias("html_size_bytes"),
