@@ -35,6 +35,26 @@ def hrefs_by_pattern(html: Column) -> Column:
     return F.regexp_extract_all(nvl(html), F.lit(HREF_PATTERN), F.lit(1))
 
 
+def placed_links(hrefs: Column, base_url: Column, same_domain_only: bool = True) -> Column:
+    """Crawlable absolute URLs of one page, `(pos, dst)`, repeats included; pos is the 0-based place among all hrefs."""
+    numbered = F.transform(hrefs, lambda h, i: F.struct(i.alias("pos"), h.alias("href")))
+    usable = F.filter(numbered, lambda x: U.is_valid_href(x["href"]))
+
+    def finish(base: Column) -> Column:
+        absolute = F.transform(U.resolve_all(F.transform(usable, lambda x: strip(x["href"])), base["parts"]), U.page_url)
+        kept = F.filter(F.zip_with(usable, absolute, lambda x, u: F.struct(x["pos"].alias("pos"), u.alias("dst"))), lambda x: x["dst"].isNotNull())
+        return F.filter(kept, lambda x: U.same_domain(U.base_domain(x["dst"]), base["domain"])) if same_domain_only else kept
+
+    base = F.struct(U.base_parts(base_url).alias("parts"), U.base_domain(base_url).alias("domain"))
+    return F.when(nvl(base_url) != "", let(base, finish))
+
+
+def url_edges(pages: DataFrame) -> DataFrame:
+    """Distinct links of each URL: src, dst, pos, the first place of the link on any page of that URL."""
+    found = N.with_nodes(pages).select(F.col("url").alias("src"), placed_links(N.dom_hrefs(F.col("nodes")), F.col("url")).alias("links"))
+    return found.select("src", F.inline("links")).groupBy("src", "dst").agg(F.min("pos").alias("pos"))
+
+
 def page_links(
     hrefs: Column, base_url: Column, same_domain_only: bool = True, max_links: int | None = None
 ) -> Column:

@@ -118,9 +118,9 @@ d AS (SELECT url, link, min(pos) AS p FROM e GROUP BY 1, 2)
 SELECT url, string_agg(link, ' ' ORDER BY p) AS links, count(*) AS n FROM d GROUP BY 1""",
 )
 def dom_page_links(t):
-    links = L.page_links(N.dom_hrefs(F.col("nodes")), F.col("url"))
-    found = N.with_nodes(t.pages).select("url", links.alias("links"))
-    return found.filter(F.size("links") > 0).select("url", F.array_join("links", " ").alias("links"), F.size("links").alias("n"))
+    """Links of each URL; pages of one URL share them, equal places are taken in the order of the link."""
+    placed = L.url_edges(t.pages).groupBy(F.col("src").alias("url")).agg(F.array_sort(F.collect_list(F.struct("pos", "dst"))).alias("links"))
+    return placed.select("url", F.array_join("links.dst", " ").alias("links"), F.size("links").alias("n"))
 
 
 @query(
