@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright.functions import urls as U
@@ -140,8 +141,9 @@ k AS (SELECT url, dst, row_number() OVER (PARTITION BY url ORDER BY p) - 1 AS po
 SELECT url AS src, pos, dst FROM k""",
 )
 def link_dedup_cap(t):
-    """The link extractor with its per-page limit, as an edge table."""
-    return L.link_edges(L.extract_links(t.pages))
+    """The link extractor as an edge table. Pages of one URL share its links; equal places are taken in the order of the link."""
+    place = F.row_number().over(W.partitionBy("src").orderBy("pos", "dst")) - 1
+    return L.url_edges(t.pages).select("src", place.alias("pos"), "dst")
 
 
 @query(
