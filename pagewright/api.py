@@ -21,7 +21,8 @@ from pagewright.sources.requests import flow, scrape_request
 def prepare_snapshot(pages: DataFrame, key: str = "page_id", mode: str = "balanced") -> DataFrame:
     """Process a snapshot once: url, html, detection, success, protection, clean_text, markdown, links, metrics.
 
-    Meant to be written as a table that all later requests read.
+    Meant to be written as a table that all later requests read. Where few of its pages will be asked for, `run_requests` also takes
+    the snapshot as it is.
     """
     found = L.extract_links(with_protection(with_detection(pages)))
     found = found.withColumn("success", is_success(F.col("html"), F.col("detection")))
@@ -34,7 +35,8 @@ def run_requests(requests: DataFrame, snapshot: DataFrame, key: str | None = Non
     `requests`: `payload` (JSON), and with `key` a column of its own that tells requests apart. Without it every row is a request of
     its own. Requests are split by the kind of run they ask for; each kind is one set-oriented plan, however many
     requests there are. A payload without a URL gives one row with an error, and so does a page that the snapshot does not have.
-    Budgets are those of the request, or the documented defaults of a request.
+    Budgets are those of the request, or the documented defaults of a request. Without columns `links` and `detection` in the
+    snapshot (url, html, clean_text, success) both are made for the pages that the requests reach.
     """
     own = F.col(key) if key else F.monotonically_increasing_id()
     typed = requests.select(own.alias("run"), scrape_request(F.col("payload")).alias("r")).withColumn("flow", flow(F.col("r")))
@@ -61,7 +63,7 @@ def run_requests(requests: DataFrame, snapshot: DataFrame, key: str | None = Non
         paged = run_pagination(seeds, facts, None, run="run")
         results = results.unionByName(paged.select("run", "seed", "url", "depth", F.col("pos").alias("position")))
     if kinds & {"crawl", "crawl_with_pagination"}:
-        edges = materialize(L.link_edges(snapshot), "edges")
+        edges = materialize(L.link_edges(snapshot), "edges") if "links" in snapshot.columns else L.edges_of(snapshot)
     if "crawl" in kinds:
         seeds = of("crawl").drop("pagination_pages")
         results = results.unionByName(crawl(seeds, edges, facts.select("url", "success"), None, None, run="run"))
@@ -71,7 +73,10 @@ def run_requests(requests: DataFrame, snapshot: DataFrame, key: str | None = Non
         paged_pages = F.count_if(F.col("stage") == "pagination").over(W.partitionBy("run"))
         position = F.col("position") + F.when(F.col("stage") == "crawl", paged_pages).otherwise(0)
         results = results.unionByName(both.withColumn("position", position.cast("int")).drop("stage"))
-    found = snapshot.select("url", "success", "detection", "clean_text", F.lit(True).alias("__stored"))
+    results = materialize(results, "results")
+    reached = snapshot.join(results.select("url").distinct(), "url", "left_semi")
+    reached = reached if "detection" in snapshot.columns else with_detection(reached)
+    found = reached.select("url", "success", "detection", "clean_text", F.lit(True).alias("__stored"))
     error = F.when(F.col("url").isNull(), F.lit("malformed request")).when(F.col("__stored").isNull(), F.lit("page not in the snapshot"))
     return results.join(found, "url", "left").select(
         *([F.col("run").alias(key)] if key else []), "seed", "url", "depth", "position", "success", "detection", "clean_text", error.alias("error")

@@ -18,6 +18,8 @@ Sums run over pages, then over a page's links, so that the links of one run, or
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pagewright.functions.urls import base_domain
 from pagewright.session import materialize, new_folder
 
+Edges = DataFrame | Callable[[DataFrame], DataFrame]
 _NO_LIMIT = 1 << 50
 # Rows of one run or page that one task numbers; more of them are numbered bucket by bucket.
 _BUCKET = 1 << 16
@@ -56,14 +59,18 @@ def stored_edges(edges: DataFrame, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
-def _candidates(frontier: DataFrame, edges: DataFrame, visited: DataFrame, most: int) -> DataFrame:
+def _edges_from(edges: Edges, urls: DataFrame) -> DataFrame:
+    return edges if isinstance(edges, DataFrame) else edges(urls.select("url").distinct())
+
+
+def _candidates(frontier: DataFrame, edges: Edges, visited: DataFrame, most: int) -> DataFrame:
     """Links of fetched pages on the seed's own domain that are new to the run: one row per page and link.
 
     A page can add at most `most` links, and at most as many of its links can be in the queue already.
     """
     # The domain is looked at once a link has been joined: an equality would become a join key, to be computed for every edge.
     own_domain = F.array_contains(F.array(base_domain(F.col("seed"))), base_domain(F.col("dst")))
-    linked = frontier.join(edges, F.col("url") == F.col("src")).filter(own_domain)
+    linked = frontier.join(_edges_from(edges, frontier), F.col("url") == F.col("src")).filter(own_domain)
     links = linked.groupBy("run", "ord", "depth", "allowance", F.col("dst").alias("url")).agg(F.min("pos").cast("long").alias("pos"))
     links = links.join(visited.select("run", "url"), ["run", "url"], "left_anti")
     if most <= _BUCKET:
@@ -115,7 +122,7 @@ def _queue(counted: DataFrame) -> DataFrame:
 
 def crawl(
     seeds: DataFrame,
-    edges: DataFrame,
+    edges: Edges,
     pages: DataFrame,
     max_pages: int | None,
     max_depth: int | None,
@@ -126,14 +133,15 @@ def crawl(
 
     seeds    `seed`, and optionally its own `max_pages` and `max_depth`, which go before the arguments where they are not null
     edges    src, pos, dst: what each page links to (see `links.link_edges`); a stored table, since
-             every generation reads it (`stored_edges` lays it out for large frontiers)
+             every generation reads it (`stored_edges` lays it out for large frontiers). Or a function that gives
+             these rows for a table of `url`s: it is asked for the pages of a generation (see `links.edges_of`)
     pages    url, success: the snapshot; a URL that is not in it counts as failed
     max_pages, max_depth   budget of pages returned, and greatest distance from the seed; None is no limit
     initial  run, url, depth, pos, success: pages fetched before (by pagination); they are not
              returned again, their links start the queue, and they reduce the page budget
     run      column of `seeds` that tells runs apart; a run given several times counts once
     """
-    status = pages.select("url", F.col("success").alias("__ok")).dropDuplicates(["url"])
+    status = pages.select("url", F.col("success").alias("__ok"))
 
     def limit(name: str, default: int | None) -> Column:
         own = F.col(name).cast("long") if name in seeds.columns else F.lit(None).cast("long")
@@ -168,7 +176,9 @@ def crawl(
     returned: DataFrame | None = None
     generation = 0
     while True:
-        queue = materialize(queue.join(status, "url", "left").withColumn("success", F.coalesce("__ok", F.lit(False)) & (F.col("depth") <= F.col("max_depth"))).drop("__ok"), f"queue{generation}")
+        queue = materialize(queue, f"waiting{generation}")
+        asked = status.join(queue.select("url").distinct(), "url", "left_semi").dropDuplicates(["url"])
+        queue = materialize(queue.join(asked, "url", "left").withColumn("success", F.coalesce("__ok", F.lit(False)) & (F.col("depth") <= F.col("max_depth"))).drop("__ok"), f"queue{generation}")
         visited = queue.select("run", "url") if generation == 0 and initial is None else visited.unionByName(queue.select("run", "url"))
         sums = queue.groupBy("run").agg(F.count("*").alias("waiting"), F.count_if("success").alias("gained"))
         worked = _running_sum(queue, ["run"], "place", F.col("success").cast("long"), "good", most).join(sums, "run")

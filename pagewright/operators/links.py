@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from pagewright.functions import urls as U
 from pagewright.functions.text import let, nvl, strip
 from pagewright.operators import nodes as N
 from pagewright.operators.nodes import ELEMENT, read_nodes
+from pagewright.session import materialize
 
 # Fixed value: attribute scan used where no parsed tree is wanted.
 HREF_PATTERN = r"""(?i)href=["']([^"'#\s][^"']*)["']"""
@@ -100,6 +103,20 @@ def link_edges(pages_with_links: DataFrame, url: str = "url", links: str = "link
     return edges.filter(F.col("dst").isNotNull())
 
 
+def edges_of(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """For `crawl`: the links of a table of `url`s, read on those of the `pages(url, html)` alone.
+
+    A crawl parses what it fetches, however large the snapshot is.
+    """
+
+    def read(urls: DataFrame) -> DataFrame:
+        # Written, so that its true size is known and the pages' HTML is not shuffled for a few URLs.
+        fetched = pages.select("url", "html").join(materialize(urls, "fetched"), "url", "left_semi")
+        return link_edges(extract_links(fetched))
+
+    return read
+
+
 def subdomain_pairs(hosts: DataFrame, host: str = "host", key: str = "n") -> DataFrame:
     """Pairs (host, base_host) where host equals base_host or lies below it.
 

@@ -13,6 +13,8 @@ from pagewright.functions import paging as P
 from pagewright.functions import urls as U
 from pagewright.functions.text import let, nvl, strip, try_int, word_count
 from pagewright.operators import nodes as N
+from pagewright.operators.crawl import Edges, crawl
+from pagewright.session import materialize
 
 # Selectors that find a "next page" control, tried in this order.
 NEXT_SELECTORS = [
@@ -643,12 +645,15 @@ def run_pagination(seeds: DataFrame, pages: DataFrame, max_pages: int | None, ru
     """
     limits = ["max_pages"] if "max_pages" in seeds.columns else []
     keys = list(dict.fromkeys([run, "seed"]))
-    facts = pages.select(F.col("url").alias("seed"), "html", "clean_text", "success")
+    seeds = materialize(seeds, "seeds")
+    # Only the pages that a run asks for are moved and hashed.
+    facts = pages.join(seeds.select(F.col("seed").alias("url")).distinct(), "url", "left_semi")
+    facts = facts.select(F.col("url").alias("seed"), "html", "clean_text", "success")
     first = seeds.select(*keys, *limits).dropDuplicates([run]).join(facts, "seed", "left")
     plan = plan_pagination(first, max_pages, run)
-    wanted = plan.select(*keys, "rule", F.posexplode_outer("urls").alias("pos", "url"))
+    wanted = materialize(plan.select(*keys, "rule", F.posexplode_outer("urls").alias("pos", "url")), "wanted")
     content = F.coalesce(F.nullif(F.col("clean_text"), F.lit("")), F.col("html"))
-    facts = pages.select(
+    facts = pages.join(wanted.select("url").distinct(), "url", "left_semi").select(
         "url", "success", U.content_hash(content).alias("__hash"), P.is_effectively_empty(F.col("clean_text")).alias("__thin")
     )
     fetched = wanted.join(facts, "url", "left").withColumn("success", F.coalesce("success", F.lit(False)))
@@ -665,7 +670,7 @@ def run_pagination(seeds: DataFrame, pages: DataFrame, max_pages: int | None, ru
 def crawl_with_pagination(
     seeds: DataFrame,
     pages: DataFrame,
-    edges: DataFrame,
+    edges: Edges,
     max_pages: int | None,
     max_depth: int | None,
     pagination_pages: int | None,
@@ -675,9 +680,6 @@ def crawl_with_pagination(
 
     `seeds` may carry their own `max_pages`, `max_depth` and `pagination_pages`, which go before the arguments.
     """
-    from pagewright.operators.crawl import crawl
-    from pagewright.session import materialize
-
     own = F.col("pagination_pages") if "pagination_pages" in seeds.columns else F.lit(pagination_pages).cast("int")
     keys = list(dict.fromkeys([run, "seed"]))
     paged = materialize(run_pagination(seeds.select(*keys, own.alias("max_pages")), pages, pagination_pages, run), "paged")

@@ -63,6 +63,23 @@ def test_crawl_equals_queue(spark):
             assert len(got) <= budget and len(set(got)) == len(got)
 
 
+def test_crawl_asks_for_the_links_of_fetched_pages_only(spark):
+    rng = random.Random(3)
+    urls, links, ok = graph(rng, 60)
+    edges, pages = tables(spark, links, ok)
+    asked = []
+
+    def of(wanted):
+        asked.extend(r.url for r in wanted.collect())
+        return edges.join(wanted, edges["src"] == wanted["url"], "left_semi")
+
+    rows = crawl(spark.createDataFrame([(s,) for s in urls[:2]], "seed string"), of, pages, 7, 3).collect()
+    for seed in urls[:2]:
+        got = [(r.url, r.depth) for r in sorted((r for r in rows if r.seed == seed), key=lambda r: r.position)]
+        assert got == queue_crawl(seed, links, ok, 7, 3)
+    assert set(asked) <= {r.url for r in rows}
+
+
 def test_crawl_continues_from_initial_pages(spark):
     rng = random.Random(5)
     urls, links, ok = graph(rng, 40)

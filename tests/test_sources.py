@@ -88,6 +88,18 @@ def test_requests_run_over_a_snapshot(spark):
     assert got == {"https://e.com/c": ["/c"], "https://e.com/": ["/", "/a", "/c"], "https://e.com/a": ["/a"], "https://e.com/b": ["/b"]}
 
 
+def test_requests_over_a_snapshot_without_links_and_detection(spark):
+    payloads = [
+        {"url": "https://e.com/", "crawl": True, "max_pages": 10}, {"url": "https://e.com/b", "crawl": True, "pagination_mode": True},
+        {"url": "https://gone.example/x"},
+    ]
+    requests = spark.createDataFrame([(json.dumps(p),) for p in payloads], "payload string")
+    whole = snapshot(spark)
+    order = ["seed", "url", "position"]
+    want = run_requests(requests, whole).orderBy(*order).collect()
+    assert run_requests(requests, whole.drop("links", "detection")).orderBy(*order).collect() == want and len(want) > 3
+
+
 def test_requests_that_cannot_be_answered(spark):
     payloads = [('{"url": "https://e.com/b"}',), ('{"url": "https://gone.example/x"}',), ("no json",), (None,)]
     rows = run_requests(spark.createDataFrame(payloads, "payload string"), snapshot(spark)).collect()
