@@ -1,11 +1,12 @@
 import difflib
 import random
+from datetime import datetime
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from pagewright.operators import folds as D
-from pagewright.streaming.folds import folded, start_fold, stored_state
+from pagewright.streaming.folds import _stretches, folded, start_fold, stored_state
 
 SCHEMA = "session_key string, ts timestamp, attempt_id bigint, blocked boolean, driver string"
 
@@ -139,3 +140,21 @@ def test_profile_and_session_lookup(spark):
     wanted = spark.createDataFrame([("x",), ("y",), ("z",)], "session_key string")
     got = {r.session_key: (r.trust_score, r.is_new_session) for r in D.with_session(wanted, sessions).collect()}
     assert got == {"x": (0.9, False), "y": (0.5, True), "z": (0.5, True)}
+
+
+def test_keys_of_one_span_are_reduced_together(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(6)]), datetime(2024, 1, rng.randint(1, 3), rng.randint(0, 23)), i, rng.random() < 0.4) for i in range(300)]
+    events = spark.createDataFrame(rows, "user long, ts timestamp, id long, blocked boolean")
+    walk = D.trust_walk(F.col("blocked"))
+    for groups in (1, 4):
+        found = _stretches(events, "user", ["ts", "id"], {"trust": walk}, "day", groups).collect()
+        got = {}
+        for r in sorted(found, key=lambda r: (r.ts, r.id)):
+            got[r.user] = min(max(got.get(r.user, walk.start) + r.trust_d, r.trust_lo), r.trust_hi)
+        want = {}
+        for user, _, _, blocked in sorted(rows, key=lambda r: (r[1], r[2])):
+            value = want.get(user, 500)
+            want[user] = max(0, value - 150) if blocked else min(1000, value + 100)
+        assert got == want
+        assert len([r for r in found if r.user is not None]) == len({(u, t.date()) for u, t, *_ in rows if u is not None})
