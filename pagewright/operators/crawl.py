@@ -205,22 +205,32 @@ def crawl(
 
 
 def reach(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """Every URL within `max_depth` links of each seed with its distance, without a page budget."""
-    level = materialize(
-        seeds.select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth")).distinct(), "level0"
-    )
-    reached = level
+    """Every URL within `max_depth` links of each seed with its distance, without a page budget.
+
+    Seeds are numbered, 64 to a word; a row tells which seeds of a word reach a URL first at this distance. So an edge is followed
+    once for all of them, and what is stored and shuffled grows with the edges, not with the seeds times the edges.
+    """
+    number = F.monotonically_increasing_id()
+    named = materialize(seeds.select("seed").distinct().withColumn("number", number), "seeds")
+    named = named.select("seed", F.expr("number div 64").alias("word"), F.expr("shiftleft(1L, cast(number % 64 AS INT))").alias("bit"))
+    none = F.lit(0).cast("long")
+    level = materialize(named.select(F.col("seed").alias("url"), "word", F.col("bit").alias("bits")), "level0")
+    levels = [level]
     for depth in range(1, max_depth + 1):
-        found = (
-            level.join(edges, level["url"] == edges["src"])
-            .select("seed", F.col("dst").alias("url"))
-            .distinct()
-            .join(reached, ["seed", "url"], "left_anti")
-        )
-        level = materialize(found.withColumn("depth", F.lit(depth)), f"level{depth}")
+        found = level.join(edges, level["url"] == edges["src"]).select(F.col("dst").alias("url"), "word", "bits", none.alias("seen"))
+        for known in levels:
+            found = found.unionByName(known.select("url", "word", none.alias("bits"), F.col("bits").alias("seen")))
+        sums = found.groupBy("url", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("seen").alias("seen"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not("seen"))
+        level = materialize(sums.select("url", "word", fresh.alias("bits")).where("bits <> 0"), f"level{depth}")
         if level.isEmpty():
             break
-        reached = reached.unionByName(level)
+        levels.append(level)
+    reached = None
+    for depth, level in enumerate(levels):
+        own = level.join(named, "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+        own = own.select("seed", "url", F.lit(depth).alias("depth"))
+        reached = own if reached is None else reached.unionByName(own)
     return reached
 
 

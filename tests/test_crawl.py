@@ -1,7 +1,9 @@
 import random
 from collections import deque
 
+from pagewright.operators import crawl as crawl_module
 from pagewright.operators.crawl import crawl, reach
+from pagewright.plans import crawl_queries
 
 HOST = "https://h.example"
 
@@ -162,3 +164,24 @@ def test_buckets_and_laid_out_edges(spark, monkeypatch):
     join = max(i for i, line in enumerate(plan[:scan]) if "SortMergeJoin" in line)
     edge_side = [line for line in plan[join + 1 : scan] if line.find("+- ") >= plan[scan].find("+- ") - 9]
     assert "Bucketed: true" in plan[scan] and sum("Exchange" in line for line in plan[join:scan]) == 1 and not any("Exchange" in x for x in edge_side[-3:])
+
+
+def test_reach_keeps_one_row_for_all_seeds_of_a_word(spark, monkeypatch):
+    """What is stored per distance grows with the URLs, not with the seeds times the URLs; 70 seeds fill two words."""
+    stored = {}
+    keep = crawl_module.materialize
+    monkeypatch.setattr(crawl_module, "materialize", lambda df, label: stored.setdefault(label, keep(df, label)))
+    seeds = spark.createDataFrame([(i,) for i in range(70)], "seed long").coalesce(1)
+    edges = spark.createDataFrame([(i, 1000 + j) for i in range(70) for j in range(5)] + [(1000, 0), (1000, 2000)], "src long, dst long")
+    rows = {tuple(r) for r in crawl_module.reach(seeds, edges, 2).collect()}
+    want = {(i, i, 0) for i in range(70)} | {(i, 1000 + j, 1) for i in range(70) for j in range(5)}
+    want |= {(i, 2000, 2) for i in range(70)} | {(i, 0, 2) for i in range(1, 70)}
+    assert rows == want
+    assert stored["level1"].count() <= 5 * 8 < 70 * 5
+
+
+def test_query_graph_writes_out_the_links_of_asked_pages_only(spark):
+    tables = type("Tables", (), {"lineitem": spark.createDataFrame([(1, 7), (1, 7), (1, 9), (2, 7), (None, 9)], "l_suppkey long, l_partkey long")})
+    asked = spark.createDataFrame([("https://shop.example/s/1",), ("https://shop.example/p/7",), ("https://shop.example/s/none",)], "url string")
+    links = {(r.src[-3:], r.dst[-3:], r.pos) for r in crawl_queries._graph(tables)(asked).collect()}
+    assert links == {("s/1", "p/7", 7), ("s/1", "p/9", 9), ("p/7", "s/1", 1), ("p/7", "s/2", 2)}
