@@ -209,19 +209,21 @@ def predicted(docs: DataFrame, net: Network | None, key: str | None = None, text
 
     Texts that are null or have no letter, and all texts without a network, get `und` and 0.
     """
-    carried = docs.select(*([key] if key else docs.columns), F.col(text).alias("__text"))
+    # A text that is carried anyway goes to Python and back once.
+    carried = docs.select(key, F.col(text).alias("__text")) if key else docs
+    n_carried, read = (1, 1) if key else (len(docs.columns), docs.columns.index(text))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(read)
             if net is None:
                 names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             else:
                 names, scores = _predictions(net, texts)
-            columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "__lang_pred", "__lang_score"])
+            columns = [*batch.columns[:n_carried], pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:n_carried], "__lang_pred", "__lang_score"])
 
-    schema = carried.drop("__text").schema.add("__lang_pred", "string").add("__lang_score", "double")
+    schema = carried.select(*carried.columns[:n_carried]).schema.add("__lang_pred", "string").add("__lang_score", "double")
     found = carried.mapInArrow(apply, schema)
     return found.withColumnsRenamed({"__lang_pred": "lang_pred", "__lang_score": "score"})
 
@@ -243,9 +245,11 @@ def identified(docs: DataFrame, lang: str = "lang", languages: list[str] | None
     A null `lang` becomes the predicted language; other columns and values stay as they are.
     """
     net = fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
-    marked = docs.select(F.struct("*").alias("__in"), "text")
+    # Other names than those of the prediction; the texts stand in one column only.
+    marked = docs.toDF(*[f"__in_{i}" for i in range(len(docs.columns))])
     stays = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)
     if languages is not None:
         stays = stays & F.col("lang_pred").isin(languages)
-    columns = [F.coalesce(F.col("__in")[lang], F.col("lang_pred")).alias(c) if c == lang else F.col("__in")[c].alias(c) for c in docs.columns]
-    return predicted(marked, net).where(stays).select(*columns)
+    given = dict(zip(docs.columns, marked.columns))
+    columns = [(F.coalesce(given[c], "lang_pred") if c == lang else F.col(given[c])).alias(c) for c in docs.columns]
+    return predicted(marked, net, text=given["text"]).where(stays).select(*columns)

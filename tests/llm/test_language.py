@@ -70,3 +70,13 @@ def test_whole_text_counts():
 def test_nothing_to_learn(spark, rows):
     got = L.language_id(spark.createDataFrame(rows, DOCS)).collect()
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)] * len(rows)
+
+
+def test_texts_go_to_python_once(spark):
+    """One column of text in the rows that the stage sends to Python, besides lang, source and lang_pred."""
+    docs = spark.createDataFrame(sample(spark, 40), DOCS)
+    node = L.identified(docs)._jdf.queryExecution().analyzed()
+    while "MapInArrow" not in node.nodeName():
+        node = node.children().apply(0)
+    sent = node.children().apply(0).output()
+    assert sorted(sent.apply(i).dataType().typeName() for i in range(sent.size())) == ["double", "long", "string", "string", "string", "string"]
