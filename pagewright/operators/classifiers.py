@@ -71,10 +71,10 @@ def vocabulary(counts: DataFrame, n_docs: int, max_features: int | None = MAX_FE
 
 
 def tfidf_weights(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """(key, index, term, weight) with unit length per document."""
-    raw = counts.join(vocab, "term").withColumn("raw", (F.log(F.col("tf").cast("double")) + 1) * F.col("idf"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "index", "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    """(key, index, term, weight) with unit length per document. The terms are shuffled twice: to their `idf`, and back to their document."""
+    raw = counts.join(vocab, "term").select(key, "index", "term", ((F.log(F.col("tf").cast("double")) + 1) * F.col("idf")).alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))
+    return raw.filter(F.col(key).isNotNull()).select(key, "index", "term", (F.col("raw") / norm).alias("weight"))
 
 
 def damped(counts: Column) -> Column:
@@ -100,8 +100,7 @@ class TfidfVectors:
     @classmethod
     def fit(cls, docs: DataFrame, key: str, text: str, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS) -> TfidfVectors:
         """The vocabulary of `docs`; the driver receives `max_features` terms at most."""
-        counts = materialize(term_counts(docs, key, text), "terms")
-        vocab = vocabulary(counts, docs.count(), max_features, min_docs).orderBy("index").select("term", "idf").collect()
+        vocab = vocabulary(term_counts(docs, key, text), docs.count(), max_features, min_docs).orderBy("index").select("term", "idf").collect()
         names = CountVectorizerModel.from_vocabulary([r["term"] for r in vocab], "terms", "counts")
         idf = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in vocab]), inputCol="damped", outputCol="scaled")
         return cls(names, PipelineModel([idf, Normalizer(p=2.0, inputCol="scaled", outputCol="features")]))
