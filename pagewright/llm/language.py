@@ -29,6 +29,8 @@ BATCH = 64
 RATE = 0.005
 SEED = 42
 UNKNOWN = "und"
+# Score over which a prediction counts more than the language that a row has: texts of two languages and short ones score less.
+SURE = 0.9
 
 
 @dataclass
@@ -239,10 +241,13 @@ def language_id(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def identified(docs: DataFrame, lang: str = "lang", languages: list[str] | None = None, least_score: float = 0.0) -> DataFrame:
+def identified(
+    docs: DataFrame, lang: str = "lang", languages: list[str] | None = None, least_score: float = 0.0, corrected_over: float | None = None
+) -> DataFrame:
     """`docs` whose language is found, is one of `languages` (None: any) and has `least_score` or more.
 
-    A null `lang` becomes the predicted language; other columns and values stay as they are.
+    A null `lang` becomes the predicted language, and so does a given one if the score is more than `corrected_over` (None:
+    never); other columns and values stay as they are.
     """
     net = fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
     # Other names than those of the prediction; the texts stand in one column only.
@@ -251,5 +256,7 @@ def identified(docs: DataFrame, lang: str = "lang", languages: list[str] | None
     if languages is not None:
         stays = stays & F.col("lang_pred").isin(languages)
     given = dict(zip(docs.columns, marked.columns))
-    columns = [(F.coalesce(given[c], "lang_pred") if c == lang else F.col(given[c])).alias(c) for c in docs.columns]
+    surely = F.lit(False) if corrected_over is None else F.col("score") > corrected_over
+    named = F.when(surely, F.col("lang_pred")).otherwise(F.coalesce(given[lang], "lang_pred"))
+    columns = [(named if c == lang else F.col(given[c])).alias(c) for c in docs.columns]
     return predicted(marked, net, text=given["text"]).where(stays).select(*columns)

@@ -1,10 +1,12 @@
 """Held-out accuracy, the fast classifier against the plain one, and odd texts."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from pagewright.llm import language as L
 
 DOCS = "doc_id long, text string, lang string, source string, score double, lang_pred string"
@@ -80,3 +82,22 @@ def test_texts_go_to_python_once(spark):
         node = node.children().apply(0)
     sent = node.children().apply(0).output()
     assert sorted(sent.apply(i).dataType().typeName() for i in range(sent.size())) == ["double", "long", "string", "string", "string", "string"]
+
+
+def test_stage_names_the_language_of_every_text(spark):
+    """A prediction was used only where no language was given, however sure it was."""
+    truth = {r[0]: r[2] for r in sample(spark)}
+    held_out = [i for i in truth if zlib.crc32(str(i).encode()) % 4 == 2]
+    wrong = {i: "aa" if truth[i] == "bb" else "bb" for i in held_out[:20]}
+    rows = [(*r[:2], wrong.get(r[0], r[2]), *r[3:]) for r in sample(spark)]
+    rows = [*rows, (1000, "12 34", "aa", "s", 0.0, ""), (1001, "q", "bb", "s", 0.0, ""), (1002, "kra tol min dor esh " * 9, None, "s", 0.0, "")]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = {r.doc_id: r for r in L.language_id(docs).collect()}
+    got = {r.doc_id: r for r in corpus_pipeline.language_stage(spark, docs, "").collect()}
+    assert len(got) == len(rows) - 1 and 1000 not in got
+    sure = [i for i in wrong if found[i].score > L.SURE]
+    assert len(sure) > 4 and all(got[i].lang == truth[i] for i in sure)
+    for i, text, lang, *rest in rows:
+        if i != 1000:
+            assert got[i].lang == (found[i].lang_pred if lang is None or found[i].score > L.SURE else lang)
+            assert (got[i].text, got[i].source, got[i].score, got[i].lang_pred) == (text, *rest)
